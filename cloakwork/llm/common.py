@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -41,6 +42,11 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def literal_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table that the driver knows, as a literal of the plan."""
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in schema.split(','))}>>")))
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
     """rows joined with groups (one row for each key, `count` rows of `rows` each), whatever the share of a key.
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import dedup, packing
+from . import dedup, langid, packing, secrets, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_exact_dedup": dedup.op2_exact_dedup,
+    "op4_language_id": langid.op4_language_id,
+    "op5_url_filter": urls.op5_url_filter,
+    "op8_secret_scan": secrets.op8_secret_scan,
 }
 
 ORACLES = {
     "op2_exact_dedup": dedup.OP2_SQL,
+    "op5_url_filter": urls.OP5_SQL,
 }
