@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dedup, langid, packing, secrets, urls
+from . import decontaminate, dedup, langid, neardup, packing, secrets, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_url_filter": urls.op5_url_filter,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_ngram_jaccard": neardup.op10_ngram_jaccard,
 }
 
 ORACLES = {
