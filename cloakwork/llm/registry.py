@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dedup, langid, neardup, packing, secrets, urls
+from . import decontaminate, dedup, langid, licenses, lines, neardup, packing, paragraphs, secrets, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_exact_dedup": dedup.op2_exact_dedup,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_language_id": langid.op4_language_id,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_line_dedup": lines.op6_line_dedup,
+    "op7_substring_dedup": paragraphs.op7_substring_dedup,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_ngram_jaccard": neardup.op10_ngram_jaccard,

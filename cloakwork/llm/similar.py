@@ -18,7 +18,7 @@ SLICE = 1 << 20
 #: Members of a candidate component that one task compares with as many others.
 BLOCK = 256
 #: Up to this many rows a checked side is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -174,7 +174,7 @@ def _compare(rows: list[np.ndarray], similar: float) -> np.ndarray:
     keep = often[name] > 1
     dense = np.cumsum(often > 1) - 1
     name, owner = dense[name[keep]], owner[keep]
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((n, n))
     order = np.argsort(name, kind="stable")
     name, owner = name[order], owner[order]
     width = 4096
