@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from .common import small_batches
 
@@ -143,23 +143,33 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return train(x, [r.lang for r in got])
 
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, lang_pred, score, ambiguous) for each row, from its whole text alone.
+ADDED = {"held_out": T.BooleanType(), "lang_pred": T.StringType(), "score": T.DoubleType(), "ambiguous": T.BooleanType()}
+
+
+def annotate(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df's rows and columns with held_out, lang_pred, score and ambiguous added, each row judged by its whole text alone.
 
-    Null or letterless text: `und`, score 0, not ambiguous. Repeated rows each give a row; null ids stay null; an empty
-    table gives none. Other columns aren't read.
+    Null or letterless text: `und`, score 0, not ambiguous. Repeated rows each give a row; null ids stay; an empty table
+    gives none. Columns of df named like the added ones are replaced.
     """
     small_batches(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
+    names = [c for c in df.columns if c not in ADDED]
+    kinds = T.StructType([df.schema[c] for c in names] + [T.StructField(c, t) for c, t in ADDED.items()])
+    text_at = len(names) + 1
 
     def run(batches):
         for b in batches:
-            langs, scores = model.predict(b.column(2).to_pylist())
+            langs, scores = model.predict(b.column(text_at).to_pylist())
             unsure = [s < AMBIGUOUS and v != "und" for v, s in zip(langs, scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=["id", "held_out", "lang_pred", "score", "ambiguous"])
+            own = [b.column(i) for i in range(len(names) + 1)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=names + list(ADDED))
 
-    rows = df.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
+    return df.select(*names, held_out(F.col(id_col)).alias("__held"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, kinds)
+
+
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, held_out, lang_pred, score, ambiguous) for each row; see annotate."""
+    return annotate(df.select(id_col, text_col), model, id_col, text_col).drop(text_col)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             texts = [t.split("\n")[p] for t, p in zip(b.column(2).to_pylist(), par, strict=True)]
             yield pa.RecordBatch.from_arrays([node, pa.array([shingles(w, words).tobytes() for w in word_hashes(texts)], pa.binary())], names=["node", "set"])
 
-    rows = docs.mapInArrow(sketch, f"id {kind}, h long, par int, start long, end long, node binary, keys array<long>")
+    rows = cut(docs.mapInArrow(sketch, f"id {kind}, h long, par int, start long, end long, node binary, keys array<long>"))
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "par", "h")
     nodes = cut(rows.groupBy("node").agg(F.count("*").alias("size"), F.min(first).alias("first"), F.first("keys").alias("keys")))
     comps = cut(candidates(nodes.select("node", "keys")).select("node", F.col("root").alias("comp")))
