@@ -74,7 +74,7 @@ def backoff(attempt: int, base: float = 1.0, jitter: float = 0.5, most: float =
 
 #: What makes a model's error worth another attempt.
 RETRY_STATUS = (429, 500, 502, 503, 504)
-RETRY_WORDS = ("too many tokens", "too many requests", "throttl", "rate limit", "timeout", "service unavailable", "model is getting throttled")
+RETRY_WORDS = ("throttl", "toomanyrequests", "serviceunavailable", "too many tokens", "rate exceeded", "temporarily unavailable")
 
 
 def retryable(status: int | None, message: str) -> bool:

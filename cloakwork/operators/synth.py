@@ -30,7 +30,7 @@ def fill(template: Column, values: dict[str, Column]) -> Column:
             out = F.when(name == k, v) if out is None else out.when(name == k, v)
         return F.coalesce(out, F.concat(F.lit("{{"), name, F.lit("}}")))
 
-    filled = F.zip_with(F.slice(pieces, 1, F.size(names)), F.transform(names, value), F.concat)
+    filled = F.zip_with(F.slice(pieces, 1, F.size(names)), F.transform(names, value), lambda a, b: F.concat(a, b))
     return F.concat(F.array_join(filled, ""), F.element_at(pieces, -1))
 
 

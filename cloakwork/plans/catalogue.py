@@ -1,4 +1,469 @@
-"""The named queries over the test tables, and DuckDB SQL for them."""
+"""The named queries over the test tables, each with DuckDB SQL for the same rows where SQL can express them.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Analogies: a batch is a `source` of documents, a note a document; approved is quality 1 in labels; a failed span is an
+event of type `error`, a span's attributes are events.props, a batch's creation is an order's date.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as X
+from ..model import SEEDED_TYPES, SHORT_CODES, TYPE_ORDER
+from ..operators import detect as D, evaluate as E, fhir as H, redact as R, stats as S, synth as Y, telemetry as M
+from ..operators.diff import word_diff
+from ..sources.files import decoded, decoded_strict, table
+from ..streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: What stands for ground truth, and for predictions with other limits, in the evaluation queries.
+TRUTH = {c: D.PATTERNS[c] for c in ("eml", "ip")}
+LOOSE = {"eml": r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\b", "acc": D.PATTERNS["acc"], "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text", *more)
+
+
+# --- SQL pieces -------------------------------------------------------------------------------------------------------
+
+
+def _spans_sql(patterns: dict[str, str]) -> str:
+    """Every match of every pattern: doc_id, type, value, start, end."""
+    one = """SELECT doc_id, '{t}' AS type, ms[k] AS value, (length(coalesce(array_to_string(ps[1:k], ''), '')) + length(coalesce(array_to_string(ms[1:k-1], ''), '')))::INT AS start
+    FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS ps FROM documents))"""
+    parts = " UNION ALL ".join(one.format(t=SHORT_CODES[c], p=p) for c, p in patterns.items())
+    return f'(SELECT *, (start + length(value))::INT AS "end" FROM ({parts}))'
+
+
+def _entities_sql() -> str:
+    """The detector's entities: doc_id, type, value, and pos, the place in the document's list."""
+    one = "SELECT doc_id, '{t}' AS type, {o} AS o, value, min(k) AS k FROM (SELECT doc_id, unnest(ms) AS value, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms FROM documents)) GROUP BY doc_id, value"
+    order = [c for c in SHORT_CODES if c in D.PATTERNS]
+    return "(" + " UNION ALL ".join(one.format(t=SHORT_CODES[c], o=i, p=D.PATTERNS[c]) for i, c in enumerate(order)) + ")"
+
+
+_RANK = "CASE type " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TYPE_ORDER)) + " END"
+_T, _P = f"t AS {_spans_sql(TRUTH)}", f"p AS {_spans_sql(LOOSE)}"
+_HIT = 'EXISTS (SELECT 1 FROM {other} b WHERE b.doc_id = a.doc_id AND a.start < b."end" AND b.start < a."end"{more})'
+_RATIOS = "tp, fp, fn, coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS precision, coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)::DOUBLE AS f1"
+
+
+def _overlap_sql(keys: str, more: str = "") -> str:
+    t, p = _HIT.format(other="p", more=more), _HIT.format(other="t", more=more)
+    k = keys + "," if keys else ""
+    return f"""WITH {_T}, {_P}, r AS (SELECT doc_id, type, ({t})::INT AS tp, 0 AS fp, (NOT {t})::INT AS fn FROM t a UNION ALL SELECT doc_id, type, 0, (NOT {p})::INT, 0 FROM p a),
+    s AS (SELECT {k} coalesce(sum(tp), 0)::BIGINT AS tp, coalesce(sum(fp), 0)::BIGINT AS fp, coalesce(sum(fn), 0)::BIGINT AS fn FROM r {"GROUP BY " + keys if keys else ""}) SELECT {k} {_RATIOS} FROM s"""
+
+
+# --- detection and redaction ------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN text IS NULL OR regexp_replace(text, '\\s', '', 'g') = '' THEN 'empty' WHEN length(text) > 20000 THEN 'too_long' ELSE 'ok' END AS validity FROM documents")
+def doc_validation(spark, d):
+    return _docs(spark, d).select("doc_id", D.validity(F.col("text")).alias("validity"))
+
+
+@query(f"SELECT doc_id, type, value FROM {_entities_sql()}")
+def detect_entities(spark, d):
+    return D.detect(_docs(spark, d)).select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.type", "e.value")
+
+
+@query(f"SELECT doc_id, type, value FROM {_entities_sql()}")
+def compact_expansion(spark, d):
+    found = _docs(spark, d).select("doc_id", D.compact(F.col("text")).alias("c"))
+    return found.select("doc_id", F.explode(D.expand(F.col("c"))).alias("e")).select("doc_id", "e.type", "e.value")
+
+
+@query(f"SELECT type, count(*) AS n FROM {_entities_sql()} GROUP BY type")
+def entity_type_counts(spark, d):
+    return S.entity_counts(D.detect(_docs(spark, d)))
+
+
+def _redact_sql() -> str:
+    out = "text"
+    for t in TYPE_ORDER:  # values that begin with punctuation never stand at a word boundary, so phone numbers stay
+        c = next((c for c, full in SHORT_CODES.items() if full == t and c in D.PATTERNS and c != "phn"), None)
+        out = f"regexp_replace({out}, '{D.PATTERNS[c]}', '[{t.upper()}]', 'g')" if c else out
+    return f"SELECT doc_id, md5({out}) AS redacted_md5 FROM documents"
+
+
+@query(_redact_sql())
+def redact_fold(spark, d):
+    return R.redact(D.detect(_docs(spark, d))).select("doc_id", F.md5("redacted").alias("redacted_md5"))
+
+
+@query(f"SELECT doc_id, type, count(*)::INT AS skipped FROM {_entities_sql()} WHERE type = 'phone_number' GROUP BY doc_id, type")
+def redact_skips(spark, d):
+    out = R.redact(D.detect(_docs(spark, d))).select("doc_id", F.explode("skipped_by_type").alias("type", "skipped"))
+    return out
+
+
+_WORDED = {c: p for c, p in D.PATTERNS.items() if c != "phn"}
+
+
+@query(f'SELECT doc_id, type, value, start, "end" FROM {_spans_sql(_WORDED)}')
+def entity_positions(spark, d):
+    out = D.detect(_docs(spark, d)).select("doc_id", F.explode(R.positions(F.col("text"), F.col("entities"))).alias("p"))
+    return out.select("doc_id", "p.type", "p.value", "p.start", "p.end")
+
+
+@query(f'SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start, "end") - 1)::INT AS place, type, value FROM {_spans_sql(_WORDED)}')
+def occurrence_order(spark, d):
+    out = D.detect(_docs(spark, d)).select("doc_id", R.occurrences(R.positions(F.col("text"), F.col("entities"))).alias("o"))
+    return out.select("doc_id", F.posexplode("o").alias("place", "e")).select("doc_id", "place", "e.type", "e.value")
+
+
+_IDS = f"SELECT doc_id, type, value, (row_number() OVER (PARTITION BY doc_id, type ORDER BY length(value) DESC, k))::INT AS n FROM {_entities_sql()}"
+
+
+@query(_IDS)
+def formatter_ids_numeric(spark, d):
+    out = D.detect(_docs(spark, d)).select("doc_id", F.explode(R.ordered(F.col("entities"))).alias("e"))
+    return out.select("doc_id", "e.type", "e.value", "e.n")
+
+
+@query(f"SELECT doc_id, type, value, CASE WHEN n > 26 THEN chr(64 + (n - 1) // 26) ELSE '' END || chr(65 + (n - 1) % 26) AS id FROM ({_IDS})")
+def formatter_ids_alpha(spark, d):
+    return formatter_ids_numeric(spark, d).select("doc_id", "type", "value", X.alpha_id(F.col("n")).alias("id"))
+
+
+@query()
+def redact_template(spark, d):
+    out = R.redact(D.detect(_docs(spark, d)), tag=R.template_tag("**{TYPE}[{ID}]", "numeric"))
+    return out.select("doc_id", F.md5("redacted").alias("redacted_md5"))
+
+
+@query("SELECT value, CASE WHEN value = '' THEN false ELSE regexp_matches(value, '^,*\\s*,*$') END AS trivial FROM (SELECT unnest(['', ' ', ',', ', ,', ',a', 'a', ',,', '  ,']) AS value)")
+def trivial_predictions(spark, d):
+    rows = spark.range(1).select(F.explode(F.array(*(F.lit(v) for v in ("", " ", ",", ", ,", ",a", "a", ",,", "  ,")))).alias("value"))
+    return rows.select("value", X.trivial(F.col("value")).alias("trivial"))
+
+
+@query("SELECT DISTINCT o_orderpriority AS label, lower(replace(o_orderpriority, '-', '_')) AS key, 'batch/input/' || o_orderpriority || '.v1.txt' AS path, o_orderpriority || '.v1' AS stem FROM orders")
+def path_stems(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("label")).distinct().withColumn("path", F.concat(F.lit("batch/input/"), "label", F.lit(".v1.txt")))
+    return rows.select("label", F.lower(F.replace("label", F.lit("-"), F.lit("_"))).alias("key"), "path", X.stem(F.col("path")).alias("stem"))
+
+
+# --- batches ----------------------------------------------------------------------------------------------------------
+
+_PER = ", ".join(f"coalesce(sum(n) FILTER (type = '{t}'), 0)::BIGINT AS pii_{t}" for t in SEEDED_TYPES)
+
+
+@query(f"""WITH e AS {_entities_sql()}, c AS (SELECT source, d.doc_id, type, count(value) AS n FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id GROUP BY ALL)
+SELECT source, count(DISTINCT doc_id) AS input_count, count(DISTINCT doc_id) AS processed_count, coalesce(sum(n), 0)::BIGINT AS total_entities, count(DISTINCT doc_id) FILTER (n > 0) AS notes_with_pii, {_PER} FROM c GROUP BY source""")
+def batch_counters(spark, d):
+    return S.counters(D.detect(_docs(spark, d, "source")), "source")
+
+
+@query(f"SELECT source, 'pii_' || type AS counter, count(*) AS n FROM {_entities_sql()} JOIN documents USING (doc_id) GROUP BY ALL")
+def batch_by_type(spark, d):
+    return S.by_type(D.detect(_docs(spark, d, "source")), "source")
+
+
+_STATUS = """WITH b AS (SELECT source, count(*) AS input_count, count(l.doc_id) AS processed_count FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source),
+c AS (SELECT *, CASE WHEN processed_count >= input_count THEN 'completed' WHEN input_count > processed_count THEN 'partially-completed' ELSE 'processing' END AS stored, source IN ('src0', 'src1', 'src2') AS fresh FROM b)"""
+
+
+@query(f"{_STATUS} SELECT source, input_count, processed_count, stored, CASE WHEN stored = 'partially-completed' AND processed_count < input_count AND fresh THEN 'processing' ELSE stored END AS status FROM c")
+def batch_status(spark, d):
+    docs, labels = table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").select("doc_id", F.lit(1).alias("done"))
+    rows = docs.join(labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("input_count"), F.count("done").alias("processed_count"))
+    as_of = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    updated = F.when(F.col("source").isin("src0", "src1", "src2"), as_of - F.expr("INTERVAL '1' MINUTE")).otherwise(as_of - F.expr("INTERVAL '5' MINUTE"))
+    stored = S.next_status(F.col("processed_count"), F.col("input_count"), F.col("input_count") - F.col("processed_count"))
+    rows = rows.withColumn("stored", stored)
+    return rows.withColumn("status", S.status(F.col("processed_count"), F.col("input_count"), F.col("stored"), updated, as_of))
+
+
+@query("SELECT source, count(*) AS input_count, count(*) FILTER (quality = 1) AS approved_count, count(*) FILTER (quality = 1) >= count(*) AND count(*) > 0 AS all_approved FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def approval_summary(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return S.approvals(rows, F.col("quality") == 1, "source")
+
+
+@query("SELECT doc_id, source, quality IS NOT NULL AS has_output, coalesce(quality = 1, false) AS approved, md5(CASE WHEN quality = 1 THEN text ELSE '' END) AS shown_md5 FROM documents LEFT JOIN labels USING (doc_id)")
+def note_detail(spark, d):
+    rows = _docs(spark, d, "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    approved = F.coalesce(F.col("quality") == 1, F.lit(False))
+    return rows.select("doc_id", "source", F.col("quality").isNotNull().alias("has_output"), approved.alias("approved"), F.md5(F.coalesce(F.when(approved, F.col("text")), F.lit(""))).alias("shown_md5"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_labels(spark, d):
+    return E.paired(table(spark, d, "documents"), table(spark, d, "labels"))[1]
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+def page_newest(spark, d):
+    return S.page(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), [("o_orderdate", True), ("o_orderkey", True)], 50)
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE (conv_id, turn) > (10, 1) ORDER BY conv_id, turn LIMIT 50")
+def page_keyset(spark, d):
+    return S.page(table(spark, d, "conversations").select("conv_id", "turn", "role"), [("conv_id", False), ("turn", False)], 50, (10, 1))
+
+
+@query("SELECT conv_id, turn, lag(turn) OVER w AS previous, lead(turn) OVER w AS following FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def note_neighbours(spark, d):
+    return S.neighbours(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+
+
+@query("SELECT user_id, count(*) AS attempts, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'error') >= 3 AS dead FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') >= 3")
+def dead_letter_redrive(spark, d):
+    return ingest.redriven(table(spark, d, "events").select("user_id", "event_type"), "user_id", F.col("event_type") == "error")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS last_event FROM events GROUP BY user_id")
+def last_state(spark, d):
+    return S.last_state(table(spark, d, "events").select("user_id", F.col("event_type").alias("last_event"), "event_id"), ["user_id"], "last_event", "event_id").select("user_id", "last_event")
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------------
+
+
+def _sides(spark, d):
+    docs = _docs(spark, d)
+    return D.spans(docs, TRUTH), D.spans(docs, LOOSE)
+
+
+@query(_overlap_sql("doc_id"))
+def eval_overlap_doc(spark, d):
+    return E.overlap(*_sides(spark, d), ["doc_id"])
+
+
+@query(_overlap_sql(""))
+def eval_overlap_micro(spark, d):
+    return E.overlap(*_sides(spark, d), [])
+
+
+@query(_overlap_sql("type", " AND a.type = b.type"))
+def eval_overlap_by_type(spark, d):
+    return E.overlap(*_sides(spark, d), ["type"], True)
+
+
+@query(f"""WITH {_T}, {_P}, m AS (SELECT doc_id, type, value, count(*) AS n FROM t GROUP BY ALL), q AS (SELECT doc_id, type, value, count(*) AS n FROM p GROUP BY ALL),
+j AS (SELECT coalesce(m.n, 0) AS a, coalesce(q.n, 0) AS b FROM m FULL JOIN q ON m.doc_id = q.doc_id AND m.type = q.type AND m.value = q.value),
+s AS (SELECT coalesce(sum(least(a, b)), 0)::BIGINT AS tp, coalesce(sum(b - least(a, b)), 0)::BIGINT AS fp, coalesce(sum(a - least(a, b)), 0)::BIGINT AS fn FROM j) SELECT {_RATIOS} FROM s""")
+def eval_multiset(spark, d):
+    return E.multiset(*_sides(spark, d), ["doc_id", "type", "value"])
+
+
+@query()
+def eval_tolerance(spark, d):
+    return E.tolerant(*_sides(spark, d))
+
+
+@query(f"""WITH {_T}, {_P} SELECT doc_id, type, value, start, "end", 'fn' AS kind FROM t a WHERE NOT {_HIT.format(other="p", more="")}
+UNION ALL SELECT doc_id, type, value, start, "end", 'fp' AS kind FROM p a WHERE NOT {_HIT.format(other="t", more="")}""")
+def mistakes(spark, d):
+    return E.mistakes(*_sides(spark, d))
+
+
+@query(f"""WITH {_T}, {_P}, tc AS (SELECT doc_id, pos, arg_min(type, row(start, "end", type)) AS et FROM (SELECT *, unnest(range(start, "end")) AS pos FROM t) GROUP BY ALL),
+pc AS (SELECT doc_id, pos, arg_min(type, row(start, "end", type)) AS pt FROM (SELECT *, unnest(range(start, "end")) AS pos FROM p) GROUP BY ALL),
+b AS (SELECT coalesce(tc.doc_id, pc.doc_id) AS doc_id, coalesce(tc.pos, pc.pos) AS pos, et, pt, CASE WHEN et IS NULL THEN 'fp' WHEN pt IS NULL THEN 'fn' ELSE 'tp' END AS class FROM tc FULL JOIN pc ON tc.doc_id = pc.doc_id AND tc.pos = pc.pos),
+n AS (SELECT *, CASE WHEN lag(pos) OVER w + 1 = pos AND lag(class) OVER w = class THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM n)
+SELECT doc_id, class, min(pos)::INT AS start, (max(pos) + 1)::INT AS "end", arg_min_null(pt, pos) AS predicted_type, arg_min_null(et, pos) AS expected_type FROM r GROUP BY doc_id, run, class""")
+def annotations_islands(spark, d):
+    return E.annotations(*_sides(spark, d))
+
+
+@query(f"WITH o AS ({_overlap_sql('doc_id')}), s AS (SELECT coalesce(sum(tp), 0)::BIGINT AS tp, coalesce(sum(fp), 0)::BIGINT AS fp, coalesce(sum(fn), 0)::BIGINT AS fn FROM o WHERE tp > 0 OR fp > 0) SELECT {_RATIOS} FROM s")
+def eval_adjusted(spark, d):
+    return E.adjusted(E.overlap(*_sides(spark, d), ["doc_id"]))
+
+
+@query()
+def word_diff_stats(spark, d):
+    rows = R.redact(D.detect(_docs(spark, d)))
+    return word_diff(rows, "doc_id", "text", "redacted")
+
+
+# --- telemetry --------------------------------------------------------------------------------------------------------
+
+
+def _spans(spark, d, *more):
+    return table(spark, d, "events").select("ts", "event_type", *more)
+
+
+@query("SELECT date_trunc('minute', ts)::TIMESTAMP AS minute, count(*) AS total_requests, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type <> 'error') AS successes, sum((props->>'$.k')::BIGINT)::BIGINT AS tokens_used FROM events GROUP BY 1")
+def per_minute(spark, d):
+    out = M.per_minute(_spans(spark, d, "props"), "ts", F.col("event_type") == "error", M.attribute("k", column="props"))
+    return out.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+
+
+@query("""SELECT count(*) AS total_spans, count(*) FILTER (event_type = 'error') AS failed_spans, count(*) FILTER (event_type <> 'error') AS successful_spans, sum(k)::BIGINT AS total_input, round(avg(k), 6) AS avg_input, sum(coalesce(c, 0))::BIGINT AS total_cache_read, round(avg(coalesce(c, 0)), 6) AS avg_cache_read
+FROM (SELECT *, (props->>'$.k')::BIGINT AS k, (props->>'$.cache')::BIGINT AS c FROM events)""")
+def telemetry_summary(spark, d):
+    out = M.summary(_spans(spark, d, "props"), F.col("event_type") == "error", {"input": M.attribute("k", column="props"), "cache_read": M.attribute("cache", column="props")})
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_input", "avg_cache_read")})
+
+
+@query("WITH c AS (SELECT event_type, user_id % 3 AS code, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, code, n, round(n / sum(n) OVER (), 9) AS share FROM c")
+def error_breakdown(spark, d):
+    out = M.errors(_spans(spark, d, (F.col("user_id") % 3).alias("code")), "event_type", "code")
+    return out.withColumn("share", F.round("share", 9))
+
+
+@query("SELECT event_type, CASE WHEN contains(lower(event_type), 'error') THEN 'Other' ELSE 'Other' END AS category, count(*) AS n FROM events GROUP BY ALL")
+def error_categories(spark, d):
+    return _spans(spark, d).groupBy("event_type", M.category(F.col("event_type")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTES, ts)::TIMESTAMP AS period, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS average, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS most FROM events GROUP BY 1, 2")
+def metric_windows(spark, d):
+    out = M.periods(_spans(spark, d, "value"), "ts", "value", ["event_type"])
+    return out.withColumns({"total": F.round("total", 4), **{c: F.round(c, 6) for c in ("average", "p50", "p95", "most")}, "period": F.col("period").cast("timestamp_ntz")})
+
+
+@query("""WITH s AS (SELECT user_id, count(*) FILTER (event_type <> 'error') AS ok, sum((props->>'$.k')::BIGINT)::DOUBLE AS k FROM events GROUP BY user_id)
+SELECT user_id, round((greatest(0, 10 * k - 3 * k - k) * 3 + 3 * k * 0.3 + k * 3.75 + 2 * k * 15) / 1000000, 9) AS cost, round(coalesce((greatest(0, 10 * k - 3 * k - k) * 3 + 3 * k * 0.3 + k * 3.75 + 2 * k * 15) / 1000000 / nullif(ok, 0), 0), 9) AS cost_per_span, round(3 * k * 2.7 / 1000000, 9) AS saved FROM s""")
+def cost_per_doc(spark, d):
+    rows = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("ok"), F.sum(M.attribute("k", column="props")).cast("double").alias("k"))
+    k = F.col("k")
+    total = M.cost(3 * k, k, 10 * k, 2 * k)
+    return rows.select("user_id", F.round(total, 9).alias("cost"), F.round(E.ratio(total, F.col("ok")), 9).alias("cost_per_span"), F.round(M.savings(3 * k), 9).alias("saved"))
+
+
+# --- synthetic notes and clinical records -----------------------------------------------------------------------------
+
+TEMPLATE = "Patient {{NAME}} of {{CITY}} (account {{ACCOUNT_NUMBER}}) was seen. {{NAME}} can be reached at {{PHONE}}; {{UNKNOWN}} stays."
+
+
+@query(f"SELECT unnest(list_sort(list_distinct(regexp_extract_all('{TEMPLATE}', '\\{{\\{{([A-Z_]+)\\}}\\}}', 1)))) AS placeholder")
+def placeholder_distinct(spark, d):
+    return spark.range(1).select(F.explode(Y.placeholders(F.lit(TEMPLATE))).alias("placeholder"))
+
+
+def _filled(spark, d):
+    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation").limit(1000)), F.expr("c_nationkey = n_nationkey"))
+    values = {"NAME": F.col("c_name"), "CITY": F.col("n_name"), "ACCOUNT_NUMBER": F.concat(F.lit("ACCT-"), F.col("c_custkey").cast("string")), "PHONE": F.concat(F.lit("555-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))}
+    return c.select("c_custkey", *(v.alias(k) for k, v in values.items())).withColumn("text", Y.fill(F.lit(TEMPLATE), {k: F.col(k) for k in values})), list(values)
+
+
+_VALUES = "SELECT c_custkey, c_name AS nam, n_name AS city, 'ACCT-' || c_custkey AS acc, '555-' || lpad(c_custkey::VARCHAR, 7, '0') AS phone FROM customer JOIN nation ON c_nationkey = n_nationkey"
+_FILLED = f"SELECT *, 'Patient ' || nam || ' of ' || city || ' (account ' || acc || ') was seen. ' || nam || ' can be reached at ' || phone || '; {{{{UNKNOWN}}}} stays.' AS text FROM ({_VALUES})"
+
+
+@query(f"SELECT c_custkey, md5(text) AS text_md5 FROM ({_FILLED})")
+def template_fill(spark, d):
+    return _filled(spark, d)[0].select("c_custkey", F.md5("text").alias("text_md5"))
+
+
+_FIND = "SELECT c_custkey, '{t}' AS type, {v} AS value, (length(array_to_string(ps[1:k], '')) + (k - 1) * length({v}))::INT AS start FROM (SELECT *, unnest(range(1, len(ps))) AS k FROM (SELECT *, string_split(text, {v}) AS ps FROM ({f})))"
+
+
+@query("SELECT *, (start + length(value))::INT AS \"end\" FROM (" + " UNION ALL ".join(_FIND.format(t=t, v=v, f=_FILLED) for t, v in (("NAME", "nam"), ("ADDRESS", "city"), ("ACCOUNT_NUMBER", "acc"), ("PHONE", "phone"))) + ")")
+def ground_truth_positions(spark, d):
+    rows, names = _filled(spark, d)
+    out = rows.select("c_custkey", F.explode(Y.located(F.col("text"), {k: F.col(k) for k in names})).alias("p"))
+    return out.select("c_custkey", "p.type", "p.value", "p.start", "p.end")
+
+
+@query()
+def synthetic_notes(spark, d):
+    templates = spark.range(1).select(F.lit("letter").alias("template"), F.lit("Dear {{NAME}}, your visit on {{DOB}} in {{CITY}} is noted. Call {{PHONE}} or write to {{EMAIL}}.").alias("text"))
+    out = Y.notes(table(spark, d, "customer"), "c_custkey", templates, 2)
+    return out.select("c_custkey", "copy", "text", F.size("phi_entities").alias("n_entities"))
+
+
+def _bundles(spark, d):
+    """A bundle for each customer: a patient, two encounters, a condition, a medication by reference, a device, a practitioner and an organisation."""
+    key = F.col("c_custkey").cast("string")
+    s, lit = F.struct, F.lit
+    coding = lambda code, display: F.array(s(lit("http://terms.example").alias("system"), code.alias("code"), display.alias("display")))
+    code = lambda c, t: s(coding(lit(c), t).alias("coding"))
+    patient = s(
+        lit("Patient").alias("resourceType"), F.concat(lit("p"), key).alias("id"), lit("female").alias("gender"), F.concat(lit("19"), F.lpad(F.pmod("c_custkey", lit(80)).cast("string"), 2, "0"), lit("-05-17")).alias("birthDate"),
+        F.array(s(s(coding(lit("MR"), lit("")).alias("coding")).alias("type"), F.concat(lit("MRN"), key).alias("value")), s(s(coding(lit("SS"), lit("")).alias("coding")).alias("type"), F.concat(lit("999-12-"), F.lpad(key, 4, "0")).alias("value"))).alias("identifier"),
+        F.array(s(lit("official").alias("use"), F.concat(lit("Smith"), key).alias("family"), F.array(F.concat(lit("Ann"), key), lit("Bea")).alias("given"))).alias("name"),
+        F.array(s(lit("phone").alias("system"), F.concat(lit("555-"), key).alias("value"))).alias("telecom"),
+        F.array(s(F.array(F.concat(key, lit(" Main St"))).alias("line"), lit("Easton").alias("city"), lit("PA").alias("state"), lit("US").alias("country"))).alias("address"),
+        s(coding(lit("M"), lit("")).alias("coding")).alias("maritalStatus"),
+        F.array(s(lit(H.DALY).alias("url"), (F.pmod("c_custkey", lit(10)) + 0.5).alias("valueDecimal"))).alias("extension"),
+    )
+    ref = lambda n: s(F.concat(lit(f"urn:uuid:e{n}-"), key).alias("reference")).alias("encounter")
+    encounter = lambda n: s(lit("Encounter").alias("resourceType"), F.concat(lit(f"e{n}-"), key).alias("id"), lit("finished").alias("status"), s(lit("AMB").alias("code")).alias("class"), F.array(s(coding(lit("185"), lit(f"Visit {n}")).alias("coding"))).alias("type"), s(lit(f"2024-0{n}-15T10:00:00+00:00").alias("start"), lit(f"2024-0{n}-15T11:00:00+00:00").alias("end")).alias("period"))
+    condition = lambda n: s(lit("Condition").alias("resourceType"), F.concat(lit(f"c{n}-"), key).alias("id"), code("38341003", F.concat(lit("Condition "), lit(str(n)))).alias("code"), ref(n), lit(f"2024-0{n}-01").alias("onsetDateTime"))
+    drug = s(lit("Medication").alias("resourceType"), F.concat(lit("m"), key).alias("id"), code("1", lit("Aspirin")).alias("code"))
+    request = s(lit("MedicationRequest").alias("resourceType"), F.concat(lit("r"), key).alias("id"), lit("active").alias("status"), ref(2), s(F.concat(lit("urn:uuid:m"), key).alias("reference")).alias("medicationReference"))
+    device = s(lit("Device").alias("resourceType"), F.concat(lit("d"), key).alias("id"), code("9", lit("Pump")).alias("type"))
+    doctor = s(lit("Practitioner").alias("resourceType"), F.concat(lit("t"), key).alias("id"), F.array(s(F.array(lit("Dr.")).alias("prefix"), F.array(lit("Eve")).alias("given"), lit("Stone7").alias("family"))).alias("name"))
+    place = s(lit("Organization").alias("resourceType"), F.concat(lit("o"), key).alias("id"), lit("North Clinic").alias("name"), F.array(s(lit("phone").alias("system"), lit("555-0100").alias("value"))).alias("telecom"))
+    entries = [patient, encounter(1), encounter(2), condition(1), condition(2), drug, request, device, doctor, place]
+    json = F.concat(lit('{"resourceType":"Bundle","entry":['), F.concat_ws(",", *(F.concat(lit('{"resource":'), F.to_json(e), lit("}")) for e in entries)), lit("]}"))
+    return table(spark, d, "customer").select("c_custkey", json.alias("bundle"))
+
+
+@query("""SELECT c_custkey, 'p' || c_custkey AS id, 'MRN' || c_custkey AS mrn, '999-12-' || lpad(c_custkey::VARCHAR, 4, '0') AS ssn, 'Ann Bea' AS first_name, 'Smith' AS last_name, 'Ann Bea Smith' AS full_name,
+(2024 - (1900 + c_custkey % 80) - 1)::INT AS age, c_custkey || ' Main St, Easton, PA' AS full_address, '555-' || c_custkey AS phone, 'Married' AS marital_status,
+CASE WHEN c_custkey % 10 + 0.5 = 0.5 THEN '0' ELSE (CASE WHEN (c_custkey % 10) % 2 = 0 THEN c_custkey % 10 ELSE c_custkey % 10 + 1 END)::VARCHAR END AS disability_adjusted_life_years FROM customer""")
+def fhir_patient(spark, d):
+    out = H.patients(H.resources(_bundles(spark, d), "c_custkey"), "c_custkey", F.lit("2024-03-01").cast("date"))
+    return out.select("c_custkey", "id", "mrn", "ssn", "first_name", "last_name", "full_name", "age", "full_address", "phone", "marital_status", "disability_adjusted_life_years")
+
+
+@query("SELECT c_custkey, 'e2-' || c_custkey AS id, 1::INT AS n, 'AMB' AS class, 'Visit 2' AS display, '2024-02-15, 10:00 AM' AS start FROM customer")
+def fhir_encounters(spark, d):
+    out = H.chosen(H.encounters(H.resources(_bundles(spark, d), "c_custkey"), "c_custkey"), "c_custkey")
+    return out.select("c_custkey", "id", "n", "class", "display", X.readable(F.col("start")).alias("start"))
+
+
+@query("SELECT c_custkey, u.* FROM customer, (VALUES (4, 'Condition', '38341003', 'Condition 2', '2024-02-01'), (6, 'MedicationRequest', 'active', 'Aspirin', ''), (7, 'Device', '', 'Pump', '')) u(pos, kind, code, display, date)")
+def fhir_clinical(spark, d):
+    rows = H.resources(_bundles(spark, d), "c_custkey")
+    return H.clinical(rows, "c_custkey", H.chosen(H.encounters(rows, "c_custkey"), "c_custkey"))
+
+
+@query("SELECT c_custkey, 'Dr. Eve Stone7' AS provider, 'North Clinic' AS organisation, '555-0100' AS phone FROM customer")
+def fhir_providers(spark, d):
+    rows = H.resources(_bundles(spark, d), "c_custkey")
+    orgs = H.organizations(rows, "c_custkey").select("c_custkey", F.col("name").alias("organisation"), "phone")
+    return H.providers(rows, "c_custkey").select("c_custkey", F.col("name").alias("provider")).join(orgs, "c_custkey")
+
+
+@query("SELECT kind, (count(*) * m)::BIGINT AS n FROM customer, (VALUES ('Patient', 1), ('Encounter', 2), ('Condition', 2), ('Medication', 1), ('MedicationRequest', 1), ('Device', 1), ('Practitioner', 1), ('Organization', 1)) u(kind, m) GROUP BY kind, m")
+def resource_types(spark, d):
+    return H.resource_counts(H.resources(_bundles(spark, d), "c_custkey"))
+
+
+@query()
+def decode_ladder(spark, d):
+    rows = _docs(spark, d).select("doc_id", F.explode(F.array(F.encode("text", "UTF-8"), F.encode("text", "UTF-16"), F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))).alias("content"))
+    return rows.select("doc_id", F.md5(decoded(F.col("content"))).alias("core_md5"), F.md5(decoded_strict(F.col("content"))).alias("strict_md5"))
+
+
+# --- streaming --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT ts::DATE AS day, count(*) AS processed, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY 1")
+def stream_counters(spark, d):
+    """The events table read as a stream of files, in micro-batches; the counters are sums of what each kept."""
+    import uuid
+
+    from ..sources.folders import shared
+
+    base = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, d, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(d)
+    step = ingest.counted(f"{base}/counts", [F.to_date("ts").alias("day")], [F.count("*").alias("processed"), F.count_if(F.col("event_type") == "error").alias("failures")])
+    run = ingest.run(source, step, f"{base}/checkpoint")
+    run.awaitTermination()
+    return spark.read.parquet(f"{base}/counts").groupBy("day").agg(F.sum("processed").alias("processed"), F.sum("failures").alias("failures"))
