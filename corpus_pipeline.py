@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cloakwork.llm import decontaminate, langid, lines, neardup, packing
-from cloakwork.llm.common import scratch
+from cloakwork.llm.common import cut, scratch
 
 #: Up to this many ids are broadcast to the documents; beyond, both are shuffled.
 BROADCAST_IDS = 500_000
@@ -13,7 +13,7 @@ BROADCAST_IDS = 500_000
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs but for the rows with these ids. Rows with a null id stay."""
-    ids = ids.filter("doc_id IS NOT NULL").select("doc_id").distinct()
+    ids = cut(ids.filter("doc_id IS NOT NULL").select("doc_id").distinct())
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
