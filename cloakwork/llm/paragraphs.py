@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import attach, cut, small_batches
-from .similar import SIMILAR, WORDS, Keys, candidates, digest, fetch, groups, links, shingles, word_hashes
+from .similar import SIMILAR, SLICE, WORDS, Keys, _hash_words, _tables, candidates, digest, fetch, groups, links, mix, shingles, word_hashes
 
 #: Words of the shortest paragraph that is compared.
 LEAST_WORDS = 10
 #: Recall at the threshold for which bands are tuned, and rows of a band.
 RECALL, ROWS = 0.995, 3
+#: Words of the shortest passage that is found inside paragraphs that aren't alike as a whole.
+PASSAGE = 25
+#: Up to this many repeated passage hashes (8 bytes each) are broadcast; beyond, both sides are shuffled.
+BROADCAST_HASHES = 2_000_000
 
 
 def tuned(recall: float = RECALL, rows: int = ROWS, similar: float = SIMILAR) -> Keys:
@@ -31,8 +36,100 @@ def _paragraphs(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _windows(joined: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, line) of the n words from each sentence's first word on, where they are in one line. At most SLICE code points."""
+    low = joined.lower()
+    if len(low) != len(joined):
+        low = "".join(c if len(c.lower()) > 1 else c.lower() for c in joined)
+    h, start, end = _hash_words(low)
+    if len(h) < n:
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
+    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    line = np.cumsum(c == 10)[start]
+    first = np.ones(len(h), bool)
+    first[1:] = (line[1:] != line[:-1]) | np.isin(c[end[:-1]], (33, 46, 63))
+    i = np.flatnonzero(first[: len(h) - n + 1] & (line[: len(h) - n + 1] == line[n - 1 :]))
+    _, power, inverse = _tables()
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * power[: len(h)], dtype=np.uint64)])
+    return mix((sums[i + n] - sums[i]) * inverse[i]), start[i], end[i + n - 1], line[i]
+
+
+def _cuts(text: str):
+    """(offset, lines before, piece): pieces of at most SLICE - 1 code points, cut at line ends; a longer line is cut at a blank."""
+    at, lines = 0, 0
+    while at < len(text):
+        end = at + SLICE - 1
+        if end < len(text):
+            last = text.rfind("\n", at, end)
+            blank = text.rfind(" ", at + 1, end)
+            end = last + 1 if last >= at else blank if blank > at else end
+        yield at, lines, text[at:end]
+        lines += text.count("\n", at, end)
+        at = end
+
+
+def _batch_windows(texts: list[str], n: int):
+    """(row, hash, start, end, paragraph) arrays of all windows of the texts, joined SLICE at a time."""
+    held: list[tuple[int, int, int, str]] = []
+    size = 0
+
+    def flush():
+        joined = "\n".join(x[3] for x in held)
+        first = np.cumsum([0] + [len(x[3]) + 1 for x in held[:-1]])
+        lines = np.cumsum([0] + [x[3].count("\n") + 1 for x in held[:-1]])
+        h, start, end, line = _windows(joined, n)
+        k = np.searchsorted(first, start, side="right") - 1
+        row, offset, before = (np.array([x[i] for x in held], np.int64) for i in range(3))
+        return row[k], h, start - first[k] + offset[k], end - first[k] + offset[k], line - lines[k] + before[k]
+
+    for row, text in enumerate(texts):
+        for offset, before, piece in _cuts(text or ""):
+            if held and size + len(piece) + 1 > SLICE:
+                yield flush()
+                held, size = [], 0
+            held.append((row, offset, before, piece))
+            size += len(piece) + 1
+    if held:
+        yield flush()
+
+
+def passages(docs: DataFrame, kind: str, clustered: DataFrame, n: int = PASSAGE) -> DataFrame:
+    """Passages of n or more equal words, from a sentence's start on, that stand in different texts inside paragraphs of no cluster.
+
+    docs: (id, h, text); clustered: (id, h, par). First only the windows' hashes are counted, over all paragraphs; the
+    windows that two texts share are then looked up, and those that overlap in a paragraph are joined.
+    """
+
+    def hashes(batches):
+        for b in batches:
+            h = b.column(0).to_numpy()
+            for row, wh, *_ in _batch_windows(b.column(1).to_pylist(), n):
+                yield pa.RecordBatch.from_arrays([pa.array(h[row]), pa.array(wh.view(np.int64))], names=["h", "wh"])
+
+    def places(batches):
+        for b in batches:
+            for row, wh, start, end, par in _batch_windows(b.column(2).to_pylist(), n):
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(par.astype(np.int32)), pa.array(start), pa.array(end), pa.array(wh.view(np.int64))], names=["id", "h", "par", "start", "end", "wh"])
+
+    texts = docs.filter("text IS NOT NULL")
+    shared = texts.select("h", "text").mapInArrow(hashes, "h long, wh long").groupBy("wh").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("wh")
+    shared = cut(shared)
+    rows = texts.mapInArrow(places, f"id {kind}, h long, par int, start long, end long, wh long")
+    rows = cut(rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_HASHES else shared, "wh"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "par", "start")
+    by = cut(rows.groupBy("wh").agg(F.min(place).alias("lead"), F.count("*").alias("n")))
+    known = clustered.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("par").alias("__par")).distinct()
+    open_ = rows.join(known, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")) & (F.col("par") == F.col("__par")), "left_anti")
+    open_ = attach(cut(open_), by, "wh", "n", "inner").withColumn("kept", F.col("lead") == place)
+    w = W.partitionBy("id", "h", "par").orderBy("start", "end")
+    open_ = open_.withColumn("new", F.coalesce((F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(1)))
+    open_ = open_.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return open_.groupBy("id", "h", "par", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("lead").alias("lead"), F.max("n").alias("cluster_size"), F.min("kept").alias("kept"))
+
+
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR, least: int = LEAST_WORDS, recall: float = RECALL) -> DataFrame:
-    """(id, paragraph, start, end, cluster_id, cluster_par, cluster_size, kept) for each paragraph that belongs to a cluster of two or more.
+    """(id, paragraph, start, end, cluster_id, cluster_par, cluster_size, kept, kind) for each paragraph of a cluster of two or more, and each passage that stands in several texts.
 
     Paragraphs are lines of at least `least` words; two are linked if the Jaccard similarity of their sets of `words`-word
     shingles is at least `similar`, and clusters are connected components. Of a cluster the first paragraph by (id, place)
@@ -40,6 +137,9 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     points. Null and empty texts have no paragraphs. Rows that repeat an id and text repeat each other's paragraphs: one of
     equal (id, place) stays marked kept in each row. Null ids come last. Other columns aren't read.
 
+    A paragraph of no cluster may hold a passage that other texts have inside paragraphs of theirs: runs of PASSAGE or more
+    equal words from a sentence's start on are given with kind `passage` (see passages).
+
     Equal sets are one node, counted before the shuffle; only nodes that share a band with another are fetched and compared.
     """
     small_batches(df.sparkSession)
@@ -82,12 +182,11 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     whole = nodes.select("node", "size", "first").join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = whole.groupBy("root").agg(F.min("first").alias("lead"), F.sum("size").alias("cluster_size")).filter("cluster_size > 1")
     named = cut(whole.join(roots, "root").select("node", "size", "lead", "cluster_size"))
-    places = rows.select("id", "par", "start", "end", "node")
-    out = attach(places, named, "node", "size", "inner")
-    return out.select(
-        F.col("id").alias(id_col), F.col("par").alias("paragraph"), "start", "end", F.col("lead.id").alias("cluster_id"), F.col("lead.par").alias("cluster_par"), "cluster_size",
-        (F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("par") == F.col("lead.par"))).alias("kept"),
-    )
+    places = rows.select("id", "h", "par", "start", "end", "node")
+    whole_ = cut(attach(places, named, "node", "size", "inner").withColumn("kept", F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("par") == F.col("lead.par"))))
+    inner = passages(docs, kind, whole_.select("id", "h", "par"))
+    cols = [F.col("id").alias(id_col), F.col("par").alias("paragraph"), "start", "end", F.col("lead.id").alias("cluster_id"), F.col("lead.par").alias("cluster_par"), "cluster_size", "kept"]
+    return whole_.select(*cols, F.lit("paragraph").alias("kind")).unionByName(inner.select(*cols, F.lit("passage").alias("kind")))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
