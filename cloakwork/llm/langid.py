@@ -57,6 +57,8 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def codewords(k: int, seed: int = 7) -> np.ndarray:
     """k rows of +1 and -1 with every column splitting the languages: all splits up to six languages, else the best of random codes."""
+    if k < 2:
+        return np.ones((k, 0), int)
     if k <= 6:
         cols = np.array([[1 if (v >> i) & 1 else -1 for i in range(k)] for v in range(1, 2 ** (k - 1))]).reshape(-1, k).T
         return cols
@@ -164,7 +166,8 @@ def annotate(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             own = [b.column(i) for i in range(len(names) + 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=names + list(ADDED))
 
-    return df.select(*names, held_out(F.col(id_col)).alias("__held"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, kinds)
+    rows = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), held_out(F.col(id_col)).alias("held"), F.col(text_col).cast("string").alias("judged"))
+    return rows.mapInArrow(run, kinds)
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
