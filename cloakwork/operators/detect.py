@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import blank, starts
 from ..model import COMPACT, MAX_CHARS, SHORT_CODES
@@ -86,7 +86,7 @@ def model_detector(df: DataFrame, call: Callable[[str], dict], text_col: str = "
 
     Texts come in Arrow batches; an error marks its row and doesn't fail the job. Retries only errors that are worth it.
     """
-    schema = df.schema.add("compacted", COMPACT).add("retries", "int").add("error", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("compacted", COMPACT), T.StructField("retries", T.IntegerType()), T.StructField("error", T.StringType())])
 
     def one(text: str):
         for k in range(1, attempts + 1):

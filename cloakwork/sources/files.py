@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import approved_id, stem
 from ..model import FORMAT, MANIFEST, POSITIONS_FILE, RESPONSE
@@ -56,7 +56,7 @@ def approved(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _json(spark: SparkSession, path: str, schema, suffix: str) -> DataFrame:
-    bad = schema.add("_corrupt_record", "string")
+    bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     rows = spark.read.schema(bad).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", f"*{suffix}.json").json(path)
     return rows.withColumn("note_id", F.regexp_replace(stem(F.col("_metadata.file_path")), f"{suffix}$", ""))
 
