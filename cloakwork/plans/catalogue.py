@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..model import SEEDED_TYPES, SHORT_CODES, TYPE_ORDER
-from ..operators import detect as D, evaluate as E, fhir as H, redact as R, stats as S, synth as Y, telemetry as M
+from ..operators import detect as D, evaluate as E, fhir as H, redact as R, review as V, stats as S, synth as Y, telemetry as M
 from ..operators.diff import word_diff
 from ..sources.files import decoded, decoded_strict, table
 from ..streaming import ingest
@@ -467,3 +467,94 @@ def stream_counters(spark, d):
     run = ingest.run(source, step, f"{base}/checkpoint")
     run.awaitTermination()
     return spark.read.parquet(f"{base}/counts").groupBy("day").agg(F.sum("processed").alias("processed"), F.sum("failures").alias("failures"))
+
+
+# --- review screens ---------------------------------------------------------------------------------------------------
+
+
+@query(f"{_STATUS} SELECT source, CASE WHEN stored = 'completed' THEN CASE WHEN source < 'src2' THEN 'Approved' ELSE 'Needs review' END WHEN stored = 'partially-completed' THEN 'Partially completed' ELSE 'Processing' END AS label FROM c")
+def status_labels(spark, d):
+    rows = batch_status(spark, d)
+    return rows.select("source", V.status_label(F.col("stored"), F.col("source") < "src2").alias("label"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)")
+def safe_harbor_notes(spark, d):
+    labels = table(spark, d, "labels")
+    return V.present_in_all(table(spark, d, "documents"), labels.filter("quality = 1"), labels.filter("toxic = 0"))
+
+
+@query("SELECT count(*) AS notes FROM labels a JOIN labels b USING (doc_id) WHERE a.quality = 1 AND b.toxic = 0")
+def safe_harbor_count(spark, d):
+    labels = table(spark, d, "labels")
+    return V.present_in_all(labels.filter("quality = 1"), labels.filter("toxic = 0")).agg(F.count("*").alias("notes"))
+
+
+@query("SELECT count(*) AS n, 200::INT AS page_limit, true AS has_next, 'ok' AS decoded FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 200)")
+def page_envelope(spark, d):
+    page = S.page(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), [("o_orderkey", False)], 200)
+    out = V.envelope(page, 0, 200, "o_orderkey")
+    key = V.decoded_cursor(F.col("next_cursor"), "o_orderkey long")["o_orderkey"]
+    return out.select(F.size("items").cast("long").alias("n"), F.col("limit").alias("page_limit"), F.col("next_cursor").isNotNull().alias("has_next"), F.when(key == F.col("items")[199]["o_orderkey"], "ok").otherwise("bad").alias("decoded"))
+
+
+@query("SELECT class, count(*) AS n FROM (" + ORACLES["annotations_islands"] + ") GROUP BY class")
+def annotation_counts(spark, d):
+    return annotations_islands(spark, d).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH a AS ({ORACLES["annotations_islands"]}), g AS (SELECT doc_id, start, "end", class, coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM a)
+SELECT doc_id, start, "end", class FROM g UNION ALL SELECT doc_id, b, start, 'plain' FROM g WHERE start > b
+UNION ALL SELECT d.doc_id, coalesce(m.e, 0), length(text)::INT, 'plain' FROM documents d LEFT JOIN (SELECT doc_id, max("end") AS e FROM a GROUP BY doc_id) m ON d.doc_id = m.doc_id WHERE coalesce(m.e, 0) < length(text)""")
+def note_segments(spark, d):
+    return V.segments(annotations_islands(spark, d), _docs(spark, d).select("doc_id", F.length("text").alias("length")))
+
+
+@query("SELECT 'eval_' || strftime(day, '%Y%m%d') || '_000000.json' AS name, strftime(day, '%Y-%m-%d') || ' 00:00:00' AS at FROM (SELECT DISTINCT ts::DATE AS day FROM events)")
+def evaluation_list(spark, d):
+    days = table(spark, d, "events").select(F.to_date("ts").alias("day")).distinct()
+    names = days.select(F.explode(F.array(F.concat(F.lit("eval_"), F.date_format("day", "yyyyMMdd"), F.lit("_000000.json")), F.lit("eval_x_mistakes.json"))).alias("name"))
+    return V.reports(names, "name")
+
+
+@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n <= 10")
+def first_per_category(spark, d):
+    return V.first_per_category(table(spark, d, "events").select("event_type", "event_id"), ["event_type"], "event_id", 10)
+
+
+@query("SELECT doc_id, contains(lang, 'e') AS edited FROM documents")
+def edited_notes(spark, d):
+    rows = _docs(spark, d, "lang").withColumn("after", F.concat(F.regexp_replace("text", "\n", "\r\n"), F.when(F.col("lang").contains("e"), "x").otherwise("")))
+    return rows.select("doc_id", V.edited(F.col("text"), F.col("after")).alias("edited"))
+
+
+@query("SELECT c_custkey, 'Name: ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'Phone: 555-' || c_custkey ELSE '' END AS context FROM customer")
+def context_lines(spark, d):
+    phone = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("555-"), F.col("c_custkey").cast("string"))).otherwise(" ")
+    return table(spark, d, "customer").select("c_custkey", H.context([("Name", F.col("c_name")), ("Phone", phone)]).alias("context"))
+
+
+@query("SELECT code, display, count(*) AS n FROM (SELECT '185' AS code, unnest(['Visit 1', 'Visit 2']) AS display FROM customer) GROUP BY ALL")
+def encounter_types(spark, d):
+    found = H.encounters(H.resources(_bundles(spark, d), "c_custkey"), "c_custkey")
+    return found.groupBy("code", "display").agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) AS total, count(*) FILTER (length(text) <= 20000) AS processed, count(*) FILTER (length(text) > 20000) AS failed FROM documents GROUP BY source")
+def dataset_summary(spark, d):
+    ok = D.validity(F.col("text")) == "ok"
+    return _docs(spark, d, "source").groupBy("source").agg(F.count("*").alias("total"), F.count_if(ok).alias("processed"), F.count_if(~ok).alias("failed"))
+
+
+@query("SELECT DISTINCT source AS batch_id, 'processing' AS status FROM documents")
+def batch_init(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("batch_id"))
+    known = docs.filter("batch_id < 'src3'").distinct().withColumns({"status": F.lit("ready"), "started_at": F.lit(None).cast("string")})
+    return ingest.initialised(known, docs, "batch_id", F.lit("now")).select("batch_id", "status")
+
+
+@query("SELECT doc_id, 'NOTE#' || doc_id AS record_type, quality IS NOT NULL AS has_output FROM documents LEFT JOIN labels USING (doc_id)")
+def note_init(spark, d):
+    new = table(spark, d, "documents").select("doc_id", F.lit(False).alias("has_output"))
+    state = ingest.inserted(table(spark, d, "labels").select("doc_id", F.lit(True).alias("has_output")), new, ["doc_id"])
+    return state.select("doc_id", F.concat(F.lit("NOTE#"), F.col("doc_id").cast("string")).alias("record_type"), "has_output")
