@@ -87,4 +87,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

@@ -7,7 +7,6 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import small_batches
@@ -146,12 +145,13 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
                 for i in b:
                     seq[i], off[i] = k, at
                     at += int(size[i])
-            base = (TaskContext.get().partitionId() << 36) + made
+            base = (t.column("part")[0].as_py() << 36) + made
             made += len(bins)
-            yield from t.append_column("sequence_id", pa.array(seq + base)).append_column("offset", pa.array(off)).to_batches()
+            yield from t.drop_columns("part").append_column("sequence_id", pa.array(seq + base)).append_column("offset", pa.array(off)).to_batches()
 
     # in an order of their own, so that a task that runs again packs alike
     dealt = rows.repartition(tasks).sortWithinPartitions(F.xxhash64("id", "piece", "ids_crc32"), "id", "piece", "length", "start")
+    dealt = dealt.withColumn("part", F.spark_partition_id())  # of the shuffle, whatever task a caller's coalesce() reads it in
     return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

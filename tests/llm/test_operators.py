@@ -39,6 +39,11 @@ def test_packing_round_trip(spark, data):
     assert got.sequence_id.nunique() <= least + 2
 
 
+def test_packing_when_tasks_are_merged(spark, data):
+    got = packing.pack(docs(spark, data), block=50).coalesce(1).toPandas()
+    assert got.groupby("sequence_id").length.sum().max() <= 1024 and not got.duplicated(["sequence_id", "offset"]).any()
+
+
 def test_local_search_empties_bins():
     sizes = np.array([6, 4, 5, 3, 2, 7, 3])
     bins = packing.local_search([[0], [1], [2, 3], [4], [5], [6]], sizes, 10)
