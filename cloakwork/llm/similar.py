@@ -14,7 +14,7 @@ from .common import components, cut
 #: Words of a shingle, and the least Jaccard similarity of a link.
 WORDS, SIMILAR = 5, 0.8
 #: Code points hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Members of a candidate component that one task compares with as many others.
 BLOCK = 256
 #: Up to this many rows a checked side is broadcast; beyond, both sides are shuffled.
@@ -126,7 +126,7 @@ class Keys:
         at = 0
         while at < len(sets):
             end, size = at, 0
-            while end < len(sets) and (end == at or size + len(sets[end]) <= SLICE >> 2):
+            while end < len(sets) and (end == at or size + len(sets[end]) <= SLICE >> 1):
                 size += len(sets[end])
                 end += 1
             h, first = np.concatenate(sets[at:end]), np.cumsum([0] + [len(s) for s in sets[at : end - 1]])

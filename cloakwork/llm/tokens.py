@@ -24,9 +24,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path)
+        self.path, self._exact = path, None
         self.fast, spec = None, json.load(open(path, encoding="utf-8"))
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
@@ -34,6 +32,15 @@ class Encoder:
             self.fast = self._fast(spec)
             if self.fast.encode_ordinary(PROBE) != self.exact.encode(PROBE, add_special_tokens=False).ids:
                 self.fast = None
+            self._exact = None  # a worker seldom needs it again, and keeps its memory
+
+    @property
+    def exact(self):
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.path)
+        return self._exact
 
     def _fast(self, spec: dict):
         import public_tokenizers
