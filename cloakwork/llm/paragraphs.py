@@ -13,8 +13,13 @@ from .similar import SIMILAR, SLICE, WORDS, Keys, _hash_words, _tables, candidat
 LEAST_WORDS = 10
 #: Recall at the threshold for which bands are tuned, and rows of a band.
 RECALL, ROWS = 0.995, 3
-#: Words of the shortest passage that is found inside paragraphs that aren't alike as a whole.
+#: Words of the runs by which passages are found inside and across paragraphs that aren't alike as a whole.
 PASSAGE = 25
+#: Code points read on both sides of a slice of a very long text, so runs across its ends are seen.
+CONTEXT = 1 << 13
+#: Equal runs this few words apart are a word or phrase over and over.
+NEAR = 8
+NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Up to this many repeated passage hashes (8 bytes each) are broadcast; beyond, both sides are shuffled.
 BROADCAST_HASHES = 2_000_000
 
@@ -36,8 +41,32 @@ def _paragraphs(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def _windows(joined: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end, line) of the n words from each sentence's first word on, where they are in one line. At most SLICE code points."""
+def _slide(x: np.ndarray, w: int, op) -> np.ndarray:
+    """op over each w neighbours, by doubling."""
+    out, have = x, 1
+    while have < w:
+        step = min(have, w - have)
+        out, have = op(out[:-step], out[step:]), have + step
+    return out
+
+
+def _picked(key: np.ndarray, w: int) -> np.ndarray:
+    """Winnowing: whether each place has the least key of some w neighbouring places."""
+    if len(key) <= w:
+        return key == key.min(initial=NEVER)
+    least = _slide(key, w, np.minimum)
+    edge = np.zeros(w - 1, np.uint64)
+    return _slide(np.concatenate([edge, least, edge]), w, np.maximum) == key
+
+
+def _windows(joined: str, n: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end, line) of the picked runs of n words, each within one of the texts that start at `first`. At most SLICE code points.
+
+    Picked are all runs from a sentence's first word on and, where n + 1 places in a row have none, the one of least hash:
+    texts that share 2n + 1 words in a row, with the same ends of sentences, share a picked run, wherever their lines end.
+    Runs that equal one up to NEAR words before (one word over and over) don't count there. Runs from a line's first word
+    on are picked as well.
+    """
     low = joined.lower()
     if len(low) != len(joined):
         low = "".join(c if len(c.lower()) > 1 else c.lower() for c in joined)
@@ -46,58 +75,68 @@ def _windows(joined: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
     c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     line = np.cumsum(c == 10)[start]
-    first = np.ones(len(h), bool)
-    first[1:] = (line[1:] != line[:-1]) | np.isin(c[end[:-1]], (33, 46, 63))
-    i = np.flatnonzero(first[: len(h) - n + 1] & (line[: len(h) - n + 1] == line[n - 1 :]))
+    sentence, begins = np.zeros(len(h), bool), np.ones(len(h), bool)
+    sentence[1:] = np.isin(c[end[:-1]], (33, 46, 63))
+    begins[1:] = line[1:] != line[:-1]
     _, power, inverse = _tables()
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * power[: len(h)], dtype=np.uint64)])
-    return mix((sums[i + n] - sums[i]) * inverse[i]), start[i], end[i + n - 1], line[i]
+    m = len(h) - n + 1
+    name = mix((sums[n:] - sums[:m]) * inverse[:m])
+    text = np.searchsorted(first, start, side="right")
+    again = np.zeros(m, bool)
+    for p in range(1, min(NEAR, m - 1) + 1):
+        again[p:] |= name[p:] == name[:-p]
+    key = np.where(sentence[:m], np.uint64(0), np.where(again, NEVER, name | np.uint64(1)))
+    inside = text[:m] == text[n - 1 :]
+    key[~inside] = NEVER
+    i = np.flatnonzero((_picked(key, n + 1) & (key != NEVER)) | (begins[:m] & inside))
+    return name[i], start[i], end[i + n - 1], line[i]
 
 
 def _cuts(text: str):
-    """(offset, lines before, piece): pieces of at most SLICE - 1 code points, cut at line ends; a longer line is cut at a blank."""
-    at, lines = 0, 0
+    """(offset, lines before, piece, from, to): pieces of less than SLICE code points, each with CONTEXT on both sides of its own part."""
+    at, low, lines = 0, 0, 0
     while at < len(text):
-        end = at + SLICE - 1
-        if end < len(text):
-            last = text.rfind("\n", at, end)
-            blank = text.rfind(" ", at + 1, end)
-            end = last + 1 if last >= at else blank if blank > at else end
-        yield at, lines, text[at:end]
-        lines += text.count("\n", at, end)
+        end = min(len(text), at + SLICE - 1 - 2 * CONTEXT)
+        before, low = low, max(0, at - CONTEXT)
+        lines += text.count("\n", before, low)
+        yield low, lines, text[low : end + CONTEXT], at, end
         at = end
 
 
 def _batch_windows(texts: list[str], n: int):
-    """(row, hash, start, end, paragraph) arrays of all windows of the texts, joined SLICE at a time."""
-    held: list[tuple[int, int, int, str]] = []
+    """(row, hash, start, end, paragraph of the start) arrays of all picked windows of the texts, joined SLICE at a time."""
+    held: list[tuple[int, int, int, str, int, int]] = []
     size = 0
 
     def flush():
         joined = "\n".join(x[3] for x in held)
         first = np.cumsum([0] + [len(x[3]) + 1 for x in held[:-1]])
         lines = np.cumsum([0] + [x[3].count("\n") + 1 for x in held[:-1]])
-        h, start, end, line = _windows(joined, n)
+        h, start, end, line = _windows(joined, n, first)
         k = np.searchsorted(first, start, side="right") - 1
-        row, offset, before = (np.array([x[i] for x in held], np.int64) for i in range(3))
-        return row[k], h, start - first[k] + offset[k], end - first[k] + offset[k], line - lines[k] + before[k]
+        row, offset, before, own, to = (np.array([x[i] for x in held], np.int64)[k] for i in (0, 1, 2, 4, 5))
+        start, end, line = start - first[k] + offset, end - first[k] + offset, line - lines[k] + before
+        keep = (start >= own) & (start < to)
+        return tuple(x[keep] for x in (row, h, start, end, line))
 
     for row, text in enumerate(texts):
-        for offset, before, piece in _cuts(text or ""):
+        for offset, before, piece, own, to in _cuts(text or ""):
             if held and size + len(piece) + 1 > SLICE:
                 yield flush()
                 held, size = [], 0
-            held.append((row, offset, before, piece))
+            held.append((row, offset, before, piece, own, to))
             size += len(piece) + 1
     if held:
         yield flush()
 
 
 def passages(docs: DataFrame, kind: str, clustered: DataFrame, n: int = PASSAGE) -> DataFrame:
-    """Passages of n or more equal words, from a sentence's start on, that stand in different texts inside paragraphs of no cluster.
+    """Passages of n or more equal words that stand in different texts and begin inside paragraphs of no cluster; see _windows.
 
-    docs: (id, h, text); clustered: (id, h, par). First only the windows' hashes are counted, over all paragraphs; the
-    windows that two texts share are then looked up, and those that overlap in a paragraph are joined.
+    docs: (id, h, text); clustered: (id, h, par). First only the windows' hashes are counted, over all texts; the
+    windows that two texts share are then looked up, and those that overlap in a text are joined. Passages may go over
+    line ends; par is the paragraph where one begins.
     """
 
     def hashes(batches):
@@ -122,10 +161,10 @@ def passages(docs: DataFrame, kind: str, clustered: DataFrame, n: int = PASSAGE)
     known = clustered.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("par").alias("__par")).distinct()
     open_ = rows.join(known, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")) & (F.col("par") == F.col("__par")), "left_anti")
     open_ = attach(cut(open_), by, "wh", "n", "inner").withColumn("kept", F.col("lead") == place)
-    w = W.partitionBy("id", "h", "par").orderBy("start", "end")
+    w = W.partitionBy("id", "h").orderBy("start", "end")
     open_ = open_.withColumn("new", F.coalesce((F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(1)))
     open_ = open_.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return open_.groupBy("id", "h", "par", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("lead").alias("lead"), F.max("n").alias("cluster_size"), F.min("kept").alias("kept"))
+    return open_.groupBy("id", "h", "run").agg(F.min("par").alias("par"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("lead").alias("lead"), F.max("n").alias("cluster_size"), F.min("kept").alias("kept"))
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR, least: int = LEAST_WORDS, recall: float = RECALL) -> DataFrame:
@@ -137,8 +176,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     points. Null and empty texts have no paragraphs. Rows that repeat an id and text repeat each other's paragraphs: one of
     equal (id, place) stays marked kept in each row. Null ids come last. Other columns aren't read.
 
-    A paragraph of no cluster may hold a passage that other texts have inside paragraphs of theirs: runs of PASSAGE or more
-    equal words from a sentence's start on are given with kind `passage` (see passages).
+    Paragraphs of no cluster may hold a passage that other texts have as well: runs of PASSAGE or more equal words are given
+    with kind `passage`. A run of 2 * PASSAGE + 1 words that two texts share is found, whatever its lines (see _windows).
 
     Equal sets are one node, counted before the shuffle; only nodes that share a band with another are fetched and compared.
     """

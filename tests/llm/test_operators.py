@@ -205,6 +205,30 @@ def test_passages_inside_paragraphs(spark):
     assert got == [(1, True, "passage"), (2, False, "passage")]
 
 
+def test_passages_across_lines_and_slices(spark):
+    """Any 51 words in a row that two texts share are found, however their lines and sentences lie."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    prose = lambda n: "".join(word() + rng.choice(["  ", " ", " ", "\n", ". "]) for _ in range(n))
+    shared = [" ".join(word() for _ in range(51)) for _ in range(40)]
+    broken = [re.sub(" ", lambda _: rng.choice(" \n"), s) for s in shared]
+    rows = [(k, f"{prose(30 + k)} {s} {prose(40)}") for k, s in enumerate(shared)]
+    rows += [(100 + k, f"{prose(20 + 3 * k)} {s} {prose(25)}") for k, s in enumerate(broken)]
+    border = similar.SLICE - 2 * paragraphs.CONTEXT - 1
+    for k, (lead, s) in enumerate([(border - 200, shared[0]), (border + 3, shared[1]), (2 * border - 150, shared[2])]):
+        filler = prose(2 * border // 7)
+        rows.append((200 + k, f"{filler[:lead]} {s} {filler[lead:]}"))
+    rows += [(300, "the " * 500), (301, "the " * 500 + "end"), (302, None), (303, "")]
+    got = collections.defaultdict(list)
+    texts = dict(rows)
+    for r in paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.kind == "passage":
+            got[r.doc_id].append((r.kept, len(texts[r.doc_id][r.start : r.end].split())))
+    assert set(got) >= {*range(40), *range(100, 140), 200, 201, 202}
+    assert all(kept for k in range(40) for kept, _ in got[k]) and not any(kept for k in (*range(100, 140), 200, 201, 202) for kept, _ in got[k])
+    assert all(25 <= n <= 51 for k in (*range(40), *range(100, 140)) for _, n in got[k])
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1060)]
