@@ -62,10 +62,9 @@ def _picked(key: np.ndarray, w: int) -> np.ndarray:
 def _windows(joined: str, n: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, line) of the picked runs of n words, each within one of the texts that start at `first`. At most SLICE code points.
 
-    Picked are all runs from a sentence's first word on and, where n + 1 places in a row have none, the one of least hash:
-    texts that share 2n + 1 words in a row, with the same ends of sentences, share a picked run, wherever their lines end.
-    Runs that equal one up to NEAR words before (one word over and over) don't count there. Runs from a line's first word
-    on are picked as well.
+    Of n + 1 places in a row the one of least hash is picked (winnowing), first words of sentences before others: about two
+    of n + 2 places, and texts that share 2n + 1 words in a row, with the same ends of sentences, share a picked run,
+    wherever their lines end. Runs that equal one up to NEAR words before (one word over and over) don't count inside sentences.
     """
     low = joined.lower()
     if len(low) != len(joined):
@@ -75,9 +74,8 @@ def _windows(joined: str, n: int, first: np.ndarray) -> tuple[np.ndarray, np.nda
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
     c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     line = np.cumsum(c == 10)[start]
-    sentence, begins = np.zeros(len(h), bool), np.ones(len(h), bool)
+    sentence = np.zeros(len(h), bool)
     sentence[1:] = np.isin(c[end[:-1]], (33, 46, 63))
-    begins[1:] = line[1:] != line[:-1]
     _, power, inverse = _tables()
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * power[: len(h)], dtype=np.uint64)])
     m = len(h) - n + 1
@@ -86,10 +84,9 @@ def _windows(joined: str, n: int, first: np.ndarray) -> tuple[np.ndarray, np.nda
     again = np.zeros(m, bool)
     for p in range(1, min(NEAR, m - 1) + 1):
         again[p:] |= name[p:] == name[:-p]
-    key = np.where(sentence[:m], np.uint64(0), np.where(again, NEVER, name | np.uint64(1)))
-    inside = text[:m] == text[n - 1 :]
-    key[~inside] = NEVER
-    i = np.flatnonzero((_picked(key, n + 1) & (key != NEVER)) | (begins[:m] & inside))
+    key = np.where(sentence[:m], name >> np.uint64(1), np.where(again, NEVER, name | np.uint64(1 << 63)))
+    key[text[:m] != text[n - 1 :]] = NEVER
+    i = np.flatnonzero(_picked(key, n + 1) & (key != NEVER))
     return name[i], start[i], end[i + n - 1], line[i]
 
 
