@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import attach, cut, small_batches
-from .similar import SIMILAR, SLICE, WORDS, Keys, _hash_words, _tables, candidates, digest, fetch, groups, links, mix, shingles, word_hashes
+from .similar import BROADCAST_ROWS, SIMILAR, SLICE, WORDS, Keys, _hash_words, _tables, candidates, digest, fetch, groups, links, mix, shingles, word_hashes
 
 #: Words of the shortest paragraph that is compared.
 LEAST_WORDS = 10
@@ -133,7 +133,7 @@ def passages(docs: DataFrame, kind: str, clustered: DataFrame, n: int = PASSAGE)
 
     docs: (id, h, text); clustered: (id, h, par). First only the windows' hashes are counted, over all texts; the
     windows that two texts share are then looked up, and those that overlap in a text are joined. Passages may go over
-    line ends; par is the paragraph where one begins.
+    line ends; par is the paragraph where one begins. Of a text that several rows hold, a passage is kept in the row of the least id.
     """
 
     def hashes(batches):
@@ -151,17 +151,27 @@ def passages(docs: DataFrame, kind: str, clustered: DataFrame, n: int = PASSAGE)
     texts = docs.filter("text IS NOT NULL")
     shared = texts.select("h", "text").mapInArrow(hashes, "h long, wh long").groupBy("wh").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a < b").select("wh")
     shared = cut(shared)
-    rows = texts.mapInArrow(places, f"id {kind}, h long, par int, start long, end long, wh long")
+    # equal texts are searched once, in the row of the least id, and get their rows at the end
+    no_id = F.col("id").isNull()
+    copied = cut(texts.groupBy("h").agg(F.min(F.struct(no_id.alias("no_id"), "id")).alias("least"), F.count("*").alias("copies")).filter("copies > 1").select("h", F.col("least.id").alias("__least"), "copies"))
+    one = texts.join(F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied, "h", "left").filter(F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("__least")))
+    rows = one.select("id", "h", "text").mapInArrow(places, f"id {kind}, h long, par int, start long, end long, wh long")
     rows = cut(rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_HASHES else shared, "wh"))
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "par", "start")
-    by = cut(rows.groupBy("wh").agg(F.min(place).alias("lead"), F.count("*").alias("n")))
+    place = F.struct(no_id.alias("no_id"), "id", "par", "start")
+    counted = rows.join(F.broadcast(copied.select("h", "copies")) if copied.count() <= BROADCAST_ROWS else copied.select("h", "copies"), "h", "left")
+    by = cut(counted.groupBy("wh").agg(F.min(place).alias("lead"), F.count("*").alias("n"), F.sum(F.coalesce("copies", F.lit(1))).alias("cluster_size")))
     known = clustered.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("par").alias("__par")).distinct()
     open_ = rows.join(known, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")) & (F.col("par") == F.col("__par")), "left_anti")
     open_ = attach(cut(open_), by, "wh", "n", "inner").withColumn("kept", F.col("lead") == place)
     w = W.partitionBy("id", "h").orderBy("start", "end")
     open_ = open_.withColumn("new", F.coalesce((F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(1)))
     open_ = open_.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return open_.groupBy("id", "h", "run").agg(F.min("par").alias("par"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("lead").alias("lead"), F.max("n").alias("cluster_size"), F.min("kept").alias("kept"))
+    runs = open_.groupBy("id", "h", "run").agg(F.min("par").alias("par"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("lead").alias("lead"), F.max("cluster_size").alias("cluster_size"), F.min("kept").alias("kept"))
+    fields = ("par", "start", "end", "lead", "cluster_size", "kept")
+    by_text = runs.groupBy("h").agg(F.collect_set(F.struct(F.col("id").alias("of"), *fields)).alias("runs"))
+    by_text = cut(by_text.join(copied.select("h", "copies"), "h", "left").withColumn("copies", F.coalesce("copies", F.lit(1))))
+    out = attach(texts.select("id", "h"), by_text, "h", "copies", "inner").select("id", "h", F.explode("runs").alias("r"))
+    return out.select("id", "h", *(F.col(f"r.{c}").alias(c) for c in fields[:-1]), (F.col("r.kept") & F.col("id").eqNullSafe(F.col("r.of"))).alias("kept"))
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR, least: int = LEAST_WORDS, recall: float = RECALL) -> DataFrame:

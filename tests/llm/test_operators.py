@@ -218,6 +218,10 @@ def test_passages_across_lines_and_slices(spark):
     for k, (lead, s) in enumerate([(border - 200, shared[0]), (border + 3, shared[1]), (2 * border - 150, shared[2])]):
         filler = prose(2 * border // 7)
         rows.append((200 + k, f"{filler[:lead]} {s} {filler[lead:]}"))
+    short = lambda n: "\n".join(" ".join(word() for _ in range(8)) for _ in range(n))
+    common = short(10)
+    rows += [(401, f"{short(3)}\n{common}")] * 2 + [(402, f"{common}\n{short(4)}")]
+    rows += [(400, rows[-2][1])]  # equal texts
     rows += [(300, "the " * 500), (301, "the " * 500 + "end"), (302, None), (303, "")]
     got = collections.defaultdict(list)
     texts = dict(rows)
@@ -225,6 +229,8 @@ def test_passages_across_lines_and_slices(spark):
         if r.kind == "passage":
             got[r.doc_id].append((r.kept, len(texts[r.doc_id][r.start : r.end].split())))
     assert set(got) >= {*range(40), *range(100, 140), 200, 201, 202}
+    assert [k for k, _ in got[400]] == [True] and [k for k, _ in got[401]] == [False] * 2 and [k for k, _ in got[402]] == [False]
+    assert len({n for k in (400, 401) for _, n in got[k]}) == 1
     assert all(kept for k in range(40) for kept, _ in got[k]) and not any(kept for k in (*range(100, 140), 200, 201, 202) for kept, _ in got[k])
     assert all(25 <= n <= 51 for k in (*range(40), *range(100, 140)) for _, n in got[k])
 
