@@ -51,6 +51,8 @@ ORDINARY = (
 )
 #: Below this probability of the best family a paragraph that looks like a notice is `unknown`; from CONFIRMED on of a template's words in it, the template confirms.
 KNOWN, CONFIRMED = 0.6, 0.6
+#: The families outweigh `none` from 1 on; anchors are chosen with this bound, a little less, so rounding doesn't count.
+BOUND = 0.999
 WORD = "([\\p{L}0-9]+)"
 
 
@@ -68,7 +70,8 @@ def trained(steps: int = 400, l1: float = 1.5e-3, seed: int = 3) -> tuple[list[s
 
     Trained on the notices above, with words dropped and ordinary words put around them, against ordinary paragraphs and
     random mixes of the notices' words. Soft-thresholding keeps few weights. Probabilities are calibrated by one temperature
-    on examples held out. Anchors are the weightiest words such that each notice has two of them.
+    on examples held out. Anchors are the weightiest n-grams, so many that all others together can't bring the class none
+    below one half: a paragraph without an anchor is no notice, by the weights.
     """
     rng = np.random.default_rng(seed)
     common = sorted({w for t in ORDINARY for w in _words(t)})
@@ -118,19 +121,23 @@ def trained(steps: int = 400, l1: float = 1.5e-3, seed: int = 3) -> tuple[list[s
     w, b = np.round(w / t, 6), np.round(b / t, 6)
     w -= w[:, :1]  # the class none has no weights, so what isn't in the vocabulary counts nothing
     b -= b[0]
-    gain = dict(zip(vocabulary, w[:, 1:].max(1), strict=True))
-    words = sorted({w for v in vocabulary for w in v.split()} - COMMON, key=lambda v: (-gain.get(v, 0), v))
+    rest = [int(i) for i in np.argsort(-w[:, 1:].max(1), kind="stable")]  # the weightiest first
     anchors: list[str] = []
-    needs = {t: min(2, len(set(_words(t)) - COMMON)) for t in [*(t for _, t in TEMPLATES), *(t.replace("___", " ") for t in OTHERS)]}
-    for v in words:  # the weightiest first, until each notice has two
-        short = [t for t, n in needs.items() if v in _words(t) and len(set(_words(t)) & set(anchors)) < n]
-        if short:
-            anchors.append(v)
+    while np.exp(np.maximum(w[rest, 1:], 0).sum(0) + b[1:]).sum() > BOUND:  # what is left might still outweigh none
+        anchors.append(vocabulary[rest.pop(0)])
     weights = {v: [float(c) for c in w[i, 1:]] for v, i in at.items() if np.abs(w[i, 1:]).max() > 0}
     return families[1:], weights, [float(c) for c in b[1:]], anchors
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _any_of(grams: list[str]) -> str:
+    """Pattern of a lower-case text that has one of these words or pairs of words; alternatives go by their first letter."""
+    by: dict[str, list[str]] = {}
+    for g in sorted(grams):
+        by.setdefault(g[0], []).append(g[1:].replace(" ", "[^\\p{L}0-9]+"))
+    return "(?<![\\p{L}0-9])(?:" + "|".join(f"{c}(?:{'|'.join(v)})" for c, v in by.items()) + ")(?![\\p{L}0-9])"
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchored: bool = True) -> DataFrame:
     """(id, paragraph, start, family, probability, template, similarity, confirmed, notice) for each paragraph that is likelier a notice than not.
 
     Paragraphs are lines; start is in code points. family is the likeliest licence family, `unknown` where its calibrated
@@ -138,15 +145,17 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     of words in the paragraph, similarity that share, confirmed whether it reaches CONFIRMED. Null and empty texts give no
     rows; repeated rows give theirs each; null ids stay; other columns aren't read.
 
-    A paragraph without any anchor word is no notice, and leaves before any n-gram is made. N-grams are joined with the weights, a broadcast literal of a size fixed by the templates. Equal paragraphs at the
-    same (id, place) are counted as one and given back as often.
+    Only paragraphs with an anchor can be notices, by the model's weights, so the others leave before any n-gram is made; not
+    anchored scores every paragraph, with the same rows. N-grams are joined with the weights, a broadcast literal of a size
+    fixed by the templates. Equal paragraphs at the same (id, place) are counted as one and given back as often.
     """
     spark = df.sparkSession
     families, weights, bias, anchors = trained()
-    found = "(?i)(?<![\\p{L}0-9])(?:" + "|".join(anchors) + ")(?![\\p{L}0-9])"
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike(found))
+    found = _any_of(anchors)
+    fits = lambda c: F.lower(c).rlike(found) if anchored else F.col(c).isNotNull()
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(fits("text"))
     lines = F.split("text", "\n", -1)
-    pars = docs.select("id", F.posexplode(lines).alias("par", "notice"), lines.alias("lines")).filter(F.col("notice").rlike(found))
+    pars = docs.select("id", F.posexplode(lines).alias("par", "notice"), lines.alias("lines")).filter(fits("notice"))
     start = F.aggregate(F.slice("lines", 1, F.col("par")), F.lit(0).cast("long"), lambda a, x: a + F.length(x) + 1)
     pars = pars.select("id", "par", start.alias("start"), "notice").groupBy("id", "par", "start", "notice").agg(F.count("*").alias("n"))
     words = F.regexp_extract_all(F.lower("notice"), F.lit(WORD), 1)

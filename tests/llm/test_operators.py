@@ -323,6 +323,19 @@ def test_licenses_brute_force(spark):
     assert all(got[k][0].confirmed for k in (1, 5, 6, 7))
 
 
+def test_licenses_need_no_chosen_word(spark):
+    """The anchors cut nothing: filtered and unfiltered scans agree, also on notices without their weightiest words."""
+    _, weights, _, anchors = licenses.trained()
+    rng, grams = random.Random(6), sorted(weights)
+    partial = ["Creative Commons Attribution-NonCommercial 4.0", "under the 3-Clause BSD", "UNDER\tTHE 3-clause\u00a0bsd", "This work is under a Creative Commons Attribution 4.0 International", "Unless required by applicable law or agreed to in writing, software under the is on an as is basis, without warranties or conditions of any kind"]
+    made = [rng.choice([" ", ", ", "-"]).join(rng.choice([str.upper, str.lower])(g) for g in rng.sample(grams, rng.randint(1, 6))) for _ in range(600)]
+    made += ["a\nb", "", None, "under\nthe 3\nclause bsd", "\u212aind of wor\u212a", "sublicensed bsdx"]
+    df = spark.createDataFrame(list(enumerate(partial + made)), "doc_id long, text string")
+    got, every = ([tuple(r) for r in licenses.scan(df, anchored=k).collect()] for k in (True, False))
+    assert sorted(got) == sorted(every) and {r[0] for r in got} >= set(range(len(partial))) and 20 < len(got) < 600
+    assert len(anchors) < len(weights)
+
+
 @pytest.mark.parametrize("text", ["", "a" * 70_000, "x <|endoftext|> y", "\u00e9\U0001f600 \t\n 12345 it's"])
 def test_encoder_is_exact(text):
     enc = tokens.encoder()
