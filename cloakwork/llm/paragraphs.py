@@ -129,9 +129,11 @@ def _batch_windows(texts: list[str], n: int):
 
 
 def passages(docs: DataFrame, kind: str, clustered: DataFrame, n: int = PASSAGE) -> DataFrame:
-    """Passages of n or more equal words that stand in different texts and begin inside paragraphs of no cluster; see _windows.
+    """Passages of n or more equal words that stand in different texts and begin inside paragraphs that stay; see _windows.
 
-    docs: (id, h, text); clustered: (id, h, par). First only the windows' hashes are counted, over all texts; the
+    docs: (id, h, text); clustered: (id, h, par, kept), the paragraphs of clusters. Those removed have no passage rows and hold
+    no passage's first place, as they go as a whole. Those kept have rows for passages that another text has in a paragraph
+    that stays; what only their own removed copies repeat needs none. First only the windows' hashes are counted, over all texts; the
     windows that two texts share are then looked up, and those that overlap in a text are joined. Passages may go over
     line ends; par is the paragraph where one begins. Of a text that several rows hold, a passage is kept in the row of the least id.
     """
@@ -156,13 +158,14 @@ def passages(docs: DataFrame, kind: str, clustered: DataFrame, n: int = PASSAGE)
     copied = cut(texts.groupBy("h").agg(F.min(F.struct(no_id.alias("no_id"), "id")).alias("least"), F.count("*").alias("copies")).filter("copies > 1").select("h", F.col("least.id").alias("__least"), "copies"))
     one = texts.join(F.broadcast(copied) if copied.count() <= BROADCAST_ROWS else copied, "h", "left").filter(F.col("copies").isNull() | F.col("id").eqNullSafe(F.col("__least")))
     rows = one.select("id", "h", "text").mapInArrow(places, f"id {kind}, h long, par int, start long, end long, wh long")
-    rows = cut(rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_HASHES else shared, "wh"))
-    place = F.struct(no_id.alias("no_id"), "id", "par", "start")
+    known = clustered.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("par").alias("__par"), F.col("kept").alias("stays")).distinct()
+    rows = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_HASHES else shared, "wh")
+    rows = cut(rows.join(known, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")) & (F.col("par") == F.col("__par")), "left").drop("__id", "__h", "__par"))
+    place, open_ = F.struct(no_id.alias("no_id"), "id", "par", "start"), F.col("stays").isNull() | F.col("stays")
     counted = rows.join(F.broadcast(copied.select("h", "copies")) if copied.count() <= BROADCAST_ROWS else copied.select("h", "copies"), "h", "left")
-    by = cut(counted.groupBy("wh").agg(F.min(place).alias("lead"), F.count("*").alias("n"), F.sum(F.coalesce("copies", F.lit(1))).alias("cluster_size")))
-    known = clustered.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("par").alias("__par")).distinct()
-    open_ = rows.join(known, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")) & (F.col("par") == F.col("__par")), "left_anti")
-    open_ = attach(cut(open_), by, "wh", "n", "inner").withColumn("kept", F.col("lead") == place)
+    texts_left = F.min(F.when(open_, F.col("h"))) < F.max(F.when(open_, F.col("h")))
+    by = cut(counted.groupBy("wh").agg(F.min(F.when(open_, place)).alias("lead"), F.coalesce(texts_left, F.lit(False)).alias("twice"), F.count("*").alias("n"), F.sum(F.coalesce("copies", F.lit(1))).alias("cluster_size")))
+    open_ = attach(rows.filter(open_), by, "wh", "n", "inner").filter("stays IS NULL OR twice").withColumn("kept", F.col("lead") == place)
     w = W.partitionBy("id", "h").orderBy("start", "end")
     open_ = open_.withColumn("new", F.coalesce((F.col("start") > F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1))).cast("int"), F.lit(1)))
     open_ = open_.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -183,8 +186,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     points. Null and empty texts have no paragraphs. Rows that repeat an id and text repeat each other's paragraphs: one of
     equal (id, place) stays marked kept in each row. Null ids come last. Other columns aren't read.
 
-    Paragraphs of no cluster may hold a passage that other texts have as well: runs of PASSAGE or more equal words are given
-    with kind `passage`. A run of 2 * PASSAGE + 1 words that two texts share is found, whatever its lines (see _windows).
+    Paragraphs that stay, of a cluster or of none, may hold a passage that other texts have as well: runs of PASSAGE or more
+    equal words are given with kind `passage`. A run of 2 * PASSAGE + 1 words that two texts share is found, whatever its lines (see _windows).
 
     Equal sets are one node, counted before the shuffle; only nodes that share a band with another are fetched and compared.
     """
@@ -230,7 +233,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     named = cut(whole.join(roots, "root").select("node", "size", "lead", "cluster_size"))
     places = rows.select("id", "h", "par", "start", "end", "node")
     whole_ = cut(attach(places, named, "node", "size", "inner").withColumn("kept", F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("par") == F.col("lead.par"))))
-    inner = passages(docs, kind, whole_.select("id", "h", "par"))
+    inner = passages(docs, kind, whole_.select("id", "h", "par", "kept"))
     cols = [F.col("id").alias(id_col), F.col("par").alias("paragraph"), "start", "end", F.col("lead.id").alias("cluster_id"), F.col("lead.par").alias("cluster_par"), "cluster_size", "kept"]
     return whole_.select(*cols, F.lit("paragraph").alias("kind")).unionByName(inner.select(*cols, F.lit("passage").alias("kind")))
 

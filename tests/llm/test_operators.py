@@ -205,6 +205,22 @@ def test_passages_inside_paragraphs(spark):
     assert got == [(1, True, "passage"), (2, False, "passage")]
 
 
+def test_passages_in_copied_paragraphs(spark):
+    """A cluster's kept paragraph that repeats an earlier document's passage gets a removal row; removed ones hold no first place."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage, other = words(55), words(55)
+    copied, near = f"{words(20)} {passage} {words(20)}", words(300)
+    # 10 and 11 are copies; 1 holds their passage. 20 and 21 are alike, but only the removed one holds `other`, as does 30
+    rows = [(1, f"{words(60)} {passage} {words(9)}"), (10, copied), (11, copied + "\n" + words(12)), (20, near), (21, f"{near[:1400]} {other} {near[1400:]}"), (30, f"{other} {words(80)}")]
+    rows += [(40, (alone := words(60))), (41, alone + "\n" + words(11))]
+    got = {(r.doc_id, r.kind, r.kept, r.cluster_id) for r in paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {
+        (1, "passage", True, 1), (10, "paragraph", True, 10), (10, "passage", False, 1), (11, "paragraph", False, 10), (20, "paragraph", True, 20), (21, "paragraph", False, 20),
+        (30, "passage", True, 30), (40, "paragraph", True, 40), (41, "paragraph", False, 40),
+    }
+
+
 def test_passages_across_lines_and_slices(spark):
     """Any 51 words in a row that two texts share are found, however their lines and sentences lie."""
     rng = random.Random(2)
