@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -12,6 +14,10 @@ from .similar import mix
 
 #: Lines of the shortest run that counts as repeated.
 LEAST_LINES = 2
+#: A line of so many words, parted by blanks, is content: it counts as repeated alone as well.
+CONTENT_WORDS = 5
+#: Letters of scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Han): two of them count as a word.
+NO_BLANKS = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Up to this many deleted lines their numbers are broadcast to the texts; beyond, both are shuffled by document.
 BROADCAST_LINES = 1_000_000
 SPLIT = "\n"
@@ -21,25 +27,27 @@ BLANKS = " \t\n\x0b\f\r"
 ADDED = {"n_lines": T.IntegerType(), "n_dropped": T.IntegerType(), "dropped_lines": T.ArrayType(T.IntegerType()), "longest_run": T.IntegerType()}
 
 
-def _names(texts: list[str], least: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
-    """Names (pairs of 64-bit numbers) of the first `least` lines of each suffix, and of twice, four times ... as many, as far as lines last.
+def _content(line: str) -> bool:
+    return len(line.split()) >= CONTENT_WORDS or not line.isascii() and len(line.split()) + len(NO_BLANKS.findall(line)) // 2 >= CONTENT_WORDS
+
+
+def _names(texts: list[str], least: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Names (pairs of 64-bit numbers) of the first `least` lines of each suffix, and of 1, 2, 4 ... lines, as far as lines last.
 
     A line's ID is a 128-bit hash of it without outer and repeated blanks; the name of 2w lines is made of the names of w
     lines at k and at k + w: prefix doubling, all of a text's suffixes at once.
     """
     lines = [xxhash.xxh3_128_digest(" ".join(x.split()).encode("utf-8", "surrogatepass")) for x in texts]
     name = np.frombuffer(b"".join(lines), np.uint64).reshape(-1, 2)
+    w, levels = 1, [name]
+    while len(levels[-1]) > w:
+        levels.append(_double(levels[-1], w))
+        w *= 2
     w = 1
     while w < least and len(name):
         step = min(w, least - w)  # the last two windows may overlap
         name, w = _double(name, step), w + step
-    deeper = []
-    at = name
-    while len(at) > w:
-        at = _double(at, w)
-        deeper.append(at)
-        w *= 2
-    return name, deeper
+    return name, levels
 
 
 def _double(name: np.ndarray, step: int) -> np.ndarray:
@@ -49,13 +57,13 @@ def _double(name: np.ndarray, step: int) -> np.ndarray:
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LINES) -> DataFrame:
-    """(id, h, k, depth, first): the suffixes of `least` or more lines whose first lines begin another suffix as well.
+    """(id, h, k, w, depth, first): the windows of w lines that stand elsewhere as well: w is `least`, or 1 for lines that are content.
 
     A document is its sequence of line IDs without blank lines; k counts those, and h is the text's hash. Each document
     doubles its own prefixes; the classes of equal names over all documents, which are the LCP intervals at that depth, come
-    from one grouped minimum for `least` lines and, only for suffixes tied there, from one for all greater depths. depth is
-    that of the deepest interval with another suffix (`least` times a power of two), first the first place (id, h, k) of the
-    interval at `least` lines.
+    from one grouped minimum for the windows and, only for suffixes tied there, from one for all greater depths. first
+    is the first place (id, h, k) of the window. depth is the number of lines that the suffix at k shares with another suffix,
+    for the deepest of a text's later places (see _lcp); it is w for others.
     """
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
@@ -64,27 +72,68 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         for b in batches:
             for row, text in enumerate(b.column(2)):
-                name, deeper = _names([x for x in (text.as_py() or "").split(SPLIT) if x.strip(BLANKS)], least)
-                for at in range(0, len(name), 10_000):
-                    own = name[at : at + 10_000]
-                    more = [np.concatenate([d[k] for d in deeper if k < len(d)] or [name[:0].reshape(-1)]).view(np.int64) for k in range(at, at + len(own))]
-                    where = pa.array(np.full(len(own), row))
+                lines = [x for x in (text.as_py() or "").split(SPLIT) if x.strip(BLANKS)]
+                name, levels = _names(lines, least)
+                for at in range(0, len(lines), 10_000):
+                    to = min(len(lines), at + 10_000)
+                    more = [np.concatenate([d[k] for d in levels if k < len(d)]).view(np.int64) for k in range(at, to)]
+                    where = pa.array(np.full(to - at, row))
+                    windows = [[{"w": w, "name": n} for w, n in ((least, name[k].tobytes() if k < len(name) else None), (1, levels[0][k].tobytes() if least > 1 and _content(lines[k]) else None)) if n] for k in range(at, to)]
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(where), b.column(1).take(where), pa.array(np.arange(at, at + len(own)), pa.int32()), pa.array([n.tobytes() for n in own], pa.binary()), pa.array(more, pa.list_(pa.int64()))],
-                        names=["id", "h", "k", "name", "more"],
+                        [b.column(0).take(where), b.column(1).take(where), pa.array(np.arange(at, to), pa.int32()), pa.array(windows, pa.list_(pa.struct([("w", pa.int32()), ("name", pa.binary())]))), pa.array(more, pa.list_(pa.int64()))],
+                        names=["id", "h", "k", "windows", "more"],
                     )
 
-    names = cut(docs.mapInArrow(_merged(run), f"id {kind}, h long, k int, name binary, more array<long>"))
+    names = cut(docs.mapInArrow(_merged(run), f"id {kind}, h long, k int, windows array<struct<w:int,name:binary>>, more array<long>"))
+    place = F.struct("id", "h", "k")
+    windows = names.select("id", "h", "k", F.explode("windows").alias("x"), "more").select("id", "h", "k", "x.w", "x.name", "more")
+    tied = windows.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first < last")
+    active = cut(attach(windows, cut(tied.select("name", "first", "n")), "name", "n", "inner").drop("n").dropDuplicates(["id", "h", "k", "w"]))
+    later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("k") == F.col("first.k")))
+    suffixes = active.groupBy("id", "h", "k").agg(F.first("more").alias("more"), F.max(later).alias("later"))
+    depths = _lcp(suffixes, names.select("id", "h", "k", "more"))
+    out = active.withColumn("place", place).join(depths, "place", "left")
+    return out.select("id", "h", "k", "w", F.greatest(F.col("w"), F.coalesce("depth", F.lit(0))).alias("depth"), "first")
+
+
+def _lcp(active: DataFrame, names: DataFrame) -> DataFrame:
+    """(place, depth): the greatest number of lines shared with another suffix, for a text's deepest later suffixes.
+
+    The deepest class of equal names gives a power of two, D; the interval from D to 2 D is then halved in rounds, all suffixes
+    at once. Of a group of suffixes equal in d lines, those equal in the next `step` lines too go on together from d + step.
+    The others go on from d, beside one representative of each class that went: they may share a few lines with it.
+    """
     place = F.struct("id", "h", "k")
-    tied = names.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first < last")
-    active = cut(attach(names, cut(tied.select("name", "first", "n")), "name", "n", "inner").drop("n").dropDuplicates(["id", "h", "k"]))
-    pairs = F.expr("transform(sequence(1, size(more) div 2), i -> struct(i AS level, more[2 * i - 2] AS a, more[2 * i - 1] AS b))")
-    deep = active.filter("size(more) > 0").select("id", "h", "k", F.explode(pairs).alias("p")).select("id", "h", "k", F.struct("p.level", "p.a", "p.b").alias("name"), "p.level")
-    shared = cut(deep.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"))
-    levels = attach(deep, shared, "name", "n", "inner").groupBy("id", "h", "k").agg(F.max("level").alias("level"))
-    levels = levels.select(F.struct("id", "h", "k").alias("place"), "level")
-    out = active.withColumn("place", place).join(levels, "place", "left")
-    return out.select("id", "h", "k", (F.lit(least) * F.pow(F.lit(2), F.coalesce("level", F.lit(0)))).cast("int").alias("depth"), "first")
+    pairs = F.expr("transform(sequence(1, size(more) div 2), i -> struct(i - 1 AS level, more[2 * i - 2] AS a, more[2 * i - 1] AS b))")
+    deep = active.select("id", "h", "k", "later", F.explode(pairs).alias("name"))
+    shared = cut(deep.groupBy("name").agg(F.count("*").alias("n"), F.min(place).alias("one")).filter("n > 1"))
+    levels = cut(attach(deep, shared.select("name", "n"), "name", "n", "inner").groupBy("id", "h", "k").agg(F.max("name").alias("name"), F.max("later").alias("later")))
+    deepest = levels.filter("later").groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.max("name.level").alias("most"))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
+    g = F.struct(F.xxhash64("name").alias("x"), F.col("name.a").alias("y")).alias("g")
+    rows = levels.join(deepest, same, "left").select("id", "h", "k", F.col("name.level").alias("level"), g, (F.col("later") & (F.col("name.level") == F.col("most"))).alias("wanted"))
+    rows = cut(rows.withColumn("wanted", F.coalesce("wanted", F.lit(False))))
+    known = rows.filter("wanted").select("g").distinct()
+    # a representative of each class one level deeper
+    ones = shared.filter("name.level > 0").select(F.col("one.id").alias("__id"), F.col("one.h").alias("__h"), F.col("one.k").alias("__k"), (F.col("name.level") - 1).alias("level"))
+    ones = active.join(ones, same & (F.col("k") == F.col("__k"))).withColumn("name", F.expr("struct(level, more[2 * level] AS a, more[2 * level + 1] AS b)"))
+    rows = rows.unionByName(ones.select("id", "h", "k", "level", g, F.lit(False).alias("wanted"))).join(known, "g", "left_semi")
+    rows = cut(rows.select("id", "h", "k", F.col("level") - 1, "wanted", "g", F.expr("shiftleft(1, level)")).toDF("id", "h", "k", "level", "wanted", "g", "d"))
+    at = names.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("k").alias("__k"), F.col("more").alias("__more"))
+    met = same & (F.col("k") + F.col("d") == F.col("__k"))
+    to = F.when(F.expr("2 * level < size(__more)"), F.struct(F.xxhash64("g", F.expr("get(__more, 2 * level)"), F.expr("get(__more, 2 * level + 1)")).alias("x"), F.expr("get(__more, 2 * level)").alias("y"))).alias("to")
+    out = rows.filter("wanted AND level < 0").select(place.alias("place"), F.col("d").alias("depth"))
+    for _ in range((rows.agg(F.max("level")).first()[0] or 0) + 1):
+        tried = cut(rows.filter("level >= 0").join(at, met, "left").select("id", "h", "k", "level", "wanted", "g", "d", to).dropDuplicates(["id", "h", "k", "wanted", "g"]))
+        went = cut(tried.filter("to IS NOT NULL").groupBy("to").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "k", "level", "g", "d")).alias("one")).filter("n > 1"))
+        marked = cut(attach(tried, went.select("to", "n"), "to", "n"))
+        right = marked.filter("n IS NOT NULL").select("id", "h", "k", F.col("level") - 1, "wanted", F.col("to").alias("g"), F.expr("d + shiftleft(1, level)"))
+        left = marked.filter("n IS NULL").select("id", "h", "k", F.col("level") - 1, "wanted", "g", "d")
+        behind = left.filter("wanted").select("g").distinct()
+        ones = went.select("one.*").select("id", "h", "k", F.col("level") - 1, F.lit(False), "g", "d").join(behind, "g", "left_semi").select("id", "h", "k", "(level - 1)", "false", "g", "d")
+        rows = cut(right.union(left).union(ones).toDF("id", "h", "k", "level", "wanted", "g", "d"))
+        out = out.union(rows.filter("wanted AND level < 0").select(place.alias("place"), F.col("d").alias("depth")))
+    return out
 
 
 def _merged(run):
@@ -107,15 +156,15 @@ def _merged(run):
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LINES) -> DataFrame:
     """(id, h, dropped, longest): for each (id, text) with later copies the numbers (among its nonblank lines) of those to delete.
 
-    A run of `least` lines that began at an earlier place deletes its lines, but for lines that are part of that earlier
-    place itself (a run that overlaps its own first copy); the union over all runs are the maximal repeated runs.
-    longest: lines of the longest run that was found repeated from one of its places, up to a factor of two.
+    A run of `least` lines, or a line that is content, that began at an earlier place deletes its lines, but for lines that are
+    part of that earlier place itself (a run that overlaps its own first copy); the union over all runs are the maximal
+    repeated runs. longest: lines of the longest run that begins at one of its later places and stands elsewhere too.
     """
     runs = repeated_runs(df, id_col, text_col, least)
     same = F.col("id").eqNullSafe(F.col("first.id")) & F.col("h").eqNullSafe(F.col("first.h"))
     later = runs.filter(~(same & (F.col("k") == F.col("first.k"))))
-    begin = F.when(same, F.greatest(F.col("k"), F.col("first.k") + least)).otherwise(F.col("k"))
-    later = later.select("id", "h", "depth", F.explode(F.sequence(begin, F.col("k") + least - 1)).alias("line"))
+    begin = F.when(same, F.greatest(F.col("k"), F.col("first.k") + F.col("w"))).otherwise(F.col("k"))
+    later = later.select("id", "h", "depth", F.explode(F.sequence(begin, F.col("k") + F.col("w") - 1)).alias("line"))
     return later.groupBy("id", "h").agg(F.array_sort(F.collect_set("line")).alias("dropped"), F.max("depth").alias("longest"))
 
 

@@ -152,6 +152,34 @@ def test_lines_brute_force(spark):
             assert r.text == "\n".join(x for k, x in enumerate(dict(made)[r.doc_id].split("\n")) if k not in gone)
 
 
+def test_single_lines_and_longest_runs(spark):
+    """A repeated line of five words goes wherever it stands; longest_run is the exact number of lines."""
+    rng = random.Random(8)
+    pool = ["a", "b", "c d e f", "one two three four five", "one  two three four six ", "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u51fa\u53bb", "\u4eca\u5929"]
+    long = [f"x{k}" for k in range(40)]
+    made = [(k, "\n".join(rng.choice(pool[: rng.randint(1, 7)]) for _ in range(rng.randint(0, 14)))) for k in range(40)]
+    made += [(100 + k, "\n".join([f"head {k}", *long[rng.randint(0, 9) : rng.randint(10, 40)], f"foot {k}"])) for k in range(25)] + [(200, "\n".join(long)), (201, "\n".join(long[3:10])), (202, "one two three four five")]
+    words = lambda x: len(x.split()) + len(re.findall("[\u4e00-\u9fff]", x)) // 2
+    seqs = {i: [(k, " ".join(x.split())) for k, x in enumerate(t.split("\n")) if x.strip()] for i, t in made}
+    first, shared = {}, collections.Counter()
+    for i, q in sorted(seqs.items()):
+        for a in range(len(q)):
+            for b in range(a + 1, len(q) + 1):
+                first.setdefault(tuple(x for _, x in q[a:b]), (i, a))
+                shared[tuple(x for _, x in q[a:b])] += 1
+    for r in lines.dedup_lines(spark.createDataFrame(made, "doc_id long, text string")).collect():
+        q, gone, longest = seqs[r.doc_id], set(), 0
+        for w in (1, 2):
+            for a in range(len(q) - w + 1):
+                run = tuple(x for _, x in q[a : a + w])
+                i, b = first[run]
+                if (i, b) != (r.doc_id, a) and (w == 2 or words(q[a][1]) >= 5):
+                    at = [z for z in range(a, a + w) if not (i == r.doc_id and z < b + w)]
+                    gone |= {q[z][0] for z in at}
+                    longest = max([longest, *(n for n in range(1, len(q) - a + 1) if at and shared[tuple(x for _, x in q[a : a + n])] > 1)])
+        assert (sorted(gone), longest) == (sorted(r.dropped_lines), r.longest_run), r
+
+
 def clusters(named):
     """Connected components of equal or similar sets: {member: sorted members}, and links of each."""
     by = collections.defaultdict(list)
