@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from cloakwork.operators.diff import word_diff
 from cloakwork.operators import evaluate as E, fhir as H, stats as S, synth as Y
 from cloakwork.sources import files
 from cloakwork.streaming import ingest
@@ -139,3 +140,10 @@ def test_state(spark):
     got = {r.batch_id: (r.status, r.started_at) for r in ingest.initialised(state, spark.createDataFrame([("b1",), ("b3",)], "batch_id string"), "batch_id", F.lit("now")).collect()}
     assert got == {"b1": ("processing", "now"), "b2": ("completed", "t0"), "b3": ("processing", "now")}
     assert ingest.inserted(state, state.unionByName(spark.createDataFrame([("b4", "x", "y")], state.schema)), ["batch_id"]).count() == 3
+
+
+def test_word_diff_counts_texts_of_any_size_alike(spark):
+    long = " ".join(f"w{k}" for k in range(2100))
+    rows = [(1, "a b c e", "a c e b a b"), (2, f"{long} a b c e", f"{long} a c e b a b"), (3, "a b", "a b"), (4, None, "a"), (5, "a x b", "a y b")]
+    got = {r.k: (r.removed, r.added, r.unchanged) for r in word_diff(spark.createDataFrame(rows, "k int, x string, y string"), "k", "x", "y").collect()}
+    assert got == {1: (1, 3, 3), 2: (1, 3, 2103), 3: (0, 0, 2), 4: (0, 1, 0), 5: (1, 1, 2)}
