@@ -352,8 +352,13 @@ def placeholder_distinct(spark, d):
     return spark.range(1).select(F.explode(Y.placeholders(F.lit(TEMPLATE))).alias("placeholder"))
 
 
+#: Up to this many nations are broadcast; beyond, both tables are shuffled.
+BROADCAST_NATIONS = 100_000
+
+
 def _filled(spark, d):
-    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation").limit(1000)), F.expr("c_nationkey = n_nationkey"))
+    nation = table(spark, d, "nation")
+    c = table(spark, d, "customer").join(F.broadcast(nation) if nation.count() <= BROADCAST_NATIONS else nation, F.expr("c_nationkey = n_nationkey"))
     values = {"NAME": F.col("c_name"), "CITY": F.col("n_name"), "ACCOUNT_NUMBER": F.concat(F.lit("ACCT-"), F.col("c_custkey").cast("string")), "PHONE": F.concat(F.lit("555-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))}
     return c.select("c_custkey", *(v.alias(k) for k, v in values.items())).withColumn("text", Y.fill(F.lit(TEMPLATE), {k: F.col(k) for k in values})), list(values)
 

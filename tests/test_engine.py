@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.operators.diff import word_diff
 from cloakwork.operators import evaluate as E, fhir as H, stats as S, synth as Y
+from cloakwork.plans import catalogue
 from cloakwork.sources import files
 from cloakwork.streaming import ingest
 
@@ -147,3 +148,11 @@ def test_word_diff_counts_texts_of_any_size_alike(spark):
     rows = [(1, "a b c e", "a c e b a b"), (2, f"{long} a b c e", f"{long} a c e b a b"), (3, "a b", "a b"), (4, None, "a"), (5, "a x b", "a y b")]
     got = {r.k: (r.removed, r.added, r.unchanged) for r in word_diff(spark.createDataFrame(rows, "k int, x string, y string"), "k", "x", "y").collect()}
     assert got == {1: (1, 3, 3), 2: (1, 3, 2103), 3: (0, 0, 2), 4: (0, 1, 0), 5: (1, 1, 2)}
+
+
+def test_templates_of_many_nations(spark, tmp_path, monkeypatch):
+    spark.range(1500).selectExpr("id AS c_custkey", "'n' || id AS c_name", "CAST(id AS int) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(1500).selectExpr("CAST(id AS int) AS n_nationkey", "'c' || id AS n_name").write.parquet(f"{tmp_path}/nation.parquet")
+    for most in (catalogue.BROADCAST_NATIONS, 10):
+        monkeypatch.setattr(catalogue, "BROADCAST_NATIONS", most)
+        assert catalogue.QUERIES["template_fill"](spark, str(tmp_path)).count() == 1500
