@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches
+from .lines import NO_BLANKS
 
 #: Edits (of words) that a passage may have, as a share of the item's words.
 EDITS = 0.15
-#: Items of fewer words can't be told from ordinary text and are not searched.
+#: Items of fewer words are searched without edits.
 LEAST_WORDS = 8
 #: Code points of items that one automaton holds; more items are searched in as many passes over the documents.
 AUTOMATON = 8 << 20
@@ -21,8 +22,9 @@ SPLIT = re.compile(r"[\W_]+")
 
 
 def plain(text: str) -> str:
-    """Words (runs of letters and digits, lower-cased) with a space before and after each."""
-    return f" {SPLIT.sub(' ', text.lower()).strip()} "
+    """Words (runs of letters and digits, lower-cased; each letter of a script without blanks) with a space before and after each."""
+    low = text.lower()
+    return f" {SPLIT.sub(' ', low if low.isascii() else NO_BLANKS.sub(r' \g<0> ', low)).strip()} "
 
 
 def cut_in_pieces(words: list[str], edits: int) -> list[tuple[int, list[str]]]:
@@ -39,9 +41,9 @@ class Searcher:
         self.items, pieces = [], {}
         for item_id, text in items:
             words = plain(text or "").split()
-            if len(words) < least:
+            if not words:
                 continue
-            budget, masks = int(edits * len(words)), {}
+            budget, masks = int(edits * len(words)) if len(words) >= least else 0, {}
             for i, w in enumerate(words):
                 masks[w] = masks.get(w, 0) | 1 << i
             for at, run in cut_in_pieces(words, budget):
@@ -122,7 +124,8 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
     A passage is a run of the document's words within edits * (the item's words) insertions, deletions and substitutions
     of the whole item; the one with the least distance, first of these, is given. Case, punctuation and blanks don't
-    count. Null and empty texts hold nothing; items of fewer than `least` words, or null, are not searched. Repeated rows
+    count. Null and empty texts hold nothing; items of fewer than `least` words are searched without edits, those
+    without words, or null, not at all. Each letter of a script without blanks (Chinese, Japanese, Thai) is a word. Repeated rows
     give their rows each; equal items too; null ids stay. No items or no documents: no rows.
 
     Documents are read where they lie: nothing is shuffled, so no passage is hot. Items come to every task in blocks of

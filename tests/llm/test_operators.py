@@ -338,6 +338,14 @@ def test_leaks_with_edits(spark):
         assert got[k][item] == true <= edits
 
 
+def test_leaks_of_short_items_and_scripts_without_blanks(spark):
+    items = [(1, "Zork likes tea"), (2, "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u51fa\u53bb"), (3, "..."), (4, None), (5, "a b c d e f g")]
+    texts = ["Old zork, likes TEA!", "zork likes green tea", "zork likes teas", "\u54e6\u4eca\u5929\u5929\u6c14\u5f88\u574f\u6211\u4eec\u51fa\u53bb\u3002", "\u4eca\u5929\u5929\u6c14", "x a b c d e f g", "x a b c e f g", None, ""]
+    frame = lambda x, s: spark.createDataFrame(x, s)
+    got = decontaminate.contaminated(frame(list(enumerate(texts)), "doc_id long, text string"), frame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(0, 1, 0), (3, 2, 1), (5, 5, 0)]
+
+
 def test_leaks_in_blocks(spark, data, monkeypatch):
     whole = {tuple(r) for r in decontaminate.op9_decontamination(spark, data).collect()}
     monkeypatch.setattr(decontaminate, "AUTOMATON", 2000)
