@@ -1,4 +1,4 @@
-"""Operator 10: n-gram Jaccard join of documents by a MinHash LSH forest with exact verification."""
+"""Operator 10: n-gram Jaccard join of documents by MinHash banding with exact verification."""
 
 from __future__ import annotations
 
@@ -22,8 +22,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     wordless texts are linked with nothing, in a class of their own (class_id is their id). Repeated rows are documents of
     their own, linked with each other; null ids stay and never name a class that has another id. Other columns aren't read.
 
-    Each tree of the forest sorts sets by a prefix of MinHash values; prefixes are shortened from `deepest` values until
-    sets at the threshold share one with probability `recall`. Equal sets are one node before any search; the sets of
+    Sets meet by hashing bands of MinHash values: `trees` bands of one length, at most `deepest`, chosen before any data is
+    read as the longest with which sets at the threshold share a band with probability `recall`. It stands for an LSH forest:
+    no tries are sorted and no prefix is shortened for a match, as deeper matches are among those at that length. Equal sets are one node before any search; the sets of
     candidate components are compared exactly, block by block, and only a row for each node leaves the comparison.
     """
     small_batches(df.sparkSession)
