@@ -463,9 +463,9 @@ def stream_counters(spark, d):
     """The events table read as a stream of files, in micro-batches; the counters are sums of what each kept."""
     import uuid
 
-    from ..sources.folders import shared
+    from ..sources.folders import shared_dir
 
-    base = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(d)
     step = ingest.counted(f"{base}/counts", [F.to_date("ts").alias("day")], [F.count("*").alias("processed"), F.count_if(F.col("event_type") == "error").alias("failures")])

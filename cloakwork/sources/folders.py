@@ -7,10 +7,18 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; only where it is unset, a folder of our own."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset a local session, as in tests, gets a temporary folder; on a cluster that would be the driver's own disk,
+    so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="cloakwork-")
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
