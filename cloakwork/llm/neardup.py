@@ -1,45 +1,59 @@
-"""Operator 10: n-gram Jaccard join of documents by MinHash banding with exact verification."""
+"""Operator 10: n-gram Jaccard join of documents by a MinHash LSH forest with exact verification."""
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import attach, cut, small_batches
-from .similar import SIMILAR, WORDS, candidates, digest, fetch, groups, links, shingles, shortened, word_hashes
+from .similar import SIMILAR, WORDS, Keys, classes, digest, fetch, links, runs, shingles, word_hashes
 
-#: Trees of the forest, their deepest prefix, and the recall at the threshold until which prefixes are shortened.
-TREES, DEEPEST, RECALL = 24, 10, 0.999
+#: Trees of the forest, the prefix lengths tried, deepest first, and the recall until which prefixes are shortened.
+TREES, LEVELS, RECALL = 24, (10, 8, 6), 0.999
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> DataFrame:
-    """One row for each row of df: id, class_id, class_size, n_links, n_shingles.
+def levels(forest: Keys, recall: float, similar: float, tried: tuple[int, ...] = LEVELS) -> list[int]:
+    """The prefix lengths, deepest first, down to the one at which sets at the threshold meet with that recall."""
+    out = []
+    for d in [*tried, *range(min(tried) - 1, 0, -1)]:
+        out.append(d)
+        if forest.recall(similar, d) >= recall:
+            break
+    return out
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: float = SIMILAR, trees: int = TREES, recall: float = RECALL, counts: bool = True) -> DataFrame:
+    """One row for each row of df: id, class_id, class_size, n_links, n_shingles, text_hash, kept.
 
     Documents are linked if the Jaccard similarity of their sets of `words`-word shingles is at least `similar`; class_id is
     the least id of the connected group, class_size its documents, n_links the documents linked with this one directly.
-    Words are runs of letters and digits, lower-cased; shorter texts have one shingle of all their words. Null, empty and
-    wordless texts are linked with nothing, in a class of their own (class_id is their id). Repeated rows are documents of
-    their own, linked with each other; null ids stay and never name a class that has another id. Other columns aren't read.
-
-    Sets meet by hashing bands of MinHash values: `trees` bands of one length, at most `deepest`, chosen before any data is
-    read as the longest with which sets at the threshold share a band with probability `recall`. It stands for an LSH forest:
-    no tries are sorted and no prefix is shortened for a match, as deeper matches are among those at that length. Equal sets are one node before any search; the sets of
-    candidate components are compared exactly, block by block, and only a row for each node leaves the comparison.
+    Words are runs of letters and digits, lower-cased; shorter texts have one shingle of all their words. Very long texts are
+    hashed whole, in slices. kept marks the first of a class by (id, text_hash), nulls last; text_hash is xxhash64 of the text. Null, empty and wordless texts are linked with nothing, in a class of their own (class_id is
+    their id). Repeated rows are documents of their own, linked with each other; null ids stay and never name a class
+    that has another id. Other columns aren't read, so none clashes. An empty table gives no rows.
+
+    Each tree of the forest holds the sets by a label of MinHash values; its sorted labels are a trie (see similar.runs). Sets
+    are matched on the deepest prefix first. A set's prefixes are shortened until its links are met with probability `recall`:
+    as judged by a similarity halfway between the threshold and its weakest verified link, or by the threshold itself where it
+    has none, so sets without links go down to the shortest prefix (recall at the threshold there: 0.9993), while
+    members of a dense group of copies stop early. A stopped set may still be met by others. Equal sets are one node
+    before any search, and every match is verified exactly. With counts, all pairs of a verified class are compared for
+    n_links, in blocks, also those that met in no tree; without, n_links is null, and nothing grows with pairs.
     """
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    forest = shortened(trees, deepest, recall, similar)
+    forest = Keys(trees, max(LEVELS))
+    depths = levels(forest, recall, similar)
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
 
     def sketch(batches):
         for b in batches:
             sets = [shingles(w, words) for w in word_hashes([t or "" for t in b.column(2).to_pylist()])]
             some = [k for k, s in enumerate(sets) if len(s)]
-            keys = dict(zip(some, forest.of([sets[k] for k in some]).view(np.int64).tolist(), strict=True))
+            labels = dict(zip(some, forest.labels([sets[k] for k in some]), strict=True))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([keys.get(k) for k in range(len(sets))], pa.list_(pa.int64()))],
-                names=["id", "h", "node", "n_shingles", "keys"],
+                [b.column(0), b.column(1), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([labels.get(k) for k in range(len(sets))], pa.binary())],
+                names=["id", "h", "name", "n_shingles", "labels"],
             )
 
     def reread(batches):
@@ -47,24 +61,36 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
             sets = [shingles(w, words) for w in word_hashes(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set"])
 
-    rows = cut(docs.mapInArrow(sketch, f"id {kind}, h long, node binary, n_shingles int, keys array<long>"))
-    # one row of each node: the least text hash, and the least id that has it
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("least_id"), F.min(F.struct("h", "id")).alias("first"), F.first("keys").alias("keys"))
-    nodes = cut(nodes)
-    comps = cut(candidates(nodes).select("node", F.col("root").alias("comp")))
-    wanted = cut(nodes.join(comps, "node").select("node", "size", "comp", F.col("first.h").alias("h")))
-    texts = fetch(docs.select("h", "text"), wanted.select("node", "h"), ["h"]).select("node", "text")
-    sets = texts.mapInArrow(reread, "node binary, set binary").groupBy("node").agg(F.first("set").alias("set"))
-    found = cut(groups(links(wanted.select("node", "comp", "size"), sets, similar)))
-
-    whole = nodes.select("node", "size", "least_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = whole.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("size").alias("class_size"))
-    named = cut(whole.join(roots, "root").select("node", "size", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
-    out = attach(rows.filter("node IS NOT NULL").select("id", "node", "n_shingles"), named, "node", "size", "inner")
-    out = out.select("id", "class_id", "class_size", "n_links", "n_shingles")
-    alone = rows.filter("node IS NULL").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long"), F.lit(0).cast("long"), "n_shingles")
+    rows = cut(docs.mapInArrow(sketch, f"id {kind}, h long, name binary, n_shingles int, labels binary"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h")).alias("first")
+    nodes = rows.filter("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("size"), first, (F.first("n_shingles") * 8).cast("long").alias("bytes"), F.first("labels").alias("labels"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    met = runs(nodes, trees, 1, depths)
+    wanted = cut(met.select("node").distinct().join(nodes.select("node", "first"), "node").select("node", "first.id", "first.h"))
+    sets = cut(fetch(docs, wanted).select("node", "text").mapInArrow(reread, "node long, set binary").dropDuplicates(["node"]))
+
+    def enough(least: Column, depth: int) -> Column:
+        alike = (least + similar) / 2
+        return 1 - F.pow(1 - F.pow(alike, F.lit(depth)), F.lit(trees)) >= recall
+
+    roots = classes(nodes, met, sets, depths, enough, similar)
+    whole = nodes.select("node", "name", "size", "bytes", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if counts:
+        members = whole.join(roots.select("node"), "node", "left_semi").select(F.col("root").alias("bucket"), "node", "size", "bytes", F.lit(0).alias("side"))
+        found = links(members, sets, similar).groupBy("node").agg(F.sum("links").alias("links"))
+        whole = whole.join(found, "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("size") - 1)
+    else:
+        whole = whole.withColumn("n_links", F.lit(None).cast("long"))
+    whole = cut(whole.select("root", "name", "size", "first", "n_links"))
+    by = cut(whole.groupBy("root").agg(F.min("first").alias("class"), F.sum("size").alias("class_size"), F.count("*").alias("n")))
+    named = cut(attach(whole.select("root", "name", "size", "n_links"), by, "root", "n", "inner").select("name", "size", "class", "class_size", "n_links"))
+    out = attach(rows.filter("name IS NOT NULL").select("id", "h", "name", "n_shingles"), named, "name", "size", "inner")
+    kept = F.col("id").eqNullSafe(F.col("class.id")) & (F.col("h") == F.col("class.h"))
+    out = out.select("id", F.col("class.id").alias("class_id"), "class_size", "n_links", "n_shingles", F.col("h").alias("text_hash"), kept.alias("kept"))
+    alone = rows.filter("name IS NULL").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long"), F.lit(0).cast("long"), "n_shingles", "h", F.lit(True))
     return out.union(alone).withColumnRenamed("id", id_col)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """op10: `join` over the whole table `documents`; see there for nulls, ties and empty tables."""
+    return join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash", "kept")

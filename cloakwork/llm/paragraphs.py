@@ -7,14 +7,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import attach, cut, small_batches
-from .similar import BROADCAST_ROWS, SIMILAR, SLICE, WORDS, Keys, _hash_words, _tables, candidates, digest, fetch, groups, links, mix, shingles, word_hashes
+from .similar import BROADCAST_ROWS, SIMILAR, SLICE, WORDS, Keys, _hash_words, _tables, banded, classes, digest, fetch, mix, shingles, word_hashes
 
-#: Words of the shortest paragraph that is compared.
-LEAST_WORDS = 10
+#: Words of the shortest paragraph that is compared; shorter lines recur in unrelated texts.
+LEAST_WORDS = 20
 #: Recall at the threshold for which bands are tuned, and rows of a band.
-RECALL, ROWS = 0.995, 3
-#: Words of the runs by which passages are found inside and across paragraphs that aren't alike as a whole.
-PASSAGE = 25
+RECALL, ROWS = 0.995, 4
+#: Words of the runs by which passages are found inside and across paragraphs that aren't alike as a whole, and the places of
+#: which one is picked: equal runs of PASSAGE + PICK = 51 words are found.
+PASSAGE, PICK = 32, 19
 #: Code points read on both sides of a slice of a very long text, so runs across its ends are seen.
 CONTEXT = 1 << 13
 #: Equal runs this few words apart are a word or phrase over and over.
@@ -62,8 +63,8 @@ def _picked(key: np.ndarray, w: int) -> np.ndarray:
 def _windows(joined: str, n: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, line) of the picked runs of n words, each within one of the texts that start at `first`. At most SLICE code points.
 
-    Of n + 1 places in a row the one of least hash is picked (winnowing), first words of sentences before others: about two
-    of n + 2 places, and texts that share 2n + 1 words in a row, with the same ends of sentences, share a picked run,
+    Of PICK places in a row the one of least hash is picked (winnowing), first words of sentences before others: about two
+    of PICK + 1 places, and texts that share n + PICK words in a row, with the same ends of sentences, share a picked run,
     wherever their lines end. Runs that equal one up to NEAR words before (one word over and over) don't count inside sentences.
     """
     low = joined.lower()
@@ -86,7 +87,7 @@ def _windows(joined: str, n: int, first: np.ndarray) -> tuple[np.ndarray, np.nda
         again[p:] |= name[p:] == name[:-p]
     key = np.where(sentence[:m], name >> np.uint64(1), np.where(again, NEVER, name | np.uint64(1 << 63)))
     key[text[:m] != text[n - 1 :]] = NEVER
-    i = np.flatnonzero(_picked(key, n + 1) & (key != NEVER))
+    i = np.flatnonzero(_picked(key, PICK) & (key != NEVER))
     return name[i], start[i], end[i + n - 1], line[i]
 
 
@@ -187,9 +188,11 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     equal (id, place) stays marked kept in each row. Null ids come last. Other columns aren't read.
 
     Paragraphs that stay, of a cluster or of none, may hold a passage that other texts have as well: runs of PASSAGE or more
-    equal words are given with kind `passage`. A run of 2 * PASSAGE + 1 words that two texts share is found, whatever its lines (see _windows).
+    equal words are given with kind `passage`. A run of PASSAGE + PICK words that two texts share is found, whatever its
+    lines (see _windows). Very long texts are read whole, in slices. An empty table gives no rows.
 
-    Equal sets are one node, counted before the shuffle; only nodes that share a band with another are fetched and compared.
+    Equal sets are one node, counted before the shuffle; only nodes that share a band with another are fetched and compared,
+    first with the least node of the band, then, where that leaves several groups in a band, pair by pair (see similar.classes).
     """
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
@@ -209,8 +212,8 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             take = pa.array([row[k] for k in some], pa.int64())
             pick = lambda x, t: pa.array([x[k] for k in some], t)  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(take), b.column(1).take(take), pick(par, pa.int32()), pick(start, pa.int64()), pick(end, pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array(list(bands.of(sets).view("int64")) if sets else [], pa.list_(pa.int64()))],
-                names=["id", "h", "par", "start", "end", "node", "keys"],
+                [b.column(0).take(take), b.column(1).take(take), pick(par, pa.int32()), pick(start, pa.int64()), pick(end, pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([8 * len(s) for s in sets], pa.int64()), pa.array(list(bands.bands(sets).view("int64")) if sets else [], pa.list_(pa.int64()))],
+                names=["id", "h", "par", "start", "end", "name", "bytes", "keys"],
             )
 
     def reread(batches):
@@ -219,24 +222,26 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             texts = [t.split("\n")[p] for t, p in zip(b.column(2).to_pylist(), par, strict=True)]
             yield pa.RecordBatch.from_arrays([node, pa.array([shingles(w, words).tobytes() for w in word_hashes(texts)], pa.binary())], names=["node", "set"])
 
-    rows = cut(docs.mapInArrow(sketch, f"id {kind}, h long, par int, start long, end long, node binary, keys array<long>"))
+    rows = cut(docs.mapInArrow(sketch, f"id {kind}, h long, par int, start long, end long, name binary, bytes long, keys array<long>"))
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "par", "h")
-    nodes = cut(rows.groupBy("node").agg(F.count("*").alias("size"), F.min(first).alias("first"), F.first("keys").alias("keys")))
-    comps = cut(candidates(nodes.select("node", "keys")).select("node", F.col("root").alias("comp")))
-    wanted = cut(nodes.join(comps, "node").select("node", "size", "comp", F.col("first.h").alias("h"), F.col("first.par").alias("par")))
-    texts = fetch(docs.select("h", "text"), wanted.select("node", "par", "h"), ["h"]).select("node", "par", "text")
-    sets = texts.mapInArrow(reread, "node binary, set binary").groupBy("node").agg(F.first("set").alias("set"))
-    found = cut(groups(links(wanted.select("node", "comp", "size"), sets, similar)))
-
-    whole = nodes.select("node", "size", "first").join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = whole.groupBy("root").agg(F.min("first").alias("lead"), F.sum("size").alias("cluster_size")).filter("cluster_size > 1")
-    named = cut(whole.join(roots, "root").select("node", "size", "lead", "cluster_size"))
-    places = rows.select("id", "h", "par", "start", "end", "node")
-    whole_ = cut(attach(places, named, "node", "size", "inner").withColumn("kept", F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("par") == F.col("lead.par"))))
+    nodes = rows.groupBy("name").agg(F.count("*").alias("size"), F.min(first).alias("first"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    met = banded(nodes.select("node", "keys"))
+    wanted = cut(met.select("node").distinct().join(nodes, "node").select("node", "first.id", "first.h", "first.par"))
+    sets = cut(fetch(docs, wanted).select("node", "par", "text").mapInArrow(reread, "node long, set binary").dropDuplicates(["node"]))
+    roots = classes(nodes, met, sets, [1], None, similar)
+
+    whole = nodes.select("node", "name", "size", "first").join(roots, "node", "left").filter("size > 1 OR root IS NOT NULL")
+    whole = cut(whole.withColumn("root", F.coalesce("root", "node")))
+    by = cut(whole.groupBy("root").agg(F.min("first").alias("lead"), F.sum("size").alias("cluster_size"), F.count("*").alias("n")))
+    named = cut(attach(whole.select("root", "name", "size"), by, "root", "n", "inner").select("name", "size", "lead", "cluster_size"))
+    places = rows.select("id", "h", "par", "start", "end", "name")
+    whole_ = cut(attach(places, named, "name", "size", "inner").withColumn("kept", F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("par") == F.col("lead.par"))))
     inner = passages(docs, kind, whole_.select("id", "h", "par", "kept"))
     cols = [F.col("id").alias(id_col), F.col("par").alias("paragraph"), "start", "end", F.col("lead.id").alias("cluster_id"), F.col("lead.par").alias("cluster_par"), "cluster_size", "kept"]
     return whole_.select(*cols, F.lit("paragraph").alias("kind")).unionByName(inner.select(*cols, F.lit("passage").alias("kind")))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7: `repeats` over the whole table `documents`; see there for nulls, ties and empty tables."""
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

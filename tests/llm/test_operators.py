@@ -11,6 +11,7 @@ import pytest
 
 from cloakwork.llm import common, decontaminate, dedup, langid, licenses, lines, neardup, packing, paragraphs, secrets, similar, tokens, urls
 from cloakwork.llm.common import scratch
+from pyspark.sql import functions as F
 
 
 def docs(spark, data):
@@ -215,7 +216,7 @@ def test_near_duplicates_brute_force(spark, data):
 
 def test_paragraphs_brute_force(spark, data):
     table = docs(spark, data).toPandas()
-    named = [((i, k), sets_of(p)) for i, t in zip(table.doc_id, table.text, strict=True) for k, p in enumerate(t.split("\n")) if len(re.findall(r"[^\W_]+", p)) >= 10]
+    named = [((i, k), sets_of(p)) for i, t in zip(table.doc_id, table.text, strict=True) for k, p in enumerate(t.split("\n")) if len(re.findall(r"[^\W_]+", p)) >= paragraphs.LEAST_WORDS]
     groups, _ = clusters(named)
     expected = {k: (m[0], len(m)) for k, m in groups.items() if len(m) > 1}
     got = [r for r in paragraphs.op7_substring_dedup(spark, data).collect()]
@@ -276,7 +277,7 @@ def test_passages_across_lines_and_slices(spark):
     assert [k for k, _ in got[400]] == [True] and [k for k, _ in got[401]] == [False] * 2 and [k for k, _ in got[402]] == [False]
     assert len({n for k in (400, 401) for _, n in got[k]}) == 1
     assert all(kept for k in range(40) for kept, _ in got[k]) and not any(kept for k in (*range(100, 140), 200, 201, 202) for kept, _ in got[k])
-    assert all(25 <= n <= 51 for k in (*range(40), *range(100, 140)) for _, n in got[k])
+    assert all(paragraphs.PASSAGE <= n <= 51 for k in (*range(40), *range(100, 140)) for _, n in got[k])
 
 
 def test_components(spark):
@@ -290,15 +291,76 @@ def test_components(spark):
     assert got == {k: find(k) for k in parent}
 
 
-def test_recall_of_keys():
-    keys = similar.shortened(neardup.TREES, neardup.DEEPEST, neardup.RECALL)
-    assert keys.depth < neardup.DEEPEST and keys.recall() >= neardup.RECALL
-    rng, met = np.random.default_rng(0), 0
+def test_components_in_rounds(spark):
+    """The distributed rounds, hubs included, give what one task gives."""
+    rng = random.Random(4)
+    edges = [(0, k) for k in range(1, 400)] + [(rng.randint(300, 900), rng.randint(300, 900)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, 2000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {tuple(r) for r in common.components(df).collect()}
+    assert {tuple(r) for r in common.components(df, few=0).collect()} == want and (39, 0) in want and (2000, 2000) in want
+
+
+def test_recall_of_bands_and_forest():
+    bands, forest = paragraphs.tuned(), similar.Keys(neardup.TREES, max(neardup.LEVELS))
+    assert bands.recall() >= paragraphs.RECALL and neardup.levels(forest, neardup.RECALL, 0.8) == [10, 8, 6]
+    assert neardup.levels(forest, 0.9, 0.8) == [10] and neardup.levels(forest, 0.99999, 0.8)[-1] < 6
+    rng, met, deep = np.random.default_rng(0), [0, 0], 0
     for _ in range(300):
         base = rng.integers(0, 1 << 62, 180, dtype=np.uint64)
         a, b = np.unique(base[:160]), np.unique(np.concatenate([base[:142], base[160:178]]))  # similarity 142 / 178
-        met += bool((keys.of([a])[0] == keys.of([b])[0]).any())
-    assert met >= 295
+        met[0] += bool((bands.bands([a])[0] == bands.bands([b])[0]).any())
+        x, y = (np.frombuffer(v, np.uint8).reshape(neardup.TREES, -1) for v in forest.labels([a, b]))
+        met[1] += bool((x[:, :6] == y[:, :6]).all(1).any())
+        deep += bool((x == y).all(1).any())
+    assert min(met) >= 295 and 250 <= deep < met[1]
+
+
+def _forest(spark, sets, monkeypatch=None):
+    forest = similar.Keys(neardup.TREES, max(neardup.LEVELS))
+    nodes = spark.createDataFrame([(k, 1, 8 * len(s), bytearray(x)) for (k, s), x in zip(enumerate(sets), forest.labels(sets), strict=True)], "node long, size long, bytes long, labels binary")
+    return common.cut(nodes), common.cut(spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "node long, set binary"))
+
+
+def test_runs_are_prefix_groups(spark):
+    """Runs are exactly the sets that share a prefix, on each level, wherever tasks end."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:200], rng.integers(0, 1 << 62, int(k), dtype=np.uint64)])) for k in rng.integers(1, 60, 120)]
+    nodes, _ = _forest(spark, sets)
+    got = collections.defaultdict(set)
+    for r in similar.runs(nodes, neardup.TREES, 1, [10, 8, 6]).collect():
+        got[(r.tree, r.depth, r.top)].add(r.node)
+    labels = [np.frombuffer(bytes(r.labels), np.uint8).reshape(neardup.TREES, -1) for r in nodes.orderBy("node").collect()]
+    want, seen = set(), set()
+    for d in (10, 8, 6):
+        by = collections.defaultdict(set)
+        for k, x in enumerate(labels):
+            for t in range(neardup.TREES):
+                by[(t, x[t, :d].tobytes())].add(k)
+        now = {(t, frozenset(v)) for (t, _), v in by.items() if len(v) > 1}
+        want |= {(t, d, v) for t, v in now - seen}
+        seen |= now
+    found = {(t, d, frozenset(v)) for (t, d, _), v in got.items()}
+    assert want <= found and {(t, v) for t, _, v in found} == {(t, v) for t, _, v in want}
+
+
+def test_prefixes_are_shortened_where_needed(spark, monkeypatch):
+    """Members of a dense group stop at the deepest prefix; sets with a weak link or none go on."""
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(0, 1 << 62, n, dtype=np.uint64)
+    core, loose = fresh(400), fresh(200)
+    sets = [np.unique(np.concatenate([core, fresh(2)])) for _ in range(40)] + [np.unique(np.concatenate([loose[:178], fresh(20)])) for _ in range(12)]
+    nodes, data = _forest(spark, sets)
+    asked, known = [], similar.links
+    monkeypatch.setattr(similar, "links", lambda members, *a, **k: asked.append({r.node for r in members.collect()}) or known(members, *a, **k))
+
+    def enough(least, depth):
+        return 1 - F.pow(1 - F.pow((least + 0.8) / 2, F.lit(depth)), F.lit(neardup.TREES)) >= neardup.RECALL
+
+    got = {r.node: r.root for r in similar.classes(nodes.drop("labels"), similar.runs(nodes, neardup.TREES, 1, [10, 8, 6]), data, [10, 8, 6], enough).collect()}
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8 - 1e-9
+    assert all(got.get(k) == 0 for k in range(40)) and all(alike(40, k) for k in range(41, 52)) and len({got.get(k) for k in range(40, 52)}) == 1
+    assert not any(k < 40 for later in asked[1:] for k in later)
 
 
 def test_leaks_with_edits(spark):
