@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import attach, cut, small_batches
+from .common import attach, cut, forget, small_batches
 from .similar import mix
 
 #: Lines of the shortest run that counts as repeated.
@@ -18,6 +18,8 @@ LEAST_LINES = 2
 CONTENT_WORDS = 5
 #: Letters of scripts written without blanks (Thai, Lao, Burmese, Khmer, kana, Han): two of them count as a word.
 NO_BLANKS = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Up to this many texts are broadcast by their hashes; beyond, both sides are shuffled.
+BROADCAST_TEXTS = 500_000
 #: Up to this many deleted lines their numbers are broadcast to the texts; beyond, both are shuffled by document.
 BROADCAST_LINES = 1_000_000
 SPLIT = "\n"
@@ -31,23 +33,19 @@ def _content(line: str) -> bool:
     return len(line.split()) >= CONTENT_WORDS or not line.isascii() and len(line.split()) + len(NO_BLANKS.findall(line)) // 2 >= CONTENT_WORDS
 
 
-def _names(texts: list[str], least: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Names (pairs of 64-bit numbers) of the first `least` lines of each suffix, and of 1, 2, 4 ... lines, as far as lines last.
+def _ids(lines: list[str]) -> np.ndarray:
+    """A line's ID: two 64-bit numbers of a hash of it without outer and repeated blanks."""
+    hashed = [xxhash.xxh3_128_digest(" ".join(x.split()).encode("utf-8", "surrogatepass")) for x in lines]
+    return np.frombuffer(b"".join(hashed), np.uint64).reshape(-1, 2)
 
-    A line's ID is a 128-bit hash of it without outer and repeated blanks; the name of 2w lines is made of the names of w
-    lines at k and at k + w: prefix doubling, all of a text's suffixes at once.
-    """
-    lines = [xxhash.xxh3_128_digest(" ".join(x.split()).encode("utf-8", "surrogatepass")) for x in texts]
-    name = np.frombuffer(b"".join(lines), np.uint64).reshape(-1, 2)
-    w, levels = 1, [name]
-    while len(levels[-1]) > w:
-        levels.append(_double(levels[-1], w))
-        w *= 2
+
+def _window(name: np.ndarray, least: int) -> np.ndarray:
+    """Names of the first `least` lines of each suffix."""
     w = 1
     while w < least and len(name):
         step = min(w, least - w)  # the last two windows may overlap
         name, w = _double(name, step), w + step
-    return name, levels
+    return name
 
 
 def _double(name: np.ndarray, step: int) -> np.ndarray:
@@ -56,84 +54,176 @@ def _double(name: np.ndarray, step: int) -> np.ndarray:
     return mix(x * SALT[0] + mix(y) * SALT[1] + SALT[2:])
 
 
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LINES) -> DataFrame:
-    """(id, h, k, w, depth, first): the windows of w lines that stand elsewhere as well: w is `least`, or 1 for lines that are content.
+def _full(text: str | None) -> list[str]:
+    return [x for x in (text or "").split(SPLIT) if x.strip(BLANKS)]
+
+
+def beside(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with groups' columns, null where there is no group; groups (cut) are broadcast where their count allows it, else see attach."""
+    return rows.join(F.broadcast(groups), key, "left") if groups.count() <= BROADCAST_TEXTS else attach(rows, groups, key, count)
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(h, lead, ids, rows), cut: the texts (by hash) that several rows hold, the first id of each, its different ids and its rows."""
+    by = docs.groupBy("id", "h").agg(F.count("*").alias("n"))
+    lead = F.min(F.struct(F.col("id").isNotNull().alias("named"), "id"))
+    return cut(by.groupBy("h").agg(lead.alias("lead"), F.count("*").alias("ids"), F.sum("n").alias("rows")).filter("rows > 1").select("h", F.col("lead.id").alias("lead"), "ids", "rows"))
+
+
+def originals(docs: DataFrame, copied: DataFrame) -> DataFrame:
+    """(id, h, text): one row for each text with a line, in its first id."""
+    rows = beside(docs.filter("text IS NOT NULL"), copied, "h", "rows")
+    once = rows.filter("rows IS NULL").select("id", "h", "text")
+    more = rows.filter("rows IS NOT NULL").groupBy("h").agg(F.first("text").alias("text")).join(copied.select("h", F.col("lead").alias("id")), "h")
+    return once.unionByName(more.select("id", "h", "text"))
 
-    A document is its sequence of line IDs without blank lines; k counts those, and h is the text's hash. Each document
-    doubles its own prefixes; the classes of equal names over all documents, which are the LCP intervals at that depth, come
-    from one grouped minimum for the windows and, only for suffixes tied there, from one for all greater depths. first
-    is the first place (id, h, k) of the window. depth is the number of lines that the suffix at k shares with another suffix,
-    for the deepest of a text's later places (see _lcp); it is w for others.
+
+def windows(docs: DataFrame, kind: str, least: int) -> DataFrame:
+    """(id, h, k, w, first), cut: the windows of w lines that stand elsewhere as well; first is the first place (id, h, k) of each.
+
+    w is `least`, or 1 for lines that are content. A document is its sequence of line IDs without blank lines; k counts those. Its
+    names are doubled within the document; equal names over all documents come from one grouped minimum.
     """
-    small_batches(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
-            for row, text in enumerate(b.column(2)):
-                lines = [x for x in (text.as_py() or "").split(SPLIT) if x.strip(BLANKS)]
-                name, levels = _names(lines, least)
-                for at in range(0, len(lines), 10_000):
-                    to = min(len(lines), at + 10_000)
-                    more = [np.concatenate([d[k] for d in levels if k < len(d)]).view(np.int64) for k in range(at, to)]
-                    where = pa.array(np.full(to - at, row))
-                    windows = [[{"w": w, "name": n} for w, n in ((least, name[k].tobytes() if k < len(name) else None), (1, levels[0][k].tobytes() if least > 1 and _content(lines[k]) else None)) if n] for k in range(at, to)]
+            row, at, width, name = [], [], [], []
+            for r, text in enumerate(b.column(2).to_pylist()):
+                lines = _full(text)
+                if not lines:
+                    continue
+                ids = _ids(lines)
+                content = np.flatnonzero([_content(x) for x in lines]) if least > 1 else np.zeros(0, np.int64)
+                wide = _window(ids, least)
+                row.append(np.full(len(wide) + len(content), r)), at.append(np.concatenate([np.arange(len(wide)), content]))
+                width.append(np.concatenate([np.full(len(wide), least), np.ones(len(content))])), name.append(np.concatenate([wide, ids[content]]))
+            if row:
+                take, name = pa.array(np.concatenate(row)), np.concatenate(name).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(width).astype(np.int32)), pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1]))],
+                    names=["id", "h", "k", "w", "x", "y"],
+                )
+
+    named = F.struct("x", "y").alias("name")
+    rows = cut(docs.mapInArrow(_merged(run), f"id {kind}, h long, k int, w int, x long, y long"))
+    place = F.struct(F.col("id").isNotNull().alias("named"), "id", "h", "k")
+    tied = cut(rows.groupBy(named).agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1"))
+    out = cut(attach(rows.select("id", "h", "k", "w", named), tied, "name", "n", "inner").select("id", "h", "k", "w", "first"))
+    forget(rows, tied)
+    return out
+
+
+def longest(docs: DataFrame, active: DataFrame) -> DataFrame:
+    """(h, longest): lines of the longest run that begins at one of a text's later places and stands elsewhere too.
+
+    docs: (h, text), active: (h, k, later), the suffixes whose first lines stand elsewhere as well. Prefix doubling: each document
+    names 1, 2, 4 ... lines of its suffixes, and classes of equal names, the LCP intervals of that depth, are counted over all documents.
+    A suffix after a later one, in a class whose suffixes all follow the same line, is part of a longer run and is left out; of the
+    rest only a text's deepest later suffixes can begin its longest run. Those, and one suffix of each class twice as deep, are sorted, beyond the D lines
+    that a class shares, by the next D lines: the suffix array of what is left. The longest common prefix with the
+    neighbours in that order is the exact length. A text's lines sent are fewer than its longest run, for each run that can't grow
+    to the left. Classes of any size are split by the sort; of each task its first and last row come to the driver.
+    """
+
+    def levels(batches):
+        for b in batches:
+            h = b.column(0).to_pylist()
+            for r, (text, places) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                ids = _ids(_full(text))
+                k, later = np.array([p["k"] for p in places]), np.array([p["later"] for p in places])
+                follows = np.isin(k - 1, k[later])
+                name, w, level = ids, 1, 0
+                while len(k):
+                    prev = pa.array(ids[k - 1, 0].view(np.int64), mask=k == 0)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(where), b.column(1).take(where), pa.array(np.arange(at, to), pa.int32()), pa.array(windows, pa.list_(pa.struct([("w", pa.int32()), ("name", pa.binary())]))), pa.array(more, pa.list_(pa.int64()))],
-                        names=["id", "h", "k", "windows", "more"],
+                        [pa.array(np.full(len(k), h[r])), pa.array(k.astype(np.int32)), pa.array(later & follows), pa.array(later), prev, pa.array(np.full(len(k), level, np.int32)), pa.array(name[k, 0].view(np.int64)), pa.array(name[k, 1].view(np.int64))],
+                        names=["h", "k", "follows", "later", "prev", "level", "x", "y"],
                     )
+                    name, w, level = _double(name, w), 2 * w, level + 1
+                    keep = k < len(name)
+                    k, later, follows = k[keep], later[keep], follows[keep]
 
-    names = cut(docs.mapInArrow(_merged(run), f"id {kind}, h long, k int, windows array<struct<w:int,name:binary>>, more array<long>"))
-    place = F.struct("id", "h", "k")
-    windows = names.select("id", "h", "k", F.explode("windows").alias("x"), "more").select("id", "h", "k", "x.w", "x.name", "more")
-    tied = windows.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first < last")
-    active = cut(attach(windows, cut(tied.select("name", "first", "n")), "name", "n", "inner").drop("n").dropDuplicates(["id", "h", "k", "w"]))
-    later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("h") == F.col("first.h")) & (F.col("k") == F.col("first.k")))
-    suffixes = active.groupBy("id", "h", "k").agg(F.first("more").alias("more"), F.max(later).alias("later"))
-    depths = _lcp(suffixes, names.select("id", "h", "k", "more"))
-    out = active.withColumn("place", place).join(depths, "place", "left")
-    return out.select("id", "h", "k", "w", F.greatest(F.col("w"), F.coalesce("depth", F.lit(0))).alias("depth"), "first")
+    def keys(batches):
+        for b in batches:
+            out = []
+            for h, text, places in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                ids = _ids(_full(text))[:, 0].astype(">u8")
+                for p in places:
+                    d = 1 << p["level"]
+                    out.append((p["class"]["x"].to_bytes(8, "big", signed=True) + p["class"]["y"].to_bytes(8, "big", signed=True) + ids[p["k"] + d : p["k"] + 2 * d].tobytes(), h, p["k"], d, p["wanted"]))
+            c = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["key", "h", "k", "d", "wanted"])
+
+    def ends(batches):
+        from pyspark import TaskContext
+
+        first = last = None
+        for b in batches:
+            if b.num_rows:
+                first = first or (b.column(0)[0].as_py(),)
+                last = b.column(0)[b.num_rows - 1].as_py()
+        if first:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first[0]]), pa.array([last])], names=["part", "first", "last"])
+
+    small_batches(docs.sparkSession, 200)
+    places = active.groupBy("h").agg(F.collect_list(F.struct("k", "later")).alias("places"))
+    deep = cut(_texts(docs, places).mapInArrow(_merged(levels), "h long, k int, follows boolean, later boolean, prev long, level int, x long, y long"))
+    name = F.struct("level", "x", "y").alias("name")
+    left = (F.count("prev") < F.count("*")) | (F.min("prev") < F.max("prev"))
+    tied = cut(deep.groupBy(name).agg(F.count("*").alias("n"), F.min(F.xxhash64("h", "k")).alias("one"), left.alias("left")).filter("n > 1"))
+    met = attach(deep.select("h", "k", "follows", "later", name), tied, "name", "n", "inner")
+    met = met.groupBy("h", "k").agg(F.first("later").alias("later"), F.first("follows").alias("follows"), F.array_sort(F.collect_list(F.struct("name", "left", (F.col("one") == F.xxhash64("h", "k")).alias("one")))).alias("met"))
+    met = cut(met.withColumn("deepest", F.element_at("met", -1)))
+    most = met.filter("later").groupBy("h").agg(F.max("deepest.name.level").alias("most"))
+    met = met.join(most, "h", "left").withColumn("wanted", F.coalesce(F.expr("later AND (deepest.left OR NOT follows) AND deepest.name.level = most"), F.lit(False)))
+    ones = F.expr("transform(sequence(1, size(met)), i -> CASE WHEN i > 1 AND met[i - 1].one THEN struct(met[i - 2].name AS name, false AS wanted) END)")
+    own = F.array(F.struct("deepest.name", F.col("wanted").alias("wanted")))
+    rows = cut(met.select("h", "k", F.explode(F.array_compact(F.concat(own, ones))).alias("p")).select("h", "k", "p.name", "p.wanted"))
+    known = cut(rows.filter("wanted").select("name").distinct())
+    rows = rows.join(F.broadcast(known) if known.count() <= BROADCAST_TEXTS else known, "name", "left_semi")
+    places = rows.groupBy("h").agg(F.collect_list(F.struct("k", "name.level", F.struct("name.x", "name.y").alias("class"), "wanted")).alias("places"))
+    order = cut(_texts(docs, places).mapInArrow(_merged(keys), "key binary, h long, k int, d int, wanted boolean").orderBy("key", "h", "k"))
+    parts, before, after = sorted(order.mapInArrow(ends, "part int, first binary, last binary").collect()), {}, {}
+    for p, q in zip(parts, parts[1:], strict=False):
+        before[q.part], after[p.part] = bytes(p.last), bytes(q.first)
+    borders = docs.sparkSession.sparkContext.broadcast((before, after))
+
+    def exact(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        prior, held, first = borders.value[0].get(part), None, True
+        for b in batches:
+            out = []
+            for key, h, d, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                shared = _shared(prior, key)
+                if held is not None and held[2]:
+                    out.append((held[0], held[1] + max(held[3], shared)))
+                held, prior, first = (h, d, wanted, shared), key, False
+            yield _pairs(out)
+        if held is not None and held[2]:
+            yield _pairs([(held[0], held[1] + max(held[3], _shared(prior, borders.value[1].get(part))))])
 
+    return order.mapInArrow(exact, "h long, longest int").groupBy("h").agg(F.max("longest").alias("longest"))
 
-def _lcp(active: DataFrame, names: DataFrame) -> DataFrame:
-    """(place, depth): the greatest number of lines shared with another suffix, for a text's deepest later suffixes.
 
-    The deepest class of equal names gives a power of two, D; the interval from D to 2 D is then halved in rounds, all suffixes
-    at once. Of a group of suffixes equal in d lines, those equal in the next `step` lines too go on together from d + step.
-    The others go on from d, beside one representative of each class that went: they may share a few lines with it.
-    """
-    place = F.struct("id", "h", "k")
-    pairs = F.expr("transform(sequence(1, size(more) div 2), i -> struct(i - 1 AS level, more[2 * i - 2] AS a, more[2 * i - 1] AS b))")
-    deep = active.select("id", "h", "k", "later", F.explode(pairs).alias("name"))
-    shared = cut(deep.groupBy("name").agg(F.count("*").alias("n"), F.min(place).alias("one")).filter("n > 1"))
-    levels = cut(attach(deep, shared.select("name", "n"), "name", "n", "inner").groupBy("id", "h", "k").agg(F.max("name").alias("name"), F.max("later").alias("later")))
-    deepest = levels.filter("later").groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.max("name.level").alias("most"))
-    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h"))
-    g = F.struct(F.xxhash64("name").alias("x"), F.col("name.a").alias("y")).alias("g")
-    rows = levels.join(deepest, same, "left").select("id", "h", "k", F.col("name.level").alias("level"), g, (F.col("later") & (F.col("name.level") == F.col("most"))).alias("wanted"))
-    rows = cut(rows.withColumn("wanted", F.coalesce("wanted", F.lit(False))))
-    known = rows.filter("wanted").select("g").distinct()
-    # a representative of each class one level deeper
-    ones = shared.filter("name.level > 0").select(F.col("one.id").alias("__id"), F.col("one.h").alias("__h"), F.col("one.k").alias("__k"), (F.col("name.level") - 1).alias("level"))
-    ones = active.join(ones, same & (F.col("k") == F.col("__k"))).withColumn("name", F.expr("struct(level, more[2 * level] AS a, more[2 * level + 1] AS b)"))
-    rows = rows.unionByName(ones.select("id", "h", "k", "level", g, F.lit(False).alias("wanted"))).join(known, "g", "left_semi")
-    rows = cut(rows.select("id", "h", "k", F.col("level") - 1, "wanted", "g", F.expr("shiftleft(1, level)")).toDF("id", "h", "k", "level", "wanted", "g", "d"))
-    at = names.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("k").alias("__k"), F.col("more").alias("__more"))
-    met = same & (F.col("k") + F.col("d") == F.col("__k"))
-    to = F.when(F.expr("2 * level < size(__more)"), F.struct(F.xxhash64("g", F.expr("get(__more, 2 * level)"), F.expr("get(__more, 2 * level + 1)")).alias("x"), F.expr("get(__more, 2 * level)").alias("y"))).alias("to")
-    out = rows.filter("wanted AND level < 0").select(place.alias("place"), F.col("d").alias("depth"))
-    for _ in range((rows.agg(F.max("level")).first()[0] or 0) + 1):
-        tried = cut(rows.filter("level >= 0").join(at, met, "left").select("id", "h", "k", "level", "wanted", "g", "d", to).dropDuplicates(["id", "h", "k", "wanted", "g"]))
-        went = cut(tried.filter("to IS NOT NULL").groupBy("to").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "k", "level", "g", "d")).alias("one")).filter("n > 1"))
-        marked = cut(attach(tried, went.select("to", "n"), "to", "n"))
-        right = marked.filter("n IS NOT NULL").select("id", "h", "k", F.col("level") - 1, "wanted", F.col("to").alias("g"), F.expr("d + shiftleft(1, level)"))
-        left = marked.filter("n IS NULL").select("id", "h", "k", F.col("level") - 1, "wanted", "g", "d")
-        behind = left.filter("wanted").select("g").distinct()
-        ones = went.select("one.*").select("id", "h", "k", F.col("level") - 1, F.lit(False), "g", "d").join(behind, "g", "left_semi").select("id", "h", "k", "(level - 1)", "false", "g", "d")
-        rows = cut(right.union(left).union(ones).toDF("id", "h", "k", "level", "wanted", "g", "d"))
-        out = out.union(rows.filter("wanted AND level < 0").select(place.alias("place"), F.col("d").alias("depth")))
-    return out
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], names=["h", "longest"])
+
+
+def _shared(x: bytes | None, y: bytes | None) -> int:
+    """Lines that two rows of one class share beyond the class's own; 0 in different classes."""
+    if x is None or y is None or x[:16] != y[:16]:
+        return 0
+    n = min(len(x), len(y)) // 8
+    differ = np.flatnonzero(np.frombuffer(x, ">u8", n) != np.frombuffer(y, ">u8", n))
+    return (int(differ[0]) if len(differ) else n) - 2
+
+
+def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(h, text, places) of the texts with places: a broadcast where their count allows it."""
+    places = cut(places)
+    return docs.select("h", "text").join(F.broadcast(places) if places.count() <= BROADCAST_TEXTS else places, "h").select("h", "text", "places")
 
 
 def _merged(run):
@@ -153,19 +243,22 @@ def _merged(run):
     return merged
 
 
-def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LINES) -> DataFrame:
-    """(id, h, dropped, longest): for each (id, text) with later copies the numbers (among its nonblank lines) of those to delete.
+def repeats(docs: DataFrame, kind: str, copied: DataFrame, least: int = LEAST_LINES) -> DataFrame:
+    """(h, dropped, longest): for each text with later copies of runs the numbers (among its nonblank lines) of those to delete.
 
     A run of `least` lines, or a line that is content, that began at an earlier place deletes its lines, but for lines that are
     part of that earlier place itself (a run that overlaps its own first copy); the union over all runs are the maximal
-    repeated runs. longest: lines of the longest run that begins at one of its later places and stands elsewhere too.
+    repeated runs. A text that stands elsewhere as a whole, too, shares all its lines from any place on.
     """
-    runs = repeated_runs(df, id_col, text_col, least)
-    same = F.col("id").eqNullSafe(F.col("first.id")) & F.col("h").eqNullSafe(F.col("first.h"))
-    later = runs.filter(~(same & (F.col("k") == F.col("first.k"))))
+    texts = originals(docs, copied)
+    runs = windows(texts, kind, least)
+    same = F.col("h") == F.col("first.h")
+    runs = runs.withColumn("later", ~(same & (F.col("k") == F.col("first.k"))))
     begin = F.when(same, F.greatest(F.col("k"), F.col("first.k") + F.col("w"))).otherwise(F.col("k"))
-    later = later.select("id", "h", "depth", F.explode(F.sequence(begin, F.col("k") + F.col("w") - 1)).alias("line"))
-    return later.groupBy("id", "h").agg(F.array_sort(F.collect_set("line")).alias("dropped"), F.max("depth").alias("longest"))
+    gone = runs.filter("later").select("h", F.explode(F.sequence(begin, F.col("k") + F.col("w") - 1)).alias("line"), "k")
+    gone = gone.groupBy("h").agg(F.array_sort(F.collect_set("line")).alias("dropped"), F.min("k").alias("from"))
+    deep = longest(texts, runs.groupBy("h", "k").agg(F.max("later").alias("later"), F.max("w").alias("w")))
+    return gone.join(deep, "h", "left")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LINES) -> DataFrame:
@@ -174,43 +267,58 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Later copies of repeated runs are deleted, the first in the order of (id, text hash, place) stays. dropped_lines holds the
     numbers of the deleted lines, from 0, blank ones counted. Blank lines are never deleted nor part of a run. Null text
     stays null and has no lines. Rows that repeat both id and text are one document: they share one result, and don't repeat
-    each other. Null ids come first. Columns of df named like the added ones are replaced. Empty tables give no rows.
+    each other. Null ids come first. Very long texts are cleaned whole. Columns of df named like the added ones are
+    replaced, no others clash. Empty tables give no rows.
+
+    Equal texts are searched once, as the first id's; the others lose every line that counts, without a search.
     """
-    found = cut(repeats(df, id_col, text_col, least)).select(F.col("id").alias("__id"), F.col("h").alias("__h"), "dropped", "longest")
-    found = found.withColumnsRenamed({"dropped": "__dropped", "longest": "__longest"})
-    if (found.agg(F.sum(F.size("__dropped"))).first()[0] or 0) <= BROADCAST_LINES:
-        found = F.broadcast(found)
+    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    small_batches(spark)
+    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    copied = copies(docs.filter("text IS NOT NULL").select("id", "h"))
+    found = cut(repeats(docs, kind, copied, least)).withColumnsRenamed({"h": "__key", "dropped": "__dropped", "from": "__from", "longest": "__longest"})
     names = [c for c in df.columns if c not in ADDED]
     kinds = T.StructType([T.StructField(c, T.StringType() if c == text_col else df.schema[c].dataType) for c in names] + [T.StructField(c, t) for c, t in ADDED.items()])
     where = names.index(text_col)
     # the columns go by number, so no name of theirs clashes
     rows = df.select(*(F.col(f"`{c}`").cast("string").alias(f"c{i}") if i == where else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
-    rows = rows.withColumn("__key", F.xxhash64(f"c{where}"))
-    out = rows.join(found, F.col(f"c{names.index(id_col)}").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left")
+    rows = beside(rows.withColumn("__key", F.xxhash64(f"c{where}")), copied.select(F.col("h").alias("__key"), F.col("lead").alias("__lead"), F.col("ids").alias("__ids"), F.col("rows").alias("__rows")), "__key", "__rows")
+    rows = rows.withColumn("__copy", F.col("__rows").isNotNull() & ~F.col(f"c{names.index(id_col)}").eqNullSafe(F.col("__lead")))
+    # a copy needs no more than its own lines, so however many there are, only first ids are looked up
+    key = F.when(~F.col("__copy"), F.col("__key")).alias("__key")
+    found = F.broadcast(found) if (found.agg(F.sum(F.size("__dropped"))).first()[0] or 0) <= BROADCAST_LINES else found
+    out = rows.withColumn("__key", F.coalesce(key, F.lit(None))).join(found, "__key", "left")
 
     def clean(batches):
+        n = len(names)
         for b in batches:
             texts, more = [], ([], [], [], [])
-            for text, dropped, longest in zip(*(b.column(i).to_pylist() for i in (where, len(names), len(names) + 1)), strict=True):
+            for text, copy, ids, dropped, begin, run in zip(*(b.column(i).to_pylist() for i in (where, *range(n, n + 5))), strict=True):
                 lines = [] if text is None else text.split(SPLIT)
                 gone = []
-                if dropped:
+                if copy or dropped:
                     full = [i for i, x in enumerate(lines) if x.strip(BLANKS)]
+                    if copy:
+                        dropped = range(len(full)) if len(full) >= least else [k for k, i in enumerate(full) if _content(lines[i])]
+                        run = len(full) - dropped[0] if dropped else 0
+                    elif (ids or 1) > 1:
+                        run = max(run or 0, len(full) - begin)
                     gone = [full[k] for k in dropped]
                     out = set(gone)
                     text = SPLIT.join(x for i, x in enumerate(lines) if i not in out)
                 texts.append(text)
-                for x, v in zip(more, (len(lines), len(gone), gone, longest or 0), strict=True):
+                for x, v in zip(more, (len(lines), len(gone), gone, (run or 0) if gone else 0), strict=True):
                     x.append(v)
-            own = [pa.array(texts, pa.string()) if i == where else b.column(i) for i in range(len(names))]
+            own = [pa.array(texts, pa.string()) if i == where else b.column(i) for i in range(n)]
             added = [pa.array(x, t) for x, t in zip(more, (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32()), strict=True)]
             yield pa.RecordBatch.from_arrays(own + added, names=names + list(ADDED))
 
-    small_batches(df.sparkSession)
-    return out.select(*(f"c{i}" for i in range(len(names))), "__dropped", "__longest").mapInArrow(clean, kinds)
+    small_batches(spark)
+    return out.select(*(f"c{i}" for i in range(len(names))), "__copy", "__ids", "__dropped", "__from", "__longest").mapInArrow(clean, kinds)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6: `dedup_lines` over the whole table `documents`, its cleaned text as a digest; see there for nulls, ties and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", "dropped_lines", "longest_run", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
