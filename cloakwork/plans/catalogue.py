@@ -563,3 +563,6 @@ def note_init(spark, d):
     new = table(spark, d, "documents").select("doc_id", F.lit(False).alias("has_output"))
     state = ingest.inserted(table(spark, d, "labels").select("doc_id", F.lit(True).alias("has_output")), new, ["doc_id"])
     return state.select("doc_id", F.concat(F.lit("NOTE#"), F.col("doc_id").cast("string")).alias("record_type"), "has_output")
+
+
+from . import state  # noqa: E402, F401  (more queries, which register themselves)
