@@ -47,14 +47,14 @@ def detect(df: DataFrame, text_col: str = "text", patterns: dict[str, str] = PAT
 
 
 def spans(df: DataFrame, patterns: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, type, value, start, end): every match of every pattern, in code points. One narrow pass, no shuffle."""
+    """(id, place, type, value, start, end): every match of every pattern, in code points, listed by pattern. One narrow pass, no shuffle."""
     parts = []
     for c, p in patterns.items():
         found = F.regexp_extract_all(F.col(text_col), F.lit(f"({p})"), 1)
         at = starts(F.col(text_col), F.lit(p), found)
         rows = F.zip_with(found, at, lambda m, s: F.struct(F.lit(SHORT_CODES[c]).alias("type"), m.alias("value"), s["start"].alias("start"), s["end"].alias("end")))  # noqa: B023
         parts.append(F.when(F.col(text_col).rlike(p), rows).otherwise(F.array().cast("array<struct<type:string,value:string,start:int,end:int>>")))
-    return df.select(id_col, F.explode(F.concat(*parts)).alias("s")).select(id_col, "s.*")
+    return df.select(id_col, F.posexplode(F.concat(*parts)).alias("place", "s")).select(id_col, "place", "s.*")
 
 
 def validity(text: Column, most: int = MAX_CHARS) -> Column:
@@ -63,6 +63,28 @@ def validity(text: Column, most: int = MAX_CHARS) -> Column:
     return (out.when(F.length(text) > most, "too_long") if most else out).otherwise("ok")
 
 
+def parameters(types: list[str] | None = None, most: int = 100) -> dict:
+    """Detection parameters: types trimmed, lower-cased, blanks dropped, all known ones where none is left; most of at least 1."""
+    if most < 1:
+        raise ValueError("max_entities must be 1 or more")
+    wanted = [t.strip().lower() for t in types or [] if t and t.strip()]
+    return {"pii_types": list(dict.fromkeys(wanted)) or list(SHORT_CODES.values()), "max_entities": most}
+
+
+def restricted(entities: Column, types: list[str], most: int) -> Column:
+    """The entities of these types, at most so many."""
+    return F.slice(F.filter(entities, lambda e: e["type"].isin(types)), 1, most)
+
+
+def setting(value: str | None, default, least=None):
+    """A number from a setting of the environment: the default where it is missing or can't be read, never below `least`."""
+    try:
+        found = type(default)(str(value).strip()) if value is not None else default
+    except ValueError:
+        found = default
+    return found if least is None else max(found, least)
+
+
 def prompt(prompt_text: str, text: Column) -> Column:
     return F.concat(F.lit(prompt_text + "<document>"), text, F.lit("</document>"))
 

@@ -25,33 +25,29 @@ def _binned(df: DataFrame) -> DataFrame:
     return df.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(last / BIN))))
 
 
-def overlapping(a: DataFrame, b: DataFrame, same_type: bool = False, how: str = "left_semi", id_col: str = "doc_id") -> DataFrame:
-    """Rows of a with (left_semi) or without (left_anti) an overlapping span of b in the same document. a needs a column `ref` that tells its rows apart."""
-    x, y = _binned(a.select("ref", id_col, "type", "start", "end")), _binned(b.select(id_col, "type", "start", "end"))
-    y = y.select(F.col(id_col).alias("__id"), F.col("bin").alias("__bin"), F.col("type").alias("__type"), F.col("start").alias("__start"), F.col("end").alias("__end"))
-    cond = (F.col(id_col) == F.col("__id")) & (F.col("bin") == F.col("__bin")) & (F.col("start") < F.col("__end")) & (F.col("__start") < F.col("end"))
-    if same_type:
-        cond = cond & (F.col("type") == F.col("__type"))
-    hit = x.join(y, cond, "left_semi").select("ref").distinct()
-    return a.join(hit, "ref", how)
-
+def flagged(a: DataFrame, b: DataFrame, same_type: bool = False, id_col: str = "doc_id") -> DataFrame:
+    """(id, type, value, start, end, n, hit): the spans of a, equal ones once with their number, and whether a span of b overlaps.
 
-def numbered(spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """spans with `ref`, which tells apart all rows but equal ones."""
+    One pass over each side: spans meet in bins, and the flag is a maximum that is combined before its shuffle.
+    """
     keys = [id_col, "type", "value", "start", "end"]
-    w = W.partitionBy(*keys).orderBy(F.lit(1))
-    return spans.select(*keys).withColumn("k", F.row_number().over(w)).withColumn("ref", F.struct(*keys, "k")).drop("k")
+    x = _binned(a.groupBy(*keys).agg(F.count("*").alias("n")))
+    y = _binned(b.groupBy(*keys).agg(F.count("*").alias("n"))).drop("n", "value")
+    y = y.toDF(*(f"__{c}" for c in y.columns))
+    cond = (F.col(id_col) == F.col(f"__{id_col}")) & (F.col("bin") == F.col("__bin")) & (F.col("start") < F.col("__end")) & (F.col("__start") < F.col("end"))
+    if same_type:
+        cond = cond & (F.col("type") == F.col("__type"))
+    return x.join(y, cond, "left").groupBy(*keys, "n").agg(F.max(F.col("__bin").isNotNull()).alias("hit"))
 
 
 def overlap(truth: DataFrame, predicted: DataFrame, by: list[str], same_type: bool = False, id_col: str = "doc_id") -> DataFrame:
     """tp and fn count truth rows with and without an overlapping prediction, fp predictions without truth; by [] one row, [id] or ["type"]."""
-    t, p = numbered(truth, id_col), numbered(predicted, id_col)
-    parts = [overlapping(t, p, same_type, "left_semi", id_col).withColumn("tp", F.lit(1)), overlapping(t, p, same_type, "left_anti", id_col).withColumn("fn", F.lit(1)), overlapping(p, t, same_type, "left_anti", id_col).withColumn("fp", F.lit(1))]
-    rows = parts[0]
-    for x in parts[1:]:
-        rows = rows.unionByName(x, allowMissingColumns=True)
-    n = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]
-    return with_ratios(rows.groupBy(*by).agg(*n) if by else rows.agg(*n))
+    t, p, n = flagged(truth, predicted, same_type, id_col), flagged(predicted, truth, same_type, id_col), F.col("n")
+    zero = F.lit(0).cast("long")
+    rows = t.select(*by, F.when(F.col("hit"), n).otherwise(zero).alias("tp"), zero.alias("fp"), F.when(F.col("hit"), zero).otherwise(n).alias("fn"))
+    rows = rows.unionByName(p.select(*by, zero.alias("tp"), F.when(F.col("hit"), zero).otherwise(n).alias("fp"), zero.alias("fn")))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]
+    return with_ratios(rows.groupBy(*by).agg(*sums) if by else rows.agg(*sums))
 
 
 def paired(predictions: DataFrame, manifests: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -70,34 +66,82 @@ def multiset(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFra
     return with_ratios(sums)
 
 
-def tolerant(truth: DataFrame, predicted: DataFrame, tolerance: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """(id, tp, fp, fn): one-to-one matches of equal type with both ends within the tolerance; truth in order takes the first free prediction.
+def matches_by_type(truth: DataFrame, predicted: DataFrame, keys: list[str], type_col: str = "type") -> DataFrame:
+    """The one-to-one figures of each type, over all documents: a type is matched by itself, then summed."""
+    t, p = truth.groupBy(*keys).agg(F.count("*").alias("t")), predicted.groupBy(*keys).agg(F.count("*").alias("p"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    hit = F.least(n("t"), n("p"))
+    return with_ratios(t.join(p, keys, "full").groupBy(type_col).agg(F.sum(hit).alias("tp"), F.sum(n("p") - hit).alias("fp"), F.sum(n("t") - hit).alias("fn")))
+
+
+def report(truth: DataFrame, predicted: DataFrame, keys: list[str], type_col: str = "type") -> DataFrame:
+    """One row: the micro figures, and the figures of each type as an array, most missed first."""
+    by = matches_by_type(truth, predicted, keys, type_col)
+    fields = (type_col, "tp", "fp", "fn", "precision", "recall", "f1")
+    sums = by.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")), F.array_sort(F.collect_list(F.struct((-F.col("fn")).alias("by"), *fields))).alias("types"))
+    return with_ratios(sums).withColumn("types", F.transform("types", lambda x: F.struct(*(x[f].alias(f) for f in fields))))
+
 
-    The order matters, so a document is one group; its rows are its entities only.
+def tolerant(truth: DataFrame, predicted: DataFrame, tolerance: int = 5, id_col: str = "doc_id", order: str = "place") -> DataFrame:
+    """(id, tp, fp, fn): one-to-one matches of equal type with both ends within the tolerance; truth as listed takes the first free prediction as listed.
+
+    The order (column `order` of both sides) matters, so a document is one group; its rows are its entities only.
     """
     kind = truth.schema[id_col].dataType.simpleString()
-    row = lambda df, side: df.select(id_col, F.lit(side).alias("side"), "type", "start", "end")
+    row = lambda df, side: df.select(id_col, F.lit(side).alias("side"), F.col(order).alias("place"), "type", "start", "end")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end", "type"], kind="stable")
+        pdf = pdf.sort_values(["place", "start", "end", "type"], kind="stable")
         t, p = pdf[pdf.side == "t"], pdf[pdf.side == "p"]
-        free, tp = list(p[["type", "start", "end"]].itertuples(index=False)), 0
+        free: dict = {}  # of each type, by bins of start, the free predictions as listed
+        for k, y in enumerate(p.itertuples()):
+            free.setdefault((y.type, int(y.start) // (tolerance + 1)), []).append((k, int(y.start), int(y.end)))
+        tp = 0
         for x in t.itertuples():
-            k = next((k for k, y in enumerate(free) if y.type == x.type and abs(y.start - x.start) <= tolerance and abs(y.end - x.end) <= tolerance), None)
-            if k is not None:
+            bins = range((int(x.start) - tolerance) // (tolerance + 1), (int(x.start) + tolerance) // (tolerance + 1) + 1)
+            fit = min((y for b in bins for y in free.get((x.type, b), ()) if abs(y[1] - x.start) <= tolerance and abs(y[2] - x.end) <= tolerance), default=None)
+            if fit is not None:
                 tp += 1
-                free.pop(k)
-        return pd.DataFrame({id_col: [pdf[id_col].iloc[0]], "tp": [tp], "fp": [len(free)], "fn": [len(t) - tp]})
+                free[(x.type, fit[1] // (tolerance + 1))].remove(fit)
+        return pd.DataFrame({id_col: [pdf[id_col].iloc[0]], "tp": [tp], "fp": [len(p) - tp], "fn": [len(t) - tp]})
 
     return row(truth, "t").unionByName(row(predicted, "p")).groupBy(id_col).applyInPandas(match, f"{id_col} {kind}, tp long, fp long, fn long")
 
 
 def mistakes(truth: DataFrame, predicted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, kind, type, value, start, end) for each false negative and false positive."""
-    t, p = numbered(truth, id_col), numbered(predicted, id_col)
-    fn, fp = overlapping(t, p, False, "left_anti", id_col), overlapping(p, t, False, "left_anti", id_col)
     cols = [id_col, "type", "value", "start", "end"]
-    return fn.select(*cols, F.lit("fn").alias("kind")).unionByName(fp.select(*cols, F.lit("fp").alias("kind")))
+    missed = lambda a, b, kind: flagged(a, b, False, id_col).filter("NOT hit").withColumn("i", F.explode(F.expr("sequence(1L, n)"))).select(*cols, F.lit(kind).alias("kind"))
+    return missed(truth, predicted, "fn").unionByName(missed(predicted, truth, "fp"))
+
+
+def normalised(entries: DataFrame) -> DataFrame:
+    """Mistake entries whose text is `chars`, or `value` where that is missing."""
+    have = [F.col(c) for c in ("chars", "value") if c in entries.columns]
+    return entries.withColumn("chars", F.coalesce(*have)).drop("value")
+
+
+def shown(annotations: DataFrame, type_: str = "all", kind: str = "all", id_col: str = "doc_id") -> DataFrame:
+    """Mistakes as a list shows them: of one type and kind (or all), each (document, kind, start, end, type) once, by document and start."""
+    keys = [id_col, "kind", "start", "end", "type"]
+    wanted = [F.col(c) == v for c, v in (("type", type_), ("kind", kind)) if v != "all"]
+    for cond in wanted:
+        annotations = annotations.filter(cond)
+    return annotations.groupBy(*keys).agg(F.min("value").alias("value")).orderBy(id_col, "start", "end", "kind", "type")
+
+
+def type_table(by_type: DataFrame, column: str = "fn", descending: bool = True) -> DataFrame:
+    """Figures by type, sorted by any column; most missed first where nothing is asked."""
+    return by_type.orderBy(F.desc(column) if descending else F.asc(column), "type")
+
+
+def displayed(per_document: DataFrame) -> DataFrame:
+    """One row: the figures a summary shows: without failed documents where there are some and others too, else of all; `adjusted` says which."""
+    n = lambda cond: [F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]
+    valid = (F.col("tp") > 0) | (F.col("fp") > 0)
+    both = per_document.agg(F.struct(*n(F.lit(True))).alias("all"), F.struct(*n(valid)).alias("valid"), F.count_if(~valid).alias("failed"), F.count_if(valid).alias("n_valid"))
+    use = (F.col("failed") > 0) & (F.col("n_valid") > 0)
+    return with_ratios(both.select(use.alias("adjusted"), "failed", *(F.when(use, F.col(f"valid.{c}")).otherwise(F.col(f"all.{c}")).alias(c) for c in ("tp", "fp", "fn"))))
 
 
 def mistake_files(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -107,22 +151,26 @@ def mistake_files(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return out.withColumns({"false_positive_count": F.size("false_positives"), "false_negative_count": F.size("false_negatives")})
 
 
-def annotations(truth: DataFrame, predicted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def annotations(truth: DataFrame, predicted: DataFrame, id_col: str = "doc_id", order: str = "place") -> DataFrame:
     """(id, start, end, class, predicted_type, expected_type): runs of characters that are tp, fp or fn.
 
-    At each character the first listed entity of a side counts; a run takes its types from its first character.
+    At each character the first listed entity of a side counts (column `order`); a run takes its types from its first
+    character. Only places where a span begins or ends are looked at, so rows grow with spans, not with characters.
     """
-    def chars(df: DataFrame, side: str) -> DataFrame:
-        rows = df.select(id_col, "type", "start", "end", F.explode(F.expr("CASE WHEN `end` > start THEN sequence(start, `end` - 1) END")).alias("pos"))
-        return rows.groupBy(id_col, "pos").agg(F.min_by("type", F.struct("start", "end", "type")).alias(side))
-
-    both = chars(truth, "expected_type").join(chars(predicted, "predicted_type"), [id_col, "pos"], "full")
-    kind = F.when(F.col("expected_type").isNull(), "fp").when(F.col("predicted_type").isNull(), "fn").otherwise("tp")
+    spans = truth.select(id_col, "type", "start", "end", F.col(order).alias("place"), F.lit(True).alias("true"))
+    spans = spans.unionByName(predicted.select(id_col, "type", "start", "end", F.col(order).alias("place"), F.lit(False).alias("true"))).filter("start < `end`")
+    edges = spans.select(id_col, F.explode(F.array("start", "end")).alias("pos")).distinct()
+    at = edges.withColumn("bin", F.floor(F.col("pos") / BIN)).select(F.col(id_col).alias("__id"), F.col("bin").alias("__bin"), "pos")
+    cond = (F.col(id_col) == F.col("__id")) & (F.col("bin") == F.col("__bin")) & (F.col("start") <= F.col("pos")) & (F.col("pos") < F.col("end"))
+    side = lambda c: F.min(F.when(F.col("true") if c else ~F.col("true"), F.struct("place", "type")))["type"]
+    covered = _binned(spans).join(at, cond).groupBy(id_col, "pos").agg(side(True).alias("expected_type"), side(False).alias("predicted_type"))
     w = W.partitionBy(id_col).orderBy("pos")
-    runs = both.withColumn("class", kind).withColumn("new", ((F.lag("pos").over(w) + 1 != F.col("pos")) | (F.lag("class").over(w) != F.col("class"))).cast("int"))
-    runs = runs.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    out = runs.groupBy(id_col, "run", "class").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.min_by("predicted_type", "pos").alias("predicted_type"), F.min_by("expected_type", "pos").alias("expected_type"))
-    return out.drop("run")
+    pieces = edges.join(covered, [id_col, "pos"], "left").withColumn("to", F.lead("pos").over(w))
+    kind = F.when(F.col("expected_type").isNull() & F.col("predicted_type").isNull(), F.lit(None)).when(F.col("expected_type").isNull(), "fp").when(F.col("predicted_type").isNull(), "fn").otherwise("tp")
+    pieces = pieces.withColumn("class", kind).withColumn("new", (~F.lag("class").over(w).eqNullSafe(F.col("class"))).cast("int"))
+    pieces = pieces.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(w.rowsBetween(W.unboundedPreceding, 0))).filter("class IS NOT NULL")
+    first = lambda c: F.min_by(c, "pos").alias(c)
+    return pieces.groupBy(id_col, "run", "class").agg(F.min("pos").alias("start"), F.max("to").alias("end"), first("predicted_type"), first("expected_type")).drop("run")
 
 
 def adjusted(per_document: DataFrame) -> DataFrame:

@@ -4,14 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import evaluation_time, lookup
+from ..functions.text import evaluation_time
 
-#: What a batch's status is shown as, where not all notes are approved.
-STATUS_LABELS = {"created": "Created", "ready": "Ready to process", "processing": "Processing", "partially-completed": "Partially completed", "completed": "Needs review"}
+#: The key and label that a batch's status is shown as, where not all notes of a completed one are approved.
+STATUS_LABELS = {
+    "created": ("created", "Created"), "ready": ("ready-to-process", "Ready to Process"), "processing": ("processing", "Processing"),
+    "partially-completed": ("partially-completed", "Partially Completed"), "completed": ("needs-review", "Needs Review"),
+}
 
 
 def status_label(status: Column, all_approved: Column) -> Column:
-    return F.when(all_approved & (status == "completed"), "Approved").otherwise(F.coalesce(lookup(STATUS_LABELS, status), F.lit("Unknown")))
+    """struct<key, label> of a batch's status."""
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), F.lit(v).alias("label"))
+    out = F.when((status == "completed") & F.coalesce(all_approved, F.lit(False)), pair("approved", "Approved"))
+    for name, (key, label) in STATUS_LABELS.items():
+        out = out.when(status == name, pair(key, label))
+    return out.otherwise(pair("unknown", "Unknown"))
+
+
+def note_list(notes: DataFrame, manifests: DataFrame, mistakes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Notes with their type, null without a manifest, and whether an evaluation has mistakes for them."""
+    kinds = manifests.groupBy(id_col).agg(F.min("note_type").alias("note_type"))
+    wrong = mistakes.select(id_col).distinct().withColumn("__wrong", F.lit(True))
+    out = notes.join(kinds, id_col, "left").join(wrong, id_col, "left")
+    return out.withColumn("has_mistakes", F.col("__wrong").isNotNull()).drop("__wrong").orderBy(id_col)
+
+
+def compared(original: DataFrame, redacted: DataFrame, deidentified: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, original, redacted, deidentified) of the notes that have all three texts."""
+    named = [df.select(id_col, F.col("text").alias(name)) for df, name in ((original, "original"), (redacted, "redacted"), (deidentified, "deidentified"))]
+    return named[0].join(named[1], id_col).join(named[2], id_col)
+
+
+def looked_up(wanted: DataFrame, notes: DataFrame, outputs: DataFrame, saved: DataFrame, entities: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, code, original, redacted, entities, approved) of the notes asked for: 404 without a text that isn't empty."""
+    rows = wanted.select(id_col).distinct().join(notes.select(id_col, F.col("text").alias("original")), id_col, "left")
+    rows = rows.join(outputs.select(id_col, F.col("text").alias("__out")), id_col, "left").join(saved.select(id_col, F.col("text").alias("__saved")), id_col, "left").join(entities.select(id_col, "entities"), id_col, "left")
+    found = F.coalesce(F.length("original"), F.lit(0)) > 0
+    return rows.select(id_col, F.when(found, 200).otherwise(404).alias("code"), "original", F.coalesce("__saved", "__out", F.lit("")).alias("redacted"), "entities", F.col("__saved").isNotNull().alias("approved"))
+
+
+def newest(reports: DataFrame, column: str) -> DataFrame:
+    """The run that is shown first."""
+    return reports.orderBy(F.desc(column)).limit(1)
 
 
 def present_in_all(first: DataFrame, *others: DataFrame, key: str = "doc_id") -> DataFrame:

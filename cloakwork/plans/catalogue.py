@@ -43,10 +43,10 @@ def _docs(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 
 def _spans_sql(patterns: dict[str, str]) -> str:
-    """Every match of every pattern: doc_id, type, value, start, end."""
-    one = """SELECT doc_id, '{t}' AS type, ms[k] AS value, (length(coalesce(array_to_string(ps[1:k], ''), '')) + length(coalesce(array_to_string(ms[1:k-1], ''), '')))::INT AS start
+    """Every match of every pattern: doc_id, type, value, start, end, and o and k, the place in the document's list."""
+    one = """SELECT doc_id, {o} AS o, k, '{t}' AS type, ms[k] AS value, (length(coalesce(array_to_string(ps[1:k], ''), '')) + length(coalesce(array_to_string(ms[1:k-1], ''), '')))::INT AS start
     FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS ps FROM documents))"""
-    parts = " UNION ALL ".join(one.format(t=SHORT_CODES[c], p=p) for c, p in patterns.items())
+    parts = " UNION ALL ".join(one.format(t=SHORT_CODES[c], p=p, o=i) for i, (c, p) in enumerate(patterns.items()))
     return f'(SELECT *, (start + length(value))::INT AS "end" FROM ({parts}))'
 
 
@@ -275,8 +275,8 @@ def mistakes(spark, d):
     return E.mistakes(*_sides(spark, d))
 
 
-@query(f"""WITH {_T}, {_P}, tc AS (SELECT doc_id, pos, arg_min(type, row(start, "end", type)) AS et FROM (SELECT *, unnest(range(start, "end")) AS pos FROM t) GROUP BY ALL),
-pc AS (SELECT doc_id, pos, arg_min(type, row(start, "end", type)) AS pt FROM (SELECT *, unnest(range(start, "end")) AS pos FROM p) GROUP BY ALL),
+@query(f"""WITH {_T}, {_P}, tc AS (SELECT doc_id, pos, arg_min(type, row(o, k)) AS et FROM (SELECT *, unnest(range(start, "end")) AS pos FROM t) GROUP BY ALL),
+pc AS (SELECT doc_id, pos, arg_min(type, row(o, k)) AS pt FROM (SELECT *, unnest(range(start, "end")) AS pos FROM p) GROUP BY ALL),
 b AS (SELECT coalesce(tc.doc_id, pc.doc_id) AS doc_id, coalesce(tc.pos, pc.pos) AS pos, et, pt, CASE WHEN et IS NULL THEN 'fp' WHEN pt IS NULL THEN 'fn' ELSE 'tp' END AS class FROM tc FULL JOIN pc ON tc.doc_id = pc.doc_id AND tc.pos = pc.pos),
 n AS (SELECT *, CASE WHEN lag(pos) OVER w + 1 = pos AND lag(class) OVER w = class THEN 0 ELSE 1 END AS new FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM n)
@@ -322,9 +322,18 @@ def error_breakdown(spark, d):
     return out.withColumn("share", F.round("share", 9))
 
 
-@query("SELECT event_type, CASE WHEN contains(lower(event_type), 'error') THEN 'Other' ELSE 'Other' END AS category, count(*) AS n FROM events GROUP BY ALL")
+_MESSAGE = "CASE user_id % 4 WHEN 0 THEN 'Too many TOKENS, please wait' WHEN 1 THEN 'too many requests for ' || event_type WHEN 2 THEN event_type || ' ' || repeat('long ', 20) END"
+
+
+@query(f"""WITH m AS (SELECT event_type, {_MESSAGE} AS message, count(*) AS n FROM events GROUP BY ALL),
+c AS (SELECT *, CASE WHEN regexp_matches(message, '(?i)too many tokens') THEN 'Too many tokens (TPM)' WHEN regexp_matches(message, '(?i)too many requests') THEN 'Too many requests (RPM)' ELSE 'Other' END AS category FROM m),
+f AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, event_type, message NULLS FIRST) AS r FROM c)
+SELECT category, sum(n)::BIGINT AS n, round(100 * sum(n) / (SELECT count(*) FROM events), 6) AS percent, max(CASE WHEN r = 1 THEN CASE WHEN length(message) > 70 THEN left(message, 67) || '...' ELSE coalesce(message, '') END END) AS sample FROM f GROUP BY category""")
 def error_categories(spark, d):
-    return _spans(spark, d).groupBy("event_type", M.category(F.col("event_type")).alias("category")).agg(F.count("*").alias("n"))
+    k = F.col("user_id") % 4
+    message = F.when(k == 0, "Too many TOKENS, please wait").when(k == 1, F.concat(F.lit("too many requests for "), "event_type")).when(k == 2, F.concat("event_type", F.lit(" " + "long " * 20)))
+    out = M.category_report(_spans(spark, d, message.alias("message"), "user_id"), "event_type", "message")
+    return out.withColumn("percent", F.round("percent", 6))
 
 
 @query("SELECT time_bucket(INTERVAL 5 MINUTES, ts)::TIMESTAMP AS period, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS average, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS most FROM events GROUP BY 1, 2")
@@ -477,10 +486,15 @@ def stream_counters(spark, d):
 # --- review screens ---------------------------------------------------------------------------------------------------
 
 
-@query(f"{_STATUS} SELECT source, CASE WHEN stored = 'completed' THEN CASE WHEN source < 'src2' THEN 'Approved' ELSE 'Needs review' END WHEN stored = 'partially-completed' THEN 'Partially completed' ELSE 'Processing' END AS label FROM c")
+_SHOWN = "(VALUES ('created', false, 'created', 'Created'), ('ready', false, 'ready-to-process', 'Ready to Process'), ('processing', false, 'processing', 'Processing'), ('partially-completed', false, 'partially-completed', 'Partially Completed'), ('completed', false, 'needs-review', 'Needs Review'), ('completed', true, 'approved', 'Approved')) v(status, whole, key, label)"
+_STORED = "SELECT c_custkey, ['created', 'ready', 'processing', 'partially-completed', 'completed', 'lost'][(c_custkey % 6 + 1)::INT] AS status, c_custkey % 2 = 0 AS whole FROM customer"
+
+
+@query(f"SELECT c_custkey, coalesce(key, 'unknown') AS key, coalesce(label, 'Unknown') AS label FROM ({_STORED}) s LEFT JOIN {_SHOWN} ON s.status = v.status AND (s.whole AND s.status = 'completed') = v.whole")
 def status_labels(spark, d):
-    rows = batch_status(spark, d)
-    return rows.select("source", V.status_label(F.col("stored"), F.col("source") < "src2").alias("label"))
+    names = F.array(*map(F.lit, ("created", "ready", "processing", "partially-completed", "completed", "lost")))
+    status = F.element_at(names, (F.col("c_custkey") % 6 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", V.status_label(status, F.col("c_custkey") % 2 == 0).alias("s")).select("c_custkey", "s.key", "s.label")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)")
@@ -565,4 +579,4 @@ def note_init(spark, d):
     return state.select("doc_id", F.concat(F.lit("NOTE#"), F.col("doc_id").cast("string")).alias("record_type"), "has_output")
 
 
-from . import state  # noqa: E402, F401  (more queries, which register themselves)
+from . import reports, state  # noqa: E402, F401  (more queries, which register themselves)
