@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import age, joined, marital, rounded, strip_digits
+from ..functions.text import age, joined, lookup, marital, readable, rounded, strip_digits
+from . import writing
 
 #: Extension addresses.
 RACE = "http://hl7.org/fhir/us/core/StructureDefinition/us-core-race"
@@ -54,18 +55,62 @@ def patients(rows: DataFrame, key: str, as_of: Column) -> DataFrame:
         key, _text(p["id"]).alias("id"), code("MR").alias("mrn"), code("SS").alias("ssn"), code("DL").alias("drivers_license"), code("PPN").alias("passport"),
         given.alias("first_name"), last.alias("last_name"), F.trim(F.concat_ws(" ", given, last)).alias("full_name"), _text(p["gender"]).alias("gender"), _text(p["birthDate"]).alias("birth_date"),
         age(day(p["birthDate"]), F.coalesce(day(p["deceasedDateTime"]), as_of)).alias("age"), line.alias("address_line"), city.alias("city"), state.alias("state"), country.alias("country"), code_.alias("zip_code"),
-        joined(line, city, state, code_).alias("full_address"), joined(city, state, country).alias("city_state_country"), _text(_first(p["telecom"], lambda t: t["system"] == "phone")["value"]).alias("phone"),
+        joined(line, city, state, code_).alias("full_address"), joined(city, state).alias("address_city_and_state"), joined(state, country).alias("address_state_and_country"), joined(city, state, country).alias("city_state_country"),
+        _text(F.array_join(_first(p["name"], lambda n: n["use"] == "usual")["given"], " ")).alias("nicknames"), _text(_first(p["telecom"], lambda t: t["system"] == "phone")["value"]).alias("phone"),
         _text(F.get(ext(RACE)["extension"], 1)["valueString"]).alias("race"), _text(F.get(ext(ETHNICITY)["extension"], 1)["valueString"]).alias("ethnicity"), strip_digits(ext(MAIDEN)["valueString"]).alias("mothers_maiden_name"),
-        _text(born["city"]).alias("birth_city"), _text(born["state"]).alias("birth_state"), _text(born["country"]).alias("birth_country"), rounded(ext(DALY)["valueDecimal"]).alias("disability_adjusted_life_years"),
+        _text(born["city"]).alias("birth_city"), _text(born["state"]).alias("birth_state"), _text(born["country"]).alias("birth_country"),
+        joined(_text(born["city"]), _text(born["state"])).alias("birth_city_and_state"), joined(_text(born["state"]), _text(born["country"])).alias("birth_state_and_country"),
+        joined(_text(born["city"]), _text(born["state"]), _text(born["country"])).alias("birth_city_state_and_country"), rounded(ext(DALY)["valueDecimal"]).alias("disability_adjusted_life_years"),
         rounded(ext(QALY)["valueDecimal"]).alias("quality_adjusted_life_years"), marital(F.get(p["maritalStatus"]["coding"], 0)["code"]).alias("marital_status"),
     )
 
 
+ENCOUNTER = (
+    f"struct<type:array<struct<coding:{CODING}>>,reasonCode:array<struct<coding:{CODING}>>,location:array<struct<location:struct<display:string>>>,"
+    f"participant:array<struct<type:array<struct<coding:{CODING}>>,individual:struct<display:string>>>>"
+)
+
+
 def encounters(rows: DataFrame, key: str) -> DataFrame:
-    """(key, pos, n, id, status, class, code, display, start, end, provider): n counts from 0 in bundle order."""
+    """A row for each encounter, n counts from 0 in bundle order; strings are empty where missing.
+
+    display and code are the first type's, type_display and reason_display join all, reason is the first, else N/A; start_at and
+    end_at are readable times; practitioner is the primary performer, without digits.
+    """
     get = lambda p: _text(F.try_variant_get("resource", p, "string"))
-    out = rows.filter("kind = 'Encounter'").withColumn("n", F.row_number().over(W.partitionBy(key).orderBy("pos")) - 1)
-    return out.select(key, "pos", "n", "id", get("$.status").alias("status"), get("$.class.code").alias("class"), get("$.type[0].coding[0].code").alias("code"), get("$.type[0].coding[0].display").alias("display"), get("$.period.start").alias("start"), get("$.period.end").alias("end"), get("$.serviceProvider.display").alias("provider"))
+    out = rows.filter("kind = 'Encounter'").withColumn("n", F.row_number().over(W.partitionBy(key).orderBy("pos")) - 1).withColumn("e", F.from_json(F.to_json("resource"), ENCOUNTER))
+    every = lambda c: F.array_join(F.flatten(F.transform(F.col(f"e.{c}"), lambda t: F.filter(t["coding"]["display"], lambda d: d.isNotNull()))), ", ")
+    primary = _first(F.col("e.participant"), lambda p: F.exists(p["type"], lambda t: F.exists(t["coding"], lambda c: c["code"] == "PPRF")))
+    return out.select(
+        key, "pos", "n", "id", get("$.status").alias("status"), get("$.class.code").alias("class"), get("$.type[0].coding[0].code").alias("code"), get("$.type[0].coding[0].display").alias("display"),
+        get("$.period.start").alias("start"), get("$.period.end").alias("end"), get("$.serviceProvider.display").alias("provider"), _text(every("type")).alias("type_display"),
+        _text(every("reasonCode")).alias("reason_display"), F.coalesce(F.try_variant_get("resource", "$.reasonCode[0].coding[0].display", "string"), F.lit("N/A")).alias("reason"),
+        readable(get("$.period.start")).alias("start_at"), readable(get("$.period.end")).alias("end_at"), _text(F.array_join(F.col("e.location.location.display"), ", ")).alias("location"),
+        strip_digits(primary["individual"]["display"]).alias("practitioner"),
+    )
+
+
+#: What a note of an encounter could be, by its type's code, else by its class.
+BY_CODE = {"50849002": "emergency_dept", "308646001": "death_certificate"}
+BY_CLASS = {"ambulatory": "progress_note", "inpatient": "discharge_summary", "wellness": "wellness_visit"}
+
+
+def suggestion(code: Column, kind: Column) -> Column:
+    return F.coalesce(lookup(BY_CODE, code), lookup(BY_CLASS, kind), F.lit("general_note"))
+
+
+def encounter_groups(found: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """(code, display, class, n, reasons, template): the different reasons of the first encounters of each type and class.
+
+    `unknown` and `Unknown` stand for what is missing. Rows are combined before the shuffle; of reasons, only the first
+    `most` encounters of each part are kept.
+    """
+    named = found.select(key, "pos", "reason", *(F.coalesce(F.nullif(c, F.lit("")), F.lit(v)).alias(c) for c, v in (("code", "unknown"), ("display", "Unknown"), ("class", "unknown"))))
+    groups = named.groupBy("code", "display", "class").agg(F.count("*").alias("n"))
+    w = W.partitionBy("code", "display", "class").orderBy(key, "pos")
+    few = named.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most)
+    reasons = few.groupBy("code", "display", "class").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    return groups.join(reasons, ["code", "display", "class"]).withColumn("template", suggestion(F.col("code"), F.col("class"))).orderBy("code", "display", "class")
 
 
 def chosen(found: DataFrame, key: str, index: int = -1) -> DataFrame:
@@ -117,6 +162,73 @@ def resource_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
 
 
-def context(label_values: list[tuple[str, Column]]) -> Column:
-    """`Label: value` lines of what isn't blank."""
-    return F.concat_ws("\n", *(F.when(F.trim(_text(v.cast("string"))) != "", F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in label_values))
+def document_types(rows: DataFrame) -> DataFrame:
+    """(type, n) of document references, most first."""
+    kind = F.coalesce(F.try_variant_get("resource", "$.type.coding[0].display", "string"), F.lit("Unknown"))
+    return document_references(rows).groupBy(kind.alias("type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
+
+
+def document_references(rows: DataFrame) -> DataFrame:
+    return rows.filter("kind = 'DocumentReference'")
+
+
+def previews(rows: DataFrame, key: str, most: int = 500) -> DataFrame:
+    """(key, pos, part, text, more): the first characters of each attachment of the document references; null where it can't be decoded."""
+    content = F.from_json(F.to_json("resource"), "struct<content:array<struct<attachment:struct<data:string>>>>")["content"]
+    parts = document_references(rows).select(key, "pos", F.posexplode(content).alias("part", "c")).filter("c.attachment.data IS NOT NULL")
+    text = F.try_validate_utf8(F.try_to_binary("c.attachment.data", F.lit("base64")).cast("string"))
+    return parts.select(key, "pos", "part", text.alias("__t")).select(key, "pos", "part", F.left("__t", F.lit(most)).alias("text"), (F.length("__t") > most).alias("more"))
+
+
+def index(rows: DataFrame, key: str) -> DataFrame:
+    """(key, ref, resource): every resource by its id and by its full URL; of equal ones the last in the bundle."""
+    refs = rows.select(key, "pos", "resource", F.explode(F.array_distinct(F.array_compact(F.array("id", "full_url")))).alias("ref"))
+    return refs.groupBy(key, "ref").agg(F.max_by(F.to_json("resource"), "pos").alias("resource"))
+
+
+def referenced(index_: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """(key, ref, resource) of references (key, ref): as they are, else with `urn:uuid:` before them."""
+    plain = wanted.join(index_, [key, "ref"], "left").withColumn("__ref", F.concat(F.lit("urn:uuid:"), "ref"))
+    prefixed = index_.select(key, F.col("ref").alias("__ref"), F.col("resource").alias("__resource"))
+    return plain.join(prefixed, [key, "__ref"], "left").select(key, "ref", F.coalesce("resource", "__resource").alias("resource"))
+
+
+EXTENSION = "struct<url:string,extension:array<struct<valueCoding:struct<display:string>,valueString:string>>,valueString:string,valueAddress:struct<city:string,state:string>>"
+
+
+def extension_value(extensions: Column, url: str) -> Column:
+    """The value of the first extension with that address that has one: nested coding or string, own string, or `city, state`. extensions: array of EXTENSION."""
+
+    def value(x: Column) -> Column:
+        nested = F.get(F.filter(F.transform(x["extension"], lambda n: F.when(n["valueCoding"].isNotNull(), _text(n["valueCoding"]["display"])).otherwise(n["valueString"])), lambda v: v.isNotNull()), 0)
+        at = F.when(x["valueAddress"].isNotNull(), F.concat(_text(x["valueAddress"]["city"]), F.lit(", "), _text(x["valueAddress"]["state"])))
+        return F.coalesce(nested, x["valueString"], at)
+
+    return F.get(F.filter(F.transform(F.filter(extensions, lambda x: x["url"] == url), value), lambda v: v.isNotNull()), 0)
+
+
+def full_context(rows: DataFrame, key: str, as_of: Column, encounter: int = -1) -> DataFrame:
+    """(key, patient, encounters, current_encounter, clinical, providers, organizations) of each bundle with a patient.
+
+    clinical holds what belongs to the chosen encounter (all where there is none). Every part is grouped by bundle, so no
+    more than one bundle is in a row.
+    """
+    person = patients(rows, key, as_of)
+    found = encounters(rows, key)
+    one = chosen(found, key, encounter)
+    listed = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", *(c for c in df.columns if c not in (key, "pos"))))).alias(name))
+    current = one.select(key, F.struct(*(c for c in one.columns if c != key)).alias("current_encounter"))
+    out = person.select(key, F.struct(*(c for c in person.columns if c != key)).alias("patient"))
+    for part in (listed(found, "encounters"), current, listed(clinical(rows, key, one), "clinical"), listed(providers(rows, key), "providers"), listed(organizations(rows, key), "organizations")):
+        out = out.join(part, key, "left")
+    return out
+
+
+def context_text(context: DataFrame, settings: writing.Settings = writing.Settings()) -> Column:  # noqa: B008
+    """What full_context() gives as text: patient, clinical categories, providers, and the current encounter."""
+    none = F.array().cast("array<string>")
+    displays = lambda kind: F.coalesce(F.transform(F.filter("clinical", lambda c: c["kind"] == kind), lambda c: c["display"]), none)
+    people = F.transform("providers", lambda p: writing.labelled(writing.PROVIDER_LABELS, lambda f: p[f]))
+    visit = writing.labelled(writing.ENCOUNTER_LABELS, lambda f: F.col(f"current_encounter.{f}"))
+    visits = F.when(F.col("current_encounter").isNotNull(), F.array(visit)).otherwise(none)
+    return writing.whole_text(writing.labelled(writing.PATIENT_LABELS, lambda f: F.col(f"patient.{f}")), writing.clinical_text(displays, settings), F.coalesce(people, none), visits)

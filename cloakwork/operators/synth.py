@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import not_in_word, quoted, starts
+from .people import Draw
 
+#: So many templates are broadcast at once.
+BROADCAST_TEMPLATES = 10_000
 PLACEHOLDER = r"\{\{([A-Z_]+)\}\}"
 #: Manifest types of placeholders; others are OTHER.
 TYPES = {
@@ -52,38 +55,43 @@ def _typed(at: Column, kind: str, value: Column) -> Column:
     return F.transform(at, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("type"), value.alias("value")))
 
 
-def pick(values: tuple[str, ...], *seed: Column) -> Column:
-    """One of values by a hash of the row's key and a seed: the same on every run and executor."""
-    return F.element_at(F.array(*(F.lit(v) for v in values)), (F.pmod(F.xxhash64(*seed), F.lit(len(values))) + 1).cast("int"))
-
-
-def digits(n: int, *seed: Column) -> Column:
-    return F.lpad(F.pmod(F.xxhash64(*seed), F.lit(10**n)).cast("string"), n, "0")
-
-
-FIRST = ("Ada", "Ben", "Chloé", "Dara", "Eli", "Fay", "Gus", "Hana", "Ivo", "June", "Kai", "Lea")
-LAST = ("Abbot", "Brandt", "Castro", "Dufour", "Ekman", "Farrow", "Garnier", "Holt", "Iverson", "Jensen", "Keller", "Lindqvist")
-CITIES = ("Northfield", "Easton", "Westbrook", "Southgate", "Millbrook", "Riverton")
-
-
-def patient(key: Column, seed: int = 0) -> dict[str, Column]:
+def patient(draw: Draw) -> dict[str, Column]:
     """Values for placeholders, drawn from the row's key."""
-    s = lambda name: (key, F.lit(seed), F.lit(name))
-    first, last = pick(FIRST, *s("first")), pick(LAST, *s("last"))
-    date = F.date_format(F.date_add(F.lit("1940-01-01").cast("date"), F.pmod(F.xxhash64(*s("dob")), F.lit(25_000)).cast("int")), "yyyy-MM-dd")
+    first, last = draw.first_name(), draw.last_name()
     return {
-        "NAME": F.concat_ws(" ", first, last), "FIRST_NAME": first, "LAST_NAME": last, "DOB": date, "SSN": F.concat_ws("-", digits(3, *s("s1")), digits(2, *s("s2")), digits(4, *s("s3"))),
-        "MRN": F.concat(F.lit("MRN"), digits(8, *s("mrn"))), "PHONE": F.concat(F.lit("555-"), digits(3, *s("p1")), F.lit("-"), digits(4, *s("p2"))), "CITY": pick(CITIES, *s("city")),
-        "EMAIL": F.concat(F.lower(first), F.lit("."), F.lower(last), F.lit("@mail.example.com")), "ACCOUNT_NUMBER": F.concat(F.lit("ACCT-"), digits(8, *s("acc"))), "IP_ADDRESS": F.concat(F.lit("10."), F.concat_ws(".", digits(2, *s("i1")), digits(2, *s("i2")), digits(2, *s("i3")))),
+        "NAME": F.concat_ws(" ", first, last), "FIRST_NAME": first, "LAST_NAME": last, "DOB": draw.date(1940, 2005, "dob"), "SSN": draw.ssn(), "MRN": draw.mrn(), "PHONE": draw.phone(), "FAX": draw.fax(),
+        "CITY": draw.city(), "ZIP": draw.zip(), "ADDRESS": draw.street(), "EMAIL": F.concat(F.lower(first), F.lit("."), F.lower(last), F.lit("@"), draw.domain()), "ACCOUNT_NUMBER": draw.account(),
+        "HEALTH_PLAN_ID": draw.health_plan(), "DRIVERS_LICENSE": draw.drivers_license(), "DEVICE_ID": draw.device(), "IP_ADDRESS": draw.ip(), "PROVIDER_NAME": draw.provider(), "FACILITY_NAME": draw.hospital(),
+        "VEHICLE_ID": draw.vehicle(), "URL": draw.url(), "ENCOUNTER_DATE": draw.date(2024, 2024, "encounter"), "AGE": draw.between(25, 85, "age").cast("string"),
     }
 
 
+def paired(keys: DataFrame, templates: DataFrame) -> DataFrame:
+    """Every key row with every template. Templates are dealt into chunks of BROADCAST_TEMPLATES; each key row meets each chunk by an equality join."""
+    chunks = 1 + templates.count() // BROADCAST_TEMPLATES
+    rows = keys.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    dealt = templates.withColumn("__chunk", F.pmod(F.xxhash64("template", "text"), F.lit(chunks)).cast("int"))
+    return rows.join(F.broadcast(dealt) if chunks == 1 else dealt, "__chunk").drop("__chunk")
+
+
 def notes(keys: DataFrame, key: str, templates: DataFrame, count: int = 1, seed: int = 0) -> DataFrame:
-    """(key, template, copy, text, phi_entities): count notes of every template for each key.
+    """(key, template, copy, text, phi_entities): count notes of every template (template, text) for each key.
 
-    templates (template, text) is a small dimension that the caller passes; it is broadcast, so each key row is multiplied in place.
+    Only values of placeholders that some template has are drawn; all templates' names are one row that comes to the driver.
     """
-    rows = keys.select(key).crossJoin(F.broadcast(templates)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(count))))
-    values = patient(F.struct(key, "template", "copy"), seed)
-    out = rows.select(key, "template", "copy", fill(F.col("text"), values).alias("text"), F.struct(*(v.alias(k) for k, v in values.items())).alias("v"))
-    return out.withColumn("phi_entities", located(F.col("text"), {k: F.col(f"v.{k}") for k in values})).drop("v")
+    rows = paired(keys.select(key), templates).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(count))))
+    used = templates.agg(F.array_distinct(F.flatten(F.collect_set(placeholders(F.col("text")))))).first()[0] or []
+    values = {k: v for k, v in patient(Draw(F.col(key), F.col("template"), F.col("copy"), seed=seed)).items() if k in used}
+    rows = rows.select(key, "template", "copy", "text", F.struct(F.lit(0).alias("__"), *(v.alias(k) for k, v in values.items())).alias("v"))
+    own = {k: F.col(f"v.{k}") for k in values}
+    out = rows.select(key, "template", "copy", fill(F.col("text"), own).alias("text"), "v")
+    return out.withColumn("phi_entities", located(F.col("text"), own) if own else F.array().cast("array<struct<type:string,value:string,start:int,end:int>>")).drop("v")
+
+
+def manifest(notes: DataFrame, id_col: str, kind: Column, at: Column, template: bool = False, source: Column | None = None) -> DataFrame:
+    """notes with a manifest as JSON: id, type, time and what is in it; of a template its placeholders."""
+    if template:
+        body = F.struct(F.col(id_col).cast("string").alias("note_id"), kind.alias("note_type"), at.alias("generated_at"), F.lit(True).alias("is_template"), placeholders(F.col("text")).alias("placeholders"))
+    else:
+        body = F.struct(F.col(id_col).cast("string").alias("note_id"), kind.alias("note_type"), at.alias("generated_at"), F.col("phi_entities"), *([source.alias("source_template")] if source is not None else []))
+    return notes.withColumn("manifest", F.to_json(body))

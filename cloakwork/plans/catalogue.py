@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..model import SEEDED_TYPES, SHORT_CODES, TYPE_ORDER
-from ..operators import detect as D, evaluate as E, fhir as H, redact as R, review as V, stats as S, synth as Y, telemetry as M
+from ..operators import detect as D, evaluate as E, fhir as H, redact as R, review as V, stats as S, synth as Y, telemetry as M, writing as N
 from ..operators.diff import word_diff
 from ..sources.files import decoded, decoded_strict, table
 from ..streaming import ingest
@@ -391,13 +391,6 @@ def ground_truth_positions(spark, d):
     return out.select("c_custkey", "p.type", "p.value", "p.start", "p.end")
 
 
-@query()
-def synthetic_notes(spark, d):
-    templates = spark.range(1).select(F.lit("letter").alias("template"), F.lit("Dear {{NAME}}, your visit on {{DOB}} in {{CITY}} is noted. Call {{PHONE}} or write to {{EMAIL}}.").alias("text"))
-    out = Y.notes(table(spark, d, "customer"), "c_custkey", templates, 2)
-    return out.select("c_custkey", "copy", "text", F.size("phi_entities").alias("n_entities"))
-
-
 def _bundles(spark, d):
     """A bundle for each customer: a patient, two encounters, a condition, a medication by reference, a device, a practitioner and an organisation."""
     key = F.col("c_custkey").cast("string")
@@ -550,7 +543,7 @@ def edited_notes(spark, d):
 @query("SELECT c_custkey, 'Name: ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'Phone: 555-' || c_custkey ELSE '' END AS context FROM customer")
 def context_lines(spark, d):
     phone = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("555-"), F.col("c_custkey").cast("string"))).otherwise(" ")
-    return table(spark, d, "customer").select("c_custkey", H.context([("Name", F.col("c_name")), ("Phone", phone)]).alias("context"))
+    return table(spark, d, "customer").select("c_custkey", N.lines([("Name", F.col("c_name")), ("Phone", phone)]).alias("context"))
 
 
 @query("SELECT code, display, count(*) AS n FROM (SELECT '185' AS code, unnest(['Visit 1', 'Visit 2']) AS display FROM customer) GROUP BY ALL")
@@ -579,4 +572,4 @@ def note_init(spark, d):
     return state.select("doc_id", F.concat(F.lit("NOTE#"), F.col("doc_id").cast("string")).alias("record_type"), "has_output")
 
 
-from . import reports, state  # noqa: E402, F401  (more queries, which register themselves)
+from . import records, reports, state  # noqa: E402, F401  (more queries, which register themselves)
