@@ -92,3 +92,179 @@ def save_format(spark: SparkSession, path: str, name: str, template: str, scheme
 def write_notes(df: DataFrame, path: str, batch_col: str = "batch_id") -> None:
     """Redacted notes and their occurrences, by batch; a batch written again is replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch_col).json(path)
+
+
+# --- listings ---------------------------------------------------------------------------------------------------------
+
+
+def listing(spark: SparkSession, path: str, suffix: str = "", digests: bool = False) -> DataFrame:
+    """(key, etag, size, modified) of the objects below a folder whose key ends so; folder markers aren't objects.
+
+    etag is the content's MD5, read only where digests are asked for.
+    """
+    rows = files(spark, path, "*").filter(F.col("path").endswith(suffix) & ~F.col("path").endswith("/"))
+    return rows.select(F.col("path").alias("key"), (F.md5("content") if digests else F.lit(None).cast("string")).alias("etag"), "size", "modified")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is any object below a folder; False where it can't be listed."""
+    try:
+        return not files(spark, path, "*").select("path").isEmpty()
+    except Exception:  # noqa: BLE001
+        return False
+
+
+def some(rows: DataFrame, path: str) -> DataFrame:
+    """rows, or an error where a folder gave none."""
+    if rows.isEmpty():
+        raise FileNotFoundError(f"no files in {path}")
+    return rows
+
+
+def like(pattern: str) -> str:
+    """A regular expression for a file pattern of `*`, `?` and `[...]` over whole keys."""
+    out, i = "", 0
+    while i < len(pattern):
+        c, i = pattern[i], i + 1
+        end = pattern.find("]", i + 1) if c == "[" else -1
+        if end > 0:
+            body = pattern[i:end].replace("\\", "\\\\")
+            out, i = out + "[" + ("^" + body[1:] if body[0] == "!" else body) + "]", end + 1
+        else:
+            out += {"*": ".*", "?": "."}.get(c, c if c.isalnum() else "\\" + c)
+    return f"(?s)^{out}$"
+
+
+def matched(keys: DataFrame, pattern: str = "*", exclude: str | None = None, limit: int | None = None, key: str = "key") -> DataFrame:
+    """Keys that fit a pattern as a whole and whose last part doesn't fit exclude, in order; the first `limit` of them."""
+    out = keys.filter(F.col(key).rlike(like(pattern)))
+    if exclude:
+        out = out.filter(~F.element_at(F.split(key, "/", -1), -1).rlike(like(exclude)))
+    out = out.orderBy(key)
+    return out if limit is None else out.limit(limit)
+
+
+def bucket_and_key(path: Column) -> Column:
+    """struct<is_object, bucket, key> of `scheme://bucket/key`; of anything else the path itself."""
+    p = r"^[a-z0-9]+://([^/]+)/?(.*)$"
+    own = path.rlike(p)
+    part = lambda i: F.when(own, F.regexp_extract(path, p, i))
+    return F.struct(own.alias("is_object"), part(1).alias("bucket"), F.coalesce(part(2), path).alias("key"))
+
+
+def sources_resolved(found: DataFrame, there: DataFrame, folder: str, source: str = "source") -> DataFrame:
+    """found with `path` and `outcome`: `skipped` without a source, `missing` where no file of there (path) is it, else `ok`.
+
+    A relative source is below folder.
+    """
+    named = F.coalesce(F.col(source), F.lit("")) != ""
+    path = F.when(named, F.when(F.col(source).rlike(r"^(/|[a-z0-9]+:)"), F.col(source)).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), source)))
+    known = there.select(F.col("path").alias("__there")).distinct()
+    rows = found.withColumn("path", path).join(known, F.col("path") == F.col("__there"), "left")
+    return rows.withColumn("outcome", F.when(~named, "skipped").when(F.col("__there").isNull(), "missing").otherwise("ok")).drop("__there")
+
+
+# --- objects ----------------------------------------------------------------------------------------------------------
+
+
+def write_objects(df: DataFrame, base: str, key: str = "key", content: str = "content") -> DataFrame:
+    """Writes each row as one object below base, and gives (key, size, error): a key that is written again is replaced.
+
+    Runs where the result is read. Executors write with Arrow's file systems, so base is a URI that each can reach.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(base)
+        made: set[str] = set()
+        for b in batches:
+            sizes, errors = [], []
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    folder = f"{root}/{k}".rpartition("/")[0]
+                    if folder not in made:
+                        system.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    data = (text or "").encode()
+                    with system.open_output_stream(f"{root}/{k}") as out:
+                        out.write(data)
+                    sizes.append(len(data))
+                    errors.append(None)
+                except OSError as e:
+                    sizes.append(None)
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], names=["key", "size", "error"])
+
+    return df.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content")).mapInArrow(run, "key string, size long, error string")
+
+
+def remove_objects(spark: SparkSession, paths: list[str]) -> int:
+    """Deletes objects, and gives how many were there; errors don't count."""
+    n = 0
+    for p in paths:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False))
+        except Exception:  # noqa: BLE001
+            continue
+    return n
+
+
+def copy_object(spark: SparkSession, source: str, target: str) -> None:
+    """Copies an object between any two file systems; an error where there is none."""
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+
+
+def outputs(notes: DataFrame, batch_col: str = "batch_id", note_col: str = "note_id") -> DataFrame:
+    """(key, content): `{batch}/output/{note}_redacted.txt` and `{note}_entities.json`, the occurrences, for notes with redacted and occurrences."""
+    stem_ = F.concat(F.col(batch_col).cast("string"), F.lit("/output/"), F.col(note_col).cast("string"))
+    pair = lambda tail, content: F.struct(F.concat(stem_, F.lit(tail)).alias("key"), content.alias("content"))
+    return notes.select(F.explode(F.array(pair("_redacted.txt", F.col("redacted")), pair("_entities.json", F.to_json("occurrences")))).alias("o")).select("o.*")
+
+
+def response_files(detected: DataFrame, stem_col: str, source_col: str) -> DataFrame:
+    """(key, content): `{stem}_response.json` with the source and the entities found."""
+    body = F.to_json(F.struct(F.col(source_col).alias("source"), F.struct(F.col("entities").alias("pii_entities")).alias("response")))
+    return detected.select(F.concat(F.col(stem_col).cast("string"), F.lit("_response.json")).alias("key"), body.alias("content"))
+
+
+def redaction_files(redacted: DataFrame, stem_col: str) -> DataFrame:
+    """(key, content): `{stem}_redacted.txt` and `{stem}_positions.json`, the stem without a `_response` at its end."""
+    own = F.regexp_replace(F.col(stem_col).cast("string"), "_response$", "")
+    pair = lambda tail, content: F.struct(F.concat(own, F.lit(tail)).alias("key"), content.alias("content"))
+    positions_ = F.to_json(F.struct(F.col("positions").alias("pii_entities")))
+    return redacted.select(F.explode(F.array(pair("_redacted.txt", F.col("redacted")), pair("_positions.json", positions_))).alias("o")).select("o.*")
+
+
+def note_files(notes: DataFrame, id_col: str, template: bool = False) -> DataFrame:
+    """(key, content): a note and its manifest in folders of their own; templates in folders below `templates`."""
+    top = "templates/" if template else ""
+    pair = lambda folder, tail, content: F.struct(F.concat(F.lit(f"{top}{folder}/"), F.col(id_col).cast("string"), F.lit(tail)).alias("key"), F.col(content).alias("content"))
+    return notes.select(F.explode(F.array(pair("notes", ".txt", "text"), pair("manifests", ".json", "manifest"))).alias("o")).select("o.*")
+
+
+def templates(spark: SparkSession, path: str) -> DataFrame:
+    """(template, text, note_type) of the texts in a folder `notes`, by name; the type is in the manifest beside it, else `unknown`."""
+    texts = files(spark, f"{path}/notes").select(stem(F.col("path")).alias("template"), decoded(F.col("content")).alias("text"))
+    if not exists(spark, f"{path}/manifests"):
+        return texts.withColumn("note_type", F.lit("unknown")).orderBy("template")
+    kinds = files(spark, f"{path}/manifests", "*.json").select(stem(F.col("path")).alias("template"), F.get_json_object(F.col("content").cast("string"), "$.note_type").alias("note_type"))
+    return texts.join(kinds, "template", "left").withColumn("note_type", F.coalesce("note_type", F.lit("unknown"))).orderBy("template")
+
+
+def load_format(spark: SparkSession, path: str, name: str) -> tuple[str, str]:
+    """(template, scheme) of a saved format, the last one saved under that name."""
+    found = formats(spark, path).filter(F.col("name") == name).orderBy(F.desc("created")).select("template", "id_scheme").first()
+    if found is None:
+        raise FileNotFoundError(f"no format named {name}")
+    return tuple(found)
+
+
+def records(spark: SparkSession, spans: DataFrame, sql: str, view: str = "records") -> DataFrame:
+    """A query over telemetry spans as the view `records`."""
+    spans.createOrReplaceTempView(view)
+    return spark.sql(sql)

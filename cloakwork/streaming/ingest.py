@@ -57,3 +57,50 @@ def redriven(attempts: DataFrame, key: str, failed: Column, batch: Column | None
     """Keys set aside after `most` failures, to be sent again; of one batch only, where told."""
     rows = attempts if batch is None else attempts.filter(batch)
     return stats.dead_letters(rows, key, failed, most).filter("dead")
+
+
+def messages(inputs: DataFrame) -> DataFrame:
+    """(batch_id, note_id, key, attempts): a message for each input (batch_id, key); what isn't a note has none."""
+    from ..functions.text import stem
+
+    return inputs.filter(F.col("key").endswith(".txt")).select("batch_id", stem(F.col("key")).alias("note_id"), "key", F.lit(0).alias("attempts"))
+
+
+def enqueued(batches: DataFrame, sent: DataFrame) -> DataFrame:
+    """(batch_id, file_count, failed_count, outcome) of an ingestion: sent (batch_id, error); a batch without messages is `no_files`."""
+    n = sent.groupBy("batch_id").agg(F.count("*").alias("file_count"), F.count("error").alias("failed_count"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return batches.select("batch_id").distinct().join(n, "batch_id", "left").select("batch_id", zero("file_count"), zero("failed_count"), F.when(F.col("file_count").isNull(), "no_files").otherwise("sent").alias("outcome"))
+
+
+def attempted(taken: DataFrame, failed: Column, most: int = 3) -> DataFrame:
+    """taken messages with one attempt more and `outcome`: `done`, `again` (only these are delivered again) or `dead` at the last attempt."""
+    n = F.col("attempts") + 1
+    bad = F.coalesce(failed, F.lit(False))
+    return taken.withColumn("outcome", F.when(~bad, "done").when(n >= most, "dead").otherwise("again")).withColumn("attempts", n)
+
+
+def drained(taken: DataFrame, failed: Callable[[Column], Column], most: int = 3) -> DataFrame:
+    """Messages at their end, done or dead, after as many deliveries as each needs. failed(attempts): whether that delivery fails."""
+    done, left = None, taken
+    for _ in range(most):
+        out = attempted(left, failed(F.col("attempts") + 1), most)
+        end = out.filter("outcome <> 'again'")
+        done = end if done is None else done.unionByName(end)
+        left = out.filter("outcome = 'again'").drop("outcome")
+    return done
+
+
+def noted(path: str) -> Callable[[DataFrame, int], None]:
+    """A step that keeps a micro-batch's changes (batch_id, note_id, kind, at); batches.transitions over all of them counts every note once."""
+
+    def step(df: DataFrame, number: int) -> None:
+        df.dropDuplicates().write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return step
+
+
+def progress(run: StreamingQuery) -> dict:
+    """What a caller that polls is told: whether the query still works, its last micro-batch, and rows read so far."""
+    last = run.lastProgress
+    return {"active": run.isActive, "batch": last["batchId"] if last else None, "rows": sum(p["numInputRows"] for p in run.recentProgress), "waiting": run.status["isTriggerActive"]}
