@@ -142,7 +142,16 @@ def formatter_ids_alpha(spark, d):
     return formatter_ids_numeric(spark, d).select("doc_id", "type", "value", X.alpha_id(F.col("n")).alias("id"))
 
 
-@query()
+def _template_sql() -> str:
+    """Every value replaced in order, one after the other, by a tag with its number; values at no word boundary stay."""
+    tags = {"email": "EMAIL", "ssn": "SSN", "ip_address": "IP", "url": "URL", "account_number": "ACCOUNT", "medical_record_number": "MRN", "phone_number": "PHONE", "date": "DATE"}
+    tag = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tags.items()) + " ELSE upper(type) END"
+    items = f"list({{'v': '\\b' || regexp_escape(value) || '\\b', 't': '**' || {tag} || '[' || n || ']'}} ORDER BY {_RANK}, n)"
+    fold = "list_reduce([{'v': text, 't': ''}] || coalesce(items, []), lambda a, x: {'v': regexp_replace(a.v, x.v, x.t, 'g'), 't': ''}).v"
+    return f"WITH e AS (SELECT doc_id, {items} AS items FROM ({_IDS}) GROUP BY doc_id) SELECT doc_id, md5({fold}) AS redacted_md5 FROM documents LEFT JOIN e USING (doc_id)"
+
+
+@query(_template_sql())
 def redact_template(spark, d):
     out = R.redact(D.detect(_docs(spark, d)), tag=R.template_tag("**{TYPE}[{ID}]", "numeric"))
     return out.select("doc_id", F.md5("redacted").alias("redacted_md5"))
@@ -451,7 +460,7 @@ def resource_types(spark, d):
     return H.resource_counts(H.resources(_bundles(spark, d), "c_custkey"))
 
 
-@query()
+@query("SELECT doc_id, unnest([md5(text), md5(chr(65279) || text), md5(chr(65279) || text)]) AS core_md5, md5(text) AS strict_md5 FROM documents")
 def decode_ladder(spark, d):
     rows = _docs(spark, d).select("doc_id", F.explode(F.array(F.encode("text", "UTF-8"), F.encode("text", "UTF-16"), F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")))).alias("content"))
     return rows.select("doc_id", F.md5(decoded(F.col("content"))).alias("core_md5"), F.md5(decoded_strict(F.col("content"))).alias("strict_md5"))
