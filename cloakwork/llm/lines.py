@@ -322,3 +322,24 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = dedup_lines(docs.select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", "dropped_lines", "longest_run", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
+
+
+OP6_SQL = r"""
+WITH t AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, i, line, regexp_extract_all(line, '[^\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+') AS ws, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k
+  FROM t WHERE regexp_matches(line, '[^ \x09-\x0d]')),
+q AS (SELECT doc_id, i, k, array_to_string(ws, ' ') AS id,
+  len(ws) + len(regexp_extract_all(line, '[\x{e01}-\x{eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3041}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]')) // 2 >= 5 AS content FROM f),
+v AS (SELECT doc_id, k, 2 AS w, id || chr(10) || lead(id) OVER (PARTITION BY doc_id ORDER BY k) AS name FROM q UNION ALL SELECT doc_id, k, 1, id FROM q WHERE content),
+o AS (SELECT w, name, min(row(doc_id, k)) AS first, count(*) AS n FROM v WHERE name IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+a AS (SELECT v.doc_id, v.k, v.w, CASE WHEN o.first[1] = v.doc_id THEN greatest(v.k, o.first[2] + v.w) ELSE v.k END AS begin FROM v JOIN o USING (w, name) WHERE row(v.doc_id, v.k) <> o.first),
+g AS (SELECT DISTINCT doc_id, unnest(range(begin, k + w)) AS k FROM a),
+x AS (SELECT doc_id, list(i ORDER BY i) AS gone FROM g JOIN q USING (doc_id, k) GROUP BY doc_id),
+m AS (SELECT y.doc_id, y.k, z.doc_id AS other, y.k - z.k AS diagonal FROM q y JOIN q z ON y.id = z.id AND (y.doc_id <> z.doc_id OR y.k <> z.k) WHERE y.doc_id IN (SELECT doc_id FROM a)),
+r AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY k) AS run FROM m),
+l AS (SELECT doc_id, k, max(upto) - k + 1 AS lcp FROM (SELECT *, max(k) OVER (PARTITION BY doc_id, other, diagonal, run) AS upto FROM r) GROUP BY doc_id, k),
+b AS (SELECT doc_id, max(lcp) AS longest FROM l JOIN (SELECT DISTINCT doc_id, k FROM a) USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_dropped, coalesce(gone, [])::INT[] AS dropped_lines, coalesce(longest, 0)::INT AS longest_run,
+sha256(coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s, j: CASE WHEN list_contains(coalesce(gone, []), j - 1) THEN NULL ELSE s END), lambda s: s IS NOT NULL), chr(10)), '')) AS clean_sha256
+FROM documents d LEFT JOIN x USING (doc_id) LEFT JOIN b USING (doc_id)
+"""
