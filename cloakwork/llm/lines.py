@@ -321,7 +321,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: `dedup_lines` over the whole table `documents`, its cleaned text as a digest; see there for nulls, ties and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = dedup_lines(docs.select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", "dropped_lines", "longest_run", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
+    dropped = F.array_join(F.col("dropped_lines").cast("array<string>"), ",").alias("dropped_lines")
+    return out.select("doc_id", "n_lines", "n_dropped", dropped, "longest_run", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"))
 
 
 OP6_SQL = r"""
@@ -339,7 +340,7 @@ m AS (SELECT y.doc_id, y.k, z.doc_id AS other, y.k - z.k AS diagonal FROM q y JO
 r AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY k) AS run FROM m),
 l AS (SELECT doc_id, k, max(upto) - k + 1 AS lcp FROM (SELECT *, max(k) OVER (PARTITION BY doc_id, other, diagonal, run) AS upto FROM r) GROUP BY doc_id, k),
 b AS (SELECT doc_id, max(lcp) AS longest FROM l JOIN (SELECT DISTINCT doc_id, k FROM a) USING (doc_id, k) GROUP BY doc_id)
-SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_dropped, coalesce(gone, [])::INT[] AS dropped_lines, coalesce(longest, 0)::INT AS longest_run,
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_dropped, coalesce(array_to_string(gone, ','), '') AS dropped_lines, coalesce(longest, 0)::INT AS longest_run,
 sha256(coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda s, j: CASE WHEN list_contains(coalesce(gone, []), j - 1) THEN NULL ELSE s END), lambda s: s IS NOT NULL), chr(10)), '')) AS clean_sha256
 FROM documents d LEFT JOIN x USING (doc_id) LEFT JOIN b USING (doc_id)
 """

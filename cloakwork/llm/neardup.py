@@ -102,8 +102,8 @@ s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_
 n AS (SELECT doc_id, len(sh) AS n_shingles, CASE WHEN len(sh) > 0 THEN md5(array_to_string(sh, '|')) END AS node, sh FROM s),
 d AS (SELECT node, min(doc_id) AS least, count(*) AS size, any_value(n_shingles) AS k, any_value(sh) AS sh FROM n WHERE node IS NOT NULL GROUP BY node),
 u AS (SELECT node, k, unnest(sh) AS x FROM d),
-p AS (SELECT a.node AS a, b.node AS b, a.k AS ka, b.k AS kb, count(*) AS both FROM u a JOIN u b ON a.x = b.x AND a.node <> b.node GROUP BY ALL),
-e AS (SELECT a, b FROM p WHERE both / (ka + kb - both) >= 0.8 - 1e-9),
+p AS (SELECT a.node AS a, b.node AS b, a.k AS ka, b.k AS kb, count(*) AS met FROM u a JOIN u b ON a.x = b.x AND a.node <> b.node GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE met / (ka + kb - met) >= 0.8 - 1e-9),
 r(a, b) AS (SELECT node, node FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT r.a AS node, min(least) AS class_id, sum(size)::BIGINT AS class_size FROM r JOIN d ON r.b = d.node GROUP BY r.a),
 l AS (SELECT e.a AS node, sum(size)::BIGINT AS links FROM e JOIN d ON e.b = d.node GROUP BY e.a)

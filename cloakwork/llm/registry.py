@@ -20,4 +20,6 @@ QUERIES = {
 ORACLES = {
     "op2_exact_dedup": dedup.OP2_SQL,
     "op5_url_filter": urls.OP5_SQL,
+    "op6_line_dedup": lines.OP6_SQL,
+    "op10_ngram_jaccard": neardup.OP10_SQL,
 }
