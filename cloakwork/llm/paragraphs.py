@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .common import attach, cut, small_batches
 from .similar import BROADCAST_ROWS, SIMILAR, SLICE, WORDS, Keys, _hash_words, _tables, banded, classes, digest, fetch, mix, shingles, word_hashes
 
-#: Words of the shortest paragraph that is compared; shorter lines recur in unrelated texts.
-LEAST_WORDS = 20
+#: Words of the shortest paragraph that is compared.
+LEAST_WORDS = 10
 #: Recall at the threshold for which bands are tuned, and rows of a band.
-RECALL, ROWS = 0.995, 4
+RECALL, ROWS = 0.995, 3
 #: Words of the runs by which passages are found inside and across paragraphs that aren't alike as a whole, and the places of
 #: which one is picked: equal runs of PASSAGE + PICK = 51 words are found.
-PASSAGE, PICK = 32, 19
+PASSAGE, PICK = 25, 26
 #: Code points read on both sides of a slice of a very long text, so runs across its ends are seen.
 CONTEXT = 1 << 13
 #: Equal runs this few words apart are a word or phrase over and over.
