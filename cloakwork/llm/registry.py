@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, dedup, langid, licenses, lines, neardup, packing, paragraphs, secrets, urls
+from . import decontaminate, dedup, langid, licenses, lines, neardup, packing, paragraphs, phrases, secrets, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_ngram_jaccard": neardup.op10_ngram_jaccard,
+    "op11_collocations": phrases.op11_collocations,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_url_filter": urls.OP5_SQL,
     "op6_line_dedup": lines.OP6_SQL,
     "op10_ngram_jaccard": neardup.OP10_SQL,
+    "op11_collocations": phrases.OP11_SQL,
 }
