@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, dedup, langid, licenses, lines, neardup, packing, paragraphs, phrases, secrets, urls
+from . import conversations, decontaminate, dedup, langid, licenses, lines, neardup, packing, paragraphs, phrases, secrets, toxicity, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_ngram_jaccard": neardup.op10_ngram_jaccard,
     "op11_collocations": phrases.op11_collocations,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
