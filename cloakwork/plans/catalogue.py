@@ -581,4 +581,4 @@ def note_init(spark, d):
     return state.select("doc_id", F.concat(F.lit("NOTE#"), F.col("doc_id").cast("string")).alias("record_type"), "has_output")
 
 
-from . import objects, records, reports, state  # noqa: E402, F401  (more queries, which register themselves)
+from . import objects, records, reports, sequences, state  # noqa: E402, F401  (more queries, which register themselves)
