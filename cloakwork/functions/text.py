@@ -15,6 +15,11 @@ def lookup(pairs: dict[str, str], key: Column) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, although body's lambdas name it again and again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank(c: Column) -> Column:
     return ~c.rlike(r"(?U)\S")
 
@@ -56,17 +61,41 @@ def starts(text: Column, pattern: Column, found: Column | None = None, length: C
     """
     pieces = F.call_function("split", text, pattern, F.lit(-1))
     first = F.slice(pieces, 1, F.size(pieces) - 1)
+    if found is None:
+        steps = F.transform(first, lambda gap: F.struct(F.length(gap).alias("gap"), length.alias("size")))
+    else:
+        steps = F.zip_with(first, found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")))
+    return _running(steps)
+
+
+def _running(steps: Column, chunk: int = 128) -> Column:
+    """array<struct<start, end>> of array<struct<gap, size>>: each starts a gap after the end before it.
+
+    A fold copies what it has gathered at every step, so chunks are summed first and each is then unrolled from its own offset: a
+    text with very many matches costs a chunk for each match, not all matches before it.
+    """
     none = F.array().cast("array<struct<start:int,end:int>>")
+    size = F.lit(chunk)
 
-    def step(acc, gap, size):
-        at = acc["at"] + F.length(gap)
-        return F.struct((at + size).alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), (at + size).alias("end")))).alias("out"))
+    def cut(xs: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int"))
+        return F.when(F.size(xs) > 0, F.transform(chunks, lambda c: F.slice(xs, c * size + 1, size))).otherwise(F.array().cast("array<array<struct<gap:int,size:int>>>"))
 
-    seed = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    if found is None:
-        return F.aggregate(first, seed, lambda acc, gap: step(acc, gap, length), lambda acc: acc["out"])
-    both = F.zip_with(first, found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.aggregate(both, seed, lambda acc, x: step(acc, x["g"], F.length(x["m"])), lambda acc: acc["out"])
+    def based(all_parts: Column) -> Column:
+        total = F.transform(all_parts, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+        seed = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(total, seed, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.zip_with(all_parts, bases, lambda p, base: F.struct(p.alias("part"), base.alias("base")))
+
+    def unrolled(p: Column) -> Column:
+        def step(acc, x):
+            start = acc["at"] + x["gap"]
+            one = F.struct(start.alias("start"), (start + x["size"]).alias("end"))
+            return F.struct((start + x["size"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        return F.aggregate(p["part"], F.struct(p["base"].alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    return F.flatten(F.transform(let(let(steps, cut), based), unrolled))
 
 
 def alpha_id(n: Column) -> Column:
