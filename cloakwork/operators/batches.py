@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import stem
 from ..model import SEEDED_TYPES
+from .ordered import numbered
 
 #: Where a note's objects lie; `prior` and `legacy` are older places of an approval, removed when it is saved.
 KEYS = {
@@ -37,8 +38,7 @@ def created(folders: DataFrame, files: DataFrame, at: Column, taken: DataFrame |
         rows = rows.join(known, "base", "left")
     else:
         rows = rows.withColumn("known", F.lit(0))
-    n = F.row_number().over(W.partitionBy("base").orderBy("folder")) + F.coalesce("known", F.lit(0))
-    rows = rows.withColumn("n", n)
+    rows = numbered(rows, ["base"], ["folder"]).withColumn("n", F.col("n") + F.coalesce("known", F.lit(0)))
     return rows.select(
         "folder", F.when(F.col("n") > 1, F.concat("base", F.lit("-"), F.col("n").cast("string"))).otherwise(F.col("base")).alias("batch_id"), "n_files",
         F.when(F.col("n_files") > 0, "ready").otherwise("created").alias("status"), "created_at",

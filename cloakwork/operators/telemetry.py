@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ordered import percentiles
+
 #: US dollars for a million tokens.
 PRICE_IN, PRICE_OUT, PRICE_READ, PRICE_WRITE = 3.0, 15.0, 0.30, 3.75
 
@@ -96,15 +98,15 @@ def first_value(name: str, default: Column, columns: str = "columns") -> Column:
 def periods(points: DataFrame, at: str, value: str, by: list[str], length: str = "5 minutes") -> DataFrame:
     """Count, sum, average, p50, p95 and maximum of each period and dimension, exact.
 
-    Equal values are counted first, combined before the shuffle and split over tasks by value, so a busy period is one group only
-    of its different values.
+    Equal values are counted first, combined before the shuffle; then values are range-sorted over tasks with running counts, so a
+    period that holds most rows is split however much its values differ, and only the values beside a rank are fetched.
     """
     keys = ["period", *by]
     counts = points.select(F.window(at, length)["start"].alias("period"), *by, F.col(value).alias("v")).groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    q = lambda p: F.percentile("v", F.lit(p), F.col("c"))
-    total = F.sum(F.col("v") * F.col("c"))
     known = F.sum(F.when(F.col("v").isNotNull(), F.col("c")))
-    return counts.groupBy(*keys).agg(F.sum("c").alias("n"), total.alias("total"), (total / known).alias("average"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.max("v").alias("most"))
+    sums = (F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("total"), known.alias("known"), F.max("v").alias("most"))
+    found = percentiles(counts, keys, "v", "c", {"p50": 0.5, "p95": 0.95}, *sums)
+    return found.select(*keys, "n", "total", (F.col("total") / F.col("known")).alias("average"), "p50", "p95", "most")
 
 
 def cost(read: Column, write: Column, input_: Column, output: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as X
 from ..model import SEEDED_TYPES, SHORT_CODES, TYPE_ORDER
 from ..operators import detect as D, evaluate as E, fhir as H, redact as R, review as V, stats as S, synth as Y, telemetry as M, writing as N
+from ..operators import ordered
 from ..operators.diff import word_diff
 from ..sources.files import decoded, decoded_strict, table
 from ..streaming import ingest
@@ -230,7 +231,7 @@ def page_keyset(spark, d):
 
 @query("SELECT conv_id, turn, lag(turn) OVER w AS previous, lead(turn) OVER w AS following FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def note_neighbours(spark, d):
-    return S.neighbours(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn")
+    return ordered.neighbours(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn")
 
 
 @query("SELECT user_id, count(*) AS attempts, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type = 'error') >= 3 AS dead FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'error') >= 3")
