@@ -82,8 +82,13 @@ def transitions(changes: DataFrame) -> DataFrame:
     whose notes are approved. Status: completed once all notes are processed; else partially-completed where the last failure came
     after the last start or redrive; else processing once started; before, ready with inputs and created without.
     """
+    return folded(notes(changes))
+
+
+def folded(state: DataFrame) -> DataFrame:
+    """transitions() of the rows of notes(), worked out now or kept as the state of a stream."""
     approved = F.col("review") == APPROVED
-    rows = notes(changes).groupBy("batch_id").agg(
+    rows = state.groupBy("batch_id").agg(
         F.count("ingested_at").alias("input_count"), F.count_if(F.col("ingested_at").isNotNull() & F.col("processed_at").isNotNull()).alias("processed_count"),
         F.count_if(F.col("ingested_at").isNotNull() & F.coalesce(approved, F.lit(False))).alias("approved_note_count"), F.min("started_at").alias("started_at"),
         F.max(F.when(F.col("ingested_at").isNotNull(), F.greatest("processed_at", "ingested_at"))).alias("__done"), F.min("failed_at").alias("failed_at"), F.max("last_failed_at").alias("__failed"),

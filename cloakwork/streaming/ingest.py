@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import stats
+from ..operators.batches import notes
 from ..operators.detect import detect
 from ..operators.redact import redact
 
@@ -91,13 +92,26 @@ def drained(taken: DataFrame, failed: Callable[[Column], Column], most: int = 3)
     return done
 
 
-def noted(path: str) -> Callable[[DataFrame, int], None]:
-    """A step that keeps a micro-batch's changes (batch_id, note_id, kind, at); batches.transitions over all of them counts every note once."""
+def kept(changes: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Runs a stream of changes (batch_id, note_id, kind, at) into state: one row of batches.notes for each note.
 
-    def step(df: DataFrame, number: int) -> None:
-        df.dropDuplicates().write.mode("overwrite").parquet(f"{path}/batch={number}")
+    The state is a streaming aggregation of minima and maxima, so a change that is delivered again, in the same or a later
+    micro-batch, changes nothing, and the state grows with notes and not with deliveries. Nothing but the checkpoint is written.
+    """
+    return notes(changes).writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return step
+
+def note_state(spark: SparkSession, checkpoint: str, changes: DataFrame) -> DataFrame:
+    """The rows of batches.notes that the last micro-batch of kept() left, read from its state; `changes` gives the schema."""
+    rows = spark.read.format("statestore").load(checkpoint)
+    now = notes(changes)
+    fields = []  # what the aggregation keeps: a value for each minimum and maximum, value and order for the review
+    for f in now.schema.fields[2:]:
+        fields.append(T.StructField(f.name, f.dataType))
+        if f.name == "review":
+            fields.append(T.StructField("review_order", T.StructType([T.StructField("at", changes.schema["at"].dataType), T.StructField("kind", T.StringType())])))
+    held = rows.select("key.*", F.col("value").cast(T.StructType(fields)).alias("v"))
+    return held.select("batch_id", "note_id", *(F.col(f"v.{c}").alias(c) for c in now.columns[2:]))
 
 
 def progress(run: StreamingQuery) -> dict:
