@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.text import approved_id, stem
 from ..model import FORMAT, MANIFEST, POSITIONS_FILE, RESPONSE
+from .objects import listing, write_objects  # noqa: F401
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -97,21 +98,9 @@ def write_notes(df: DataFrame, path: str, batch_col: str = "batch_id") -> None:
 # --- listings ---------------------------------------------------------------------------------------------------------
 
 
-def listing(spark: SparkSession, path: str, suffix: str = "", digests: bool = False) -> DataFrame:
-    """(key, etag, size, modified) of the objects below a folder whose key ends so; folder markers aren't objects.
-
-    etag is the content's MD5, read only where digests are asked for.
-    """
-    rows = files(spark, path, "*").filter(F.col("path").endswith(suffix) & ~F.col("path").endswith("/"))
-    return rows.select(F.col("path").alias("key"), (F.md5("content") if digests else F.lit(None).cast("string")).alias("etag"), "size", "modified")
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is any object below a folder; False where it can't be listed."""
-    try:
-        return not files(spark, path, "*").select("path").isEmpty()
-    except Exception:  # noqa: BLE001
-        return False
+    """Whether there is any object below a folder; a folder that isn't there has none, any other failure is raised."""
+    return not listing(spark, path, limit=1).isEmpty()
 
 
 def some(rows: DataFrame, path: str) -> DataFrame:
@@ -167,48 +156,12 @@ def sources_resolved(found: DataFrame, there: DataFrame, folder: str, source: st
 # --- objects ----------------------------------------------------------------------------------------------------------
 
 
-def write_objects(df: DataFrame, base: str, key: str = "key", content: str = "content") -> DataFrame:
-    """Writes each row as one object below base, and gives (key, size, error): a key that is written again is replaced.
-
-    Runs where the result is read. Executors write with Arrow's file systems, so base is a URI that each can reach.
-    """
-
-    def run(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(base)
-        made: set[str] = set()
-        for b in batches:
-            sizes, errors = [], []
-            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    folder = f"{root}/{k}".rpartition("/")[0]
-                    if folder not in made:
-                        system.create_dir(folder, recursive=True)
-                        made.add(folder)
-                    data = (text or "").encode()
-                    with system.open_output_stream(f"{root}/{k}") as out:
-                        out.write(data)
-                    sizes.append(len(data))
-                    errors.append(None)
-                except OSError as e:
-                    sizes.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], names=["key", "size", "error"])
-
-    return df.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content")).mapInArrow(run, "key string, size long, error string")
-
-
 def remove_objects(spark: SparkSession, paths: list[str]) -> int:
-    """Deletes objects, and gives how many were there; errors don't count."""
-    n = 0
+    """Deletes objects, and gives how many were there; a failure other than a missing object is raised."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
     for p in paths:
-        try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(p)
-            n += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False))
-        except Exception:  # noqa: BLE001
-            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        n += bool(path.getFileSystem(conf).delete(path, False))  # false where nothing is there
     return n
 
 
@@ -264,7 +217,6 @@ def load_format(spark: SparkSession, path: str, name: str) -> tuple[str, str]:
     return tuple(found)
 
 
-def records(spark: SparkSession, spans: DataFrame, sql: str, view: str = "records") -> DataFrame:
-    """A query over telemetry spans as the view `records`."""
-    spans.createOrReplaceTempView(view)
-    return spark.sql(sql)
+def records(spark: SparkSession, spans: DataFrame, sql: str) -> DataFrame:
+    """A query over telemetry spans, named {records} in its text; no view of the session is touched."""
+    return spark.sql(sql, records=spans)
