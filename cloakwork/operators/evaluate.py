@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Positions that share a bin of this many code points, or touch neighbouring ones, are compared.
@@ -82,30 +81,36 @@ def report(truth: DataFrame, predicted: DataFrame, keys: list[str], type_col: st
     return with_ratios(sums).withColumn("types", F.transform("types", lambda x: F.struct(*(x[f].alias(f) for f in fields))))
 
 
+def clusters(spans: DataFrame, tolerance: int, id_col: str = "doc_id") -> DataFrame:
+    """spans with `cluster`: of one document and type, runs whose starts and ends lie within the tolerance from one to the next.
+
+    Two spans that match are in one cluster: their starts are no further apart than the tolerance, so no gap of starts lies between them.
+    """
+    w = W.partitionBy(id_col, "type").orderBy("start", "end", "side", "place")
+    new = F.coalesce(F.col("start") - F.lag("start").over(w) > tolerance, F.lit(True))
+    return spans.withColumn("cluster", F.sum(new.cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+
+
 def tolerant(truth: DataFrame, predicted: DataFrame, tolerance: int = 5, id_col: str = "doc_id", order: str = "place") -> DataFrame:
     """(id, tp, fp, fn): one-to-one matches of equal type with both ends within the tolerance; truth as listed takes the first free prediction as listed.
 
-    The order (column `order` of both sides) matters, so a document is one group; its rows are its entities only.
+    The order (column `order` of both sides) matters, but only within a cluster of spans; each is matched by a fold in generated code,
+    so a document of any length is many small groups, and only counts meet again.
     """
-    kind = truth.schema[id_col].dataType.simpleString()
     row = lambda df, side: df.select(id_col, F.lit(side).alias("side"), F.col(order).alias("place"), "type", "start", "end")
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["place", "start", "end", "type"], kind="stable")
-        t, p = pdf[pdf.side == "t"], pdf[pdf.side == "p"]
-        free: dict = {}  # of each type, by bins of start, the free predictions as listed
-        for k, y in enumerate(p.itertuples()):
-            free.setdefault((y.type, int(y.start) // (tolerance + 1)), []).append((k, int(y.start), int(y.end)))
-        tp = 0
-        for x in t.itertuples():
-            bins = range((int(x.start) - tolerance) // (tolerance + 1), (int(x.start) + tolerance) // (tolerance + 1) + 1)
-            fit = min((y for b in bins for y in free.get((x.type, b), ()) if abs(y[1] - x.start) <= tolerance and abs(y[2] - x.end) <= tolerance), default=None)
-            if fit is not None:
-                tp += 1
-                free[(x.type, fit[1] // (tolerance + 1))].remove(fit)
-        return pd.DataFrame({id_col: [pdf[id_col].iloc[0]], "tp": [tp], "fp": [len(p) - tp], "fn": [len(t) - tp]})
-
-    return row(truth, "t").unionByName(row(predicted, "p")).groupBy(id_col).applyInPandas(match, f"{id_col} {kind}, tp long, fp long, fn long")
+    spans = clusters(row(truth, "t").unionByName(row(predicted, "p")), tolerance, id_col)
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("place", "start", "end"))))
+    groups = spans.groupBy(id_col, "type", "cluster").agg(side("t").alias("t"), side("p").alias("p"))
+
+    def step(acc, x):
+        fit = lambda y: (F.abs(y["start"] - x["start"]) <= tolerance) & (F.abs(y["end"] - x["end"]) <= tolerance)
+        at = F.coalesce(F.get(F.filter(F.transform(acc["free"], lambda y, i: F.when(fit(y), i)), lambda i: i.isNotNull()), F.lit(0)), F.lit(-1))
+        left = F.when(at < 0, acc["free"]).otherwise(F.filter(acc["free"], lambda y, i: i != at))
+        return F.struct(left.alias("free"), (acc["tp"] + (at >= 0).cast("long")).alias("tp"))
+
+    tp = F.aggregate("t", F.struct(F.col("p").alias("free"), F.lit(0).cast("long").alias("tp")), step, lambda acc: acc["tp"])
+    counts = groups.select(id_col, tp.alias("tp"), F.size("t").alias("t"), F.size("p").alias("p"))
+    return counts.groupBy(id_col).agg(F.sum("tp").alias("tp"), (F.sum("p") - F.sum("tp")).alias("fp"), (F.sum("t") - F.sum("tp")).alias("fn"))
 
 
 def mistakes(truth: DataFrame, predicted: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -274,7 +274,16 @@ def eval_multiset(spark, d):
     return E.multiset(*_sides(spark, d), ["doc_id", "type", "value"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_T}, {_P}, ts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY o, k) AS n FROM t), ps AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type ORDER BY o, k) AS n FROM p),
+pl AS (SELECT doc_id, type, list({{'n': n, 's': start, 'e': "end"}} ORDER BY n) AS free FROM ps GROUP BY ALL),
+r AS (SELECT doc_id, type, 0::BIGINT AS n, []::BIGINT[] AS used FROM (SELECT DISTINCT doc_id, type FROM t)
+  UNION ALL
+  SELECT r.doc_id, r.type, ts.n, CASE WHEN f.hit IS NULL THEN used ELSE list_append(used, f.hit) END FROM r JOIN ts ON ts.doc_id = r.doc_id AND ts.type = r.type AND ts.n = r.n + 1
+  LEFT JOIN pl ON pl.doc_id = r.doc_id AND pl.type = r.type,
+  LATERAL (SELECT list_filter(coalesce(pl.free, []), lambda y: abs(y.s - ts.start) <= 5 AND abs(y.e - ts."end") <= 5 AND NOT list_contains(used, y.n))[1].n AS hit) f),
+m AS (SELECT doc_id, max(len(used)) AS tp, type FROM r GROUP BY doc_id, type), tc AS (SELECT doc_id, count(*) AS t FROM t GROUP BY doc_id), pc AS (SELECT doc_id, count(*) AS p FROM p GROUP BY doc_id),
+s AS (SELECT doc_id, sum(tp)::BIGINT AS tp FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(tp, 0) AS tp, coalesce(p, 0) - coalesce(tp, 0) AS fp, coalesce(t, 0) - coalesce(tp, 0) AS fn FROM tc FULL JOIN pc USING (doc_id) LEFT JOIN s USING (doc_id)""")
 def eval_tolerance(spark, d):
     return E.tolerant(*_sides(spark, d))
 
