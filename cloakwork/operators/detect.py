@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 import time
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import blank, starts
 from ..model import COMPACT, MAX_CHARS, SHORT_CODES
+from .calls import Caller, backoff, retryable  # noqa: F401
 
 #: The offline detector: one pattern for each short code it fills.
 PATTERNS = {
@@ -89,40 +89,30 @@ def prompt(prompt_text: str, text: Column) -> Column:
     return F.concat(F.lit(prompt_text + "<document>"), text, F.lit("</document>"))
 
 
-def backoff(attempt: int, base: float = 1.0, jitter: float = 0.5, most: float = 16.0) -> float:
-    """Seconds before the next attempt: doubling, with jitter, bounded."""
-    return min(base * 2 ** (attempt - 1) + random.uniform(0, jitter), most)
+def sound(found: dict) -> dict[str, list[str]]:
+    """A model's answer as lists of strings by short code; an error where it has another shape or an unknown code."""
+    if not isinstance(found, dict):
+        raise TypeError("no object")
+    for code, values in found.items():
+        if code not in SHORT_CODES:
+            raise ValueError(f"unknown code {code!r}")
+        if not isinstance(values, list) or not all(isinstance(v, str) for v in values):
+            raise TypeError(f"{code} isn't a list of strings")
+    return {c: list(found.get(c, [])) for c in SHORT_CODES}
 
 
-#: What makes a model's error worth another attempt.
-RETRY_STATUS = (429, 500, 502, 503, 504)
-RETRY_WORDS = ("throttl", "toomanyrequests", "serviceunavailable", "too many tokens", "rate exceeded", "temporarily unavailable")
-
-
-def retryable(status: int | None, message: str) -> bool:
-    return status in RETRY_STATUS or any(w in (message or "").lower() for w in RETRY_WORDS)
-
-
-def model_detector(df: DataFrame, call: Callable[[str], dict], text_col: str = "text", attempts: int = 4, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def model_detector(df: DataFrame, call: Callable[[str], dict], text_col: str = "text", attempts: int = 4, sleep: Callable[[float], None] = time.sleep, window: int = 8, budget: int = 100) -> DataFrame:
     """df with `compacted`, `retries` and `error` from a model: call(text) gives a list of strings for each short code.
 
-    Texts come in Arrow batches; an error marks its row and doesn't fail the job. Retries only errors that are worth it.
+    A task has `window` calls in flight and shares `budget` retries among them; rows keep their order. An error, or an answer that isn't
+    sound, marks its row and doesn't fail the job. Retries only errors that are worth it.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("compacted", COMPACT), T.StructField("retries", T.IntegerType()), T.StructField("error", T.StringType())])
 
-    def one(text: str):
-        for k in range(1, attempts + 1):
-            try:
-                found = call(text)
-                return {c: list(found.get(c, [])) for c in SHORT_CODES}, k - 1, None
-            except Exception as e:  # noqa: BLE001
-                if k == attempts or not retryable(getattr(e, "status", None), str(e)):
-                    return None, k - 1, str(e)
-                sleep(backoff(k))
-
     def run(batches: Iterator[pd.DataFrame]):
+        caller = Caller(call, sound, window, attempts, budget, sleep=sleep)
         for b in batches:
-            out = [one(t) for t in b[text_col]]
-            yield b.assign(compacted=[o[0] for o in out], retries=[o[1] for o in out], error=[o[2] for o in out])
+            out = list(caller.all((t,) for t in b[text_col]))
+            yield b.assign(compacted=[o.value for o in out], retries=[o.retries for o in out], error=[o.error for o in out])
 
     return df.mapInPandas(run, schema)

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-#: Types of notes, and the role a writer takes for each.
+from .calls import Caller
+
+#: Types of notes, and the role a writer takes for each.
 ROLES = {
-    "emergency_dept": "You are an emergency department physician documenting patient encounters.", "discharge_summary": "You are a hospitalist physician writing discharge summaries.",
-    "progress_note": "You are an internal medicine physician documenting daily progress notes.", "radiology_report": "You are a radiologist dictating imaging reports.",
-    "telehealth_consult": "You are a primary care physician conducting telehealth visits.",
-}
-OTHER_ROLE = "You are a clinical documentation specialist."
+    "emergency_dept": "Write as the doctor on duty in an emergency room, right after the patient was seen.",
+    "discharge_summary": "Write as the ward doctor who sends a patient home and informs the next practice.",
+    "progress_note": "Write as a doctor of internal medicine on the morning round.",
+    "radiology_report": "Write as the radiologist who reads the images and answers the referring colleague.",
+    "telehealth_consult": "Write as a family doctor who has just ended a video visit.",
+}
+OTHER_ROLE = "Write as an experienced clinical writer."
 #: What is asked for; the reference data follow.
 PROMPTS = {
     "emergency_dept": "Write an emergency department note: complaint, history, examination, course and disposition.",
@@ -145,31 +150,24 @@ def whole_text(patient: Column, clinical: Column, providers: Column, encounters:
     return F.concat_ws("\n\n", own, F.nullif(clinical, F.lit("")), after(providers, "## Provider Information"), after(encounters, "## Encounter Information"))
 
 
-def written(tasks: DataFrame, write: Callable[[str, str], str], prompt_col: str = "prompt", role_col: str = "role", per_minute: int = 150, partitions: int = 8, sleep: Callable[[float], None] | None = None) -> DataFrame:
-    """tasks with `note` and `error` from a writer: write(role, prompt). An error marks its row; each task keeps to its share of per_minute.
+def _note(text: str) -> str:
+    if not isinstance(text, str) or not text.strip():
+        raise ValueError("no text")
+    return text
 
-    The share is per_minute over the partitions, so all tasks together keep the limit, however many run at once.
-    """
-    import time
 
-    share, now, wait = per_minute / partitions, time.monotonic, sleep or time.sleep
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in tasks.schema.fields)}, note string, error string"
+def written(tasks: DataFrame, write: Callable[[str, str], str], prompt_col: str = "prompt", role_col: str = "role", per_minute: int = 150, partitions: int = 8, sleep: Callable[[float], None] = time.sleep, window: int = 8, budget: int = 100) -> DataFrame:
+    """tasks with `note`, `retries` and `error` from a writer: write(role, prompt). An error or an empty note marks its row.
+
+    A task has `window` calls in flight and shares `budget` retries. Its share of per_minute is per_minute over the partitions, so all tasks
+    together keep the limit, however many run at once.
+    """
+    schema = T.StructType([*tasks.schema.fields, T.StructField("note", T.StringType()), T.StructField("retries", T.IntegerType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]):
-        began, n = now(), 0
+        caller = Caller(write, _note, window, budget=budget, per_minute=per_minute / partitions, sleep=sleep)
         for b in batches:
-            notes, errors = [], []
-            for who, what in zip(b[role_col], b[prompt_col], strict=True):
-                due = began + n * 60 / share
-                if due > now():
-                    wait(due - now())
-                n += 1
-                try:
-                    notes.append(write(who, what))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001
-                    notes.append(None)
-                    errors.append(str(e))
-            yield b.assign(note=notes, error=errors)
+            out = list(caller.all(zip(b[role_col], b[prompt_col], strict=True)))
+            yield b.assign(note=[o.value for o in out], retries=[o.retries for o in out], error=[o.error for o in out])
 
     return tasks.repartition(partitions).mapInPandas(run, schema)

@@ -240,7 +240,7 @@ def synthetic_notes(spark, d):
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'NT' ELSE upper(left(k, 2)) END || '_' || lpad(doc_id::VARCHAR, 6, '0') AS numbered, CASE WHEN doc_id % 7 = 0 THEN 'NT' ELSE upper(left(k, 2)) END || '_20240105093007' AS timed,
-CASE WHEN doc_id % 7 = 0 OR k = 'other_note' THEN 'You are a clinical documentation specialist.' WHEN k = 'radiology_report' THEN 'You are a radiologist dictating imaging reports.' ELSE 'You are an internal medicine physician documenting daily progress notes.' END AS role,
+CASE WHEN doc_id % 7 = 0 OR k = 'other_note' THEN 'Write as an experienced clinical writer.' WHEN k = 'radiology_report' THEN 'Write as the radiologist who reads the images and answers the referring colleague.' ELSE 'Write as a doctor of internal medicine on the morning round.' END AS role,
 array_to_string(CASE WHEN doc_id % 2 = 0 THEN ['emergency_dept', 'discharge_summary', 'progress_note', 'radiology_report', 'telehealth_consult'] WHEN k = 'other_note' THEN ['progress_note'] ELSE [k, 'progress_note'] END, '+') AS kinds
 FROM (SELECT *, ['radiology_report', 'progress_note', 'other_note'][(doc_id % 3 + 1)::INT] AS k FROM documents)""")
 def note_identity(spark, d):
