@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 #: Positions that share a bin of this many code points, or touch neighbouring ones, are compared.
 BIN = 256
@@ -156,26 +160,91 @@ def mistake_files(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return out.withColumns({"false_positive_count": F.size("false_positives"), "false_negative_count": F.size("false_negatives")})
 
 
+class Sweep:
+    """Runs of one document's characters by class, from its spans in the order of their starts.
+
+    Open spans wait in a heap by place for each side, so the first listed one is on top; those that have ended are dropped when they
+    come up. Memory is what is open at once, whatever the length of the document.
+    """
+
+    def __init__(self):
+        self.open: tuple[list, list] = ([], [])  # (place, type, end) of true and of predicted spans
+        self.ends: list[int] = []
+        self.at, self.run = 0, None
+
+    def _piece(self, end: int, out: list) -> None:
+        """The characters from where the sweep stands up to end, all covered by the same spans."""
+        tops = []
+        for side in self.open:
+            while side and side[0][2] <= self.at:
+                heappop(side)
+            tops.append(side[0][1] if side else None)
+        expected, predicted = tops
+        kind = None if expected is predicted is None else "fp" if expected is None else "fn" if predicted is None else "tp"
+        if self.run and (kind != self.run[2] or self.run[1] != self.at):
+            out.append(self.run)
+            self.run = None
+        if kind:
+            self.run = (*self.run[:1], end, *self.run[2:]) if self.run else (self.at, end, kind, predicted, expected)
+        self.at = end
+
+    def _to(self, pos: float, out: list) -> None:
+        while self.ends and self.ends[0] <= pos:
+            end = heappop(self.ends)
+            if end > self.at:
+                self._piece(end, out)
+        if self.ends and pos > self.at:
+            self._piece(pos, out)
+
+    def span(self, start: int, end: int, place: int, kind: str, true: bool, out: list) -> None:
+        self._to(start, out)
+        self.at = max(self.at, start)
+        heappush(self.open[not true], (place, kind, end))
+        heappush(self.ends, end)
+
+    def close(self, out: list) -> None:
+        self._to(float("inf"), out)
+        if self.run:
+            out.append(self.run)
+
+
 def annotations(truth: DataFrame, predicted: DataFrame, id_col: str = "doc_id", order: str = "place") -> DataFrame:
     """(id, start, end, class, predicted_type, expected_type): runs of characters that are tp, fp or fn.
 
     At each character the first listed entity of a side counts (column `order`); a run takes its types from its first
-    character. Only places where a span begins or ends are looked at, so rows grow with spans, not with characters.
+    character. One shuffle by document and a sort by start; then spans pass one after the other through a sweep, and only spans, no texts, reach it.
     """
-    spans = truth.select(id_col, "type", "start", "end", F.col(order).alias("place"), F.lit(True).alias("true"))
-    spans = spans.unionByName(predicted.select(id_col, "type", "start", "end", F.col(order).alias("place"), F.lit(False).alias("true"))).filter("start < `end`")
-    edges = spans.select(id_col, F.explode(F.array("start", "end")).alias("pos")).distinct()
-    at = edges.withColumn("bin", F.floor(F.col("pos") / BIN)).select(F.col(id_col).alias("__id"), F.col("bin").alias("__bin"), "pos")
-    cond = (F.col(id_col) == F.col("__id")) & (F.col("bin") == F.col("__bin")) & (F.col("start") <= F.col("pos")) & (F.col("pos") < F.col("end"))
-    side = lambda c: F.min(F.when(F.col("true") if c else ~F.col("true"), F.struct("place", "type")))["type"]
-    covered = _binned(spans).join(at, cond).groupBy(id_col, "pos").agg(side(True).alias("expected_type"), side(False).alias("predicted_type"))
-    w = W.partitionBy(id_col).orderBy("pos")
-    pieces = edges.join(covered, [id_col, "pos"], "left").withColumn("to", F.lead("pos").over(w))
-    kind = F.when(F.col("expected_type").isNull() & F.col("predicted_type").isNull(), F.lit(None)).when(F.col("expected_type").isNull(), "fp").when(F.col("predicted_type").isNull(), "fn").otherwise("tp")
-    pieces = pieces.withColumn("class", kind).withColumn("new", (~F.lag("class").over(w).eqNullSafe(F.col("class"))).cast("int"))
-    pieces = pieces.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(w.rowsBetween(W.unboundedPreceding, 0))).filter("class IS NOT NULL")
-    first = lambda c: F.min_by(c, "pos").alias(c)
-    return pieces.groupBy(id_col, "run", "class").agg(F.min("pos").alias("start"), F.max("to").alias("end"), first("predicted_type"), first("expected_type")).drop("run")
+    side = lambda df, true: df.select(id_col, "type", "start", "end", F.col(order).cast("long").alias("place"), F.lit(true).alias("true"))
+    spans = side(truth, True).unionByName(side(predicted, False)).filter("start < `end`")
+    kind = spans.schema[id_col]
+    out = T.StructType([kind, T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ("class", "predicted_type", "expected_type"))])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        key, sweep = None, None
+
+        def batch(ids: list, rows: list) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            columns = zip(*rows, strict=True) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(ids, key_type), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=out.names)
+
+        key_type = None
+        for b in batches:
+            key_type, ids, rows = b.schema.field(0).type, [], []
+            for own, start, end, place, type_, true in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if sweep is None or own != key:
+                    if sweep:
+                        sweep.close(rows)
+                        ids += [key] * (len(rows) - len(ids))
+                    key, sweep = own, Sweep()
+                sweep.span(start, end, place, type_, true, rows)
+                ids += [key] * (len(rows) - len(ids))
+            yield batch(ids, rows)
+        if sweep:
+            rows = []
+            sweep.close(rows)
+            yield batch([key] * len(rows), rows)
+
+    return spans.repartition(id_col).sortWithinPartitions(id_col, "start").select(id_col, "start", "end", "place", "type", "true").mapInArrow(run, out)
 
 
 def adjusted(per_document: DataFrame) -> DataFrame:
