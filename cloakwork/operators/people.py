@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .ordered import numbered
 
 FIRST = ("Ada", "Ben", "Chloé", "Dara", "Eli", "Fay", "Gus", "Hana", "Ivo", "June", "Kai", "Lea")
 LAST = ("Abbot", "Brandt", "Castro", "Dufour", "Ekman", "Farrow", "Garnier", "Holt", "Iverson", "Jensen", "Keller", "Lindqvist")
@@ -215,3 +217,20 @@ def injected(draw: Draw, first: Column, last: Column, provider: Column, location
 def placeholder_map() -> Column:
     """map<field, `{{PLACEHOLDER}}`>."""
     return F.create_map(*(F.lit(x) for k, v in PLACEHOLDERS.items() for x in (k, "{{" + v + "}}")))
+
+
+def vocabulary(words: DataFrame, column: str) -> DataFrame:
+    """(place, word, size): the different values of a column, numbered from 0 in their order over all tasks; size is their number.
+
+    Null isn't a word. A vocabulary of any size: nothing of it passes through one task or the driver but its length.
+    """
+    own = words.select(F.col(column).cast("string").alias("word")).filter("word IS NOT NULL").distinct()
+    placed = numbered(own.withColumn("all", F.lit(1)), ["all"], ["word"], "n").select((F.col("n") - 1).alias("place"), "word")
+    return placed.join(F.broadcast(own.agg(F.count("*").alias("size"))))
+
+
+def drawn(df: DataFrame, known: DataFrame, number: Column, name: str) -> DataFrame:
+    """df with a word of a vocabulary for each row, by a number of the row; null where the vocabulary is empty."""
+    size = F.broadcast(known.agg(F.max("size").alias("__size")))
+    rows = df.join(size).withColumn("__place", F.when(F.col("__size") > 0, number % F.col("__size")))
+    return rows.join(known.select(F.col("place").alias("__place"), F.col("word").alias(name)), "__place", "left").drop("__place", "__size")

@@ -158,10 +158,11 @@ def redact_template(spark, d):
     return out.select("doc_id", F.md5("redacted").alias("redacted_md5"))
 
 
-@query("SELECT value, CASE WHEN value = '' THEN false ELSE regexp_matches(value, '^,*\\s*,*$') END AS trivial FROM (SELECT unnest(['', ' ', ',', ', ,', ',a', 'a', ',,', '  ,']) AS value)")
+@query(r"SELECT doc_id, count(*) AS n, count(*) FILTER (v <> '' AND regexp_matches(v, '^,*\s*,*$')) AS trivial FROM (SELECT doc_id, unnest(string_split_regex(text, '[A-Za-z0-9]+')) AS v FROM documents) GROUP BY doc_id")
 def trivial_predictions(spark, d):
-    rows = spark.range(1).select(F.explode(F.array(*(F.lit(v) for v in ("", " ", ",", ", ,", ",a", "a", ",,", "  ,")))).alias("value"))
-    return rows.select("value", X.trivial(F.col("value")).alias("trivial"))
+    """What stands between the words of each document, taken as predicted values: how many are trivial."""
+    values = _docs(spark, d).select("doc_id", F.explode(F.split("text", "[A-Za-z0-9]+", -1)).alias("v"))
+    return values.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(X.trivial(F.col("v"))).alias("trivial"))
 
 
 @query("SELECT DISTINCT o_orderpriority AS label, lower(replace(o_orderpriority, '-', '_')) AS key, 'batch/input/' || o_orderpriority || '.v1.txt' AS path, o_orderpriority || '.v1' AS stem FROM orders")
@@ -375,9 +376,14 @@ def cost_per_doc(spark, d):
 TEMPLATE = "Patient {{NAME}} of {{CITY}} (account {{ACCOUNT_NUMBER}}) was seen. {{NAME}} can be reached at {{PHONE}}; {{UNKNOWN}} stays."
 
 
-@query(f"SELECT unnest(list_sort(list_distinct(regexp_extract_all('{TEMPLATE}', '\\{{\\{{([A-Z_]+)\\}}\\}}', 1)))) AS placeholder")
+_OWN_TEMPLATE = "'{{' || c_mktsegment || '}} of {{NAME}}, {{' || CASE WHEN c_custkey % 2 = 0 THEN 'CITY' ELSE 'DOB' END || '}} and {{' || c_mktsegment || '}}'"
+
+
+@query(f"SELECT c_custkey, unnest(list_sort(list_distinct(regexp_extract_all({_OWN_TEMPLATE}, '\\{{\\{{([A-Z_]+)\\}}\\}}', 1)))) AS placeholder FROM customer")
 def placeholder_distinct(spark, d):
-    return spark.range(1).select(F.explode(Y.placeholders(F.lit(TEMPLATE))).alias("placeholder"))
+    """The placeholders of a template for each customer, each once."""
+    text = F.expr(_OWN_TEMPLATE)
+    return table(spark, d, "customer").select("c_custkey", F.explode(Y.placeholders(text)).alias("placeholder"))
 
 
 #: Up to this many nations are broadcast; beyond, both tables are shuffled.

@@ -221,9 +221,27 @@ def injected_record(spark, d):
     return rows.select("c_custkey", *(f"i.{f}" for f in fields), F.lit(len(rows.schema["i"].dataType.fields)).alias("n_fields"))
 
 
-@query("SELECT * FROM (VALUES ('full_name', '{{NAME}}'), ('first_name', '{{FIRST_NAME}}'), ('last_name', '{{LAST_NAME}}'), ('birth_date', '{{DOB}}'), ('age', '{{AGE}}'), ('gender', '{{GENDER}}'), ('ssn', '{{SSN}}'), ('mrn', '{{MRN}}'), ('drivers_license', '{{DRIVERS_LICENSE}}'), ('passport', '{{PASSPORT}}'), ('phone', '{{PHONE}}'), ('address_line', '{{ADDRESS}}'), ('city', '{{CITY}}'), ('state', '{{STATE}}'), ('zip_code', '{{ZIP}}'), ('full_address', '{{FULL_ADDRESS}}'), ('email', '{{EMAIL}}'), ('fax', '{{FAX}}'), ('health_plan_id', '{{HEALTH_PLAN_ID}}'), ('account_number', '{{ACCOUNT_NUMBER}}'), ('vehicle_id', '{{VEHICLE_ID}}'), ('license_plate', '{{LICENSE_PLATE}}'), ('ip_address', '{{IP_ADDRESS}}'), ('patient_portal_url', '{{URL}}'), ('emergency_contact_name', '{{EMERGENCY_CONTACT_NAME}}'), ('emergency_contact_phone', '{{EMERGENCY_CONTACT_PHONE}}'), ('device_id', '{{DEVICE_ID}}'), ('provider_name', '{{PROVIDER_NAME}}'), ('provider_phone', '{{PROVIDER_PHONE}}'), ('provider_fax', '{{PROVIDER_FAX}}'), ('facility_name', '{{FACILITY_NAME}}'), ('facility_phone', '{{FACILITY_PHONE}}'), ('facility_fax', '{{FACILITY_FAX}}'), ('encounter_date', '{{ENCOUNTER_DATE}}'), ('encounter_datetime', '{{ENCOUNTER_DATETIME}}')) v(field, placeholder)")
+_PLACES = "SELECT * FROM (VALUES ('full_name', '{{NAME}}'), ('first_name', '{{FIRST_NAME}}'), ('last_name', '{{LAST_NAME}}'), ('birth_date', '{{DOB}}'), ('age', '{{AGE}}'), ('gender', '{{GENDER}}'), ('ssn', '{{SSN}}'), ('mrn', '{{MRN}}'), ('drivers_license', '{{DRIVERS_LICENSE}}'), ('passport', '{{PASSPORT}}'), ('phone', '{{PHONE}}'), ('address_line', '{{ADDRESS}}'), ('city', '{{CITY}}'), ('state', '{{STATE}}'), ('zip_code', '{{ZIP}}'), ('full_address', '{{FULL_ADDRESS}}'), ('email', '{{EMAIL}}'), ('fax', '{{FAX}}'), ('health_plan_id', '{{HEALTH_PLAN_ID}}'), ('account_number', '{{ACCOUNT_NUMBER}}'), ('vehicle_id', '{{VEHICLE_ID}}'), ('license_plate', '{{LICENSE_PLATE}}'), ('ip_address', '{{IP_ADDRESS}}'), ('patient_portal_url', '{{URL}}'), ('emergency_contact_name', '{{EMERGENCY_CONTACT_NAME}}'), ('emergency_contact_phone', '{{EMERGENCY_CONTACT_PHONE}}'), ('device_id', '{{DEVICE_ID}}'), ('provider_name', '{{PROVIDER_NAME}}'), ('provider_phone', '{{PROVIDER_PHONE}}'), ('provider_fax', '{{PROVIDER_FAX}}'), ('facility_name', '{{FACILITY_NAME}}'), ('facility_phone', '{{FACILITY_PHONE}}'), ('facility_fax', '{{FACILITY_FAX}}'), ('encounter_date', '{{ENCOUNTER_DATE}}'), ('encounter_datetime', '{{ENCOUNTER_DATETIME}}')) v(field, placeholder)"
+
+
+@query(f"WITH m AS (SELECT field, placeholder, row_number() OVER (ORDER BY field) - 1 AS i, count(*) OVER () AS n FROM ({_PLACES}) v(field, placeholder)) SELECT c_custkey, field, placeholder FROM customer JOIN m ON c_custkey % n = i")
 def placeholder_map(spark, d):
-    return spark.range(1).select(F.explode(P.placeholder_map()).alias("field", "placeholder"))
+    """A field for each customer in turn, with the placeholder that stands for it."""
+    entries = F.array_sort(F.map_entries(P.placeholder_map()))
+    own = F.element_at(entries, (F.col("c_custkey") % F.size(entries) + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", own.alias("e")).select("c_custkey", F.col("e.key").alias("field"), F.col("e.value").alias("placeholder"))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]{{3,11}}')) AS word FROM documents)),
+v AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS i, count(*) OVER () AS n FROM w)
+SELECT c_custkey, a.word AS first_name, b.word AS last_name FROM customer JOIN v a ON a.i = {_n('first')} % a.n JOIN v b ON b.i = {_n('last')} % b.n""")
+def vocabulary_names(spark, d):
+    """Names drawn from a vocabulary table: the capitalised words of all documents."""
+    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Z][a-z]{3,11})"), 1)).alias("word"))
+    known = P.vocabulary(words, "word")
+    draw = P.Draw(F.col("c_custkey"))
+    rows = P.drawn(table(spark, d, "customer").select("c_custkey"), known, draw.number("first"), "first_name")
+    return P.drawn(rows, known, draw.number("last"), "last_name")
 
 
 _LETTER = "Dear {{NAME}}, your visit on {{DOB}} in {{CITY}} is noted. Call {{PHONE}} or write to {{EMAIL}}."
