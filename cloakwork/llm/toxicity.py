@@ -21,8 +21,8 @@ SHORTEST, LONGEST, ONE_EDIT, TWO_EDITS = 3, 24, 5, 10
 WINDOW = 6
 #: Score from which a document is predicted toxic.
 THRESHOLD = 0.7
-#: Code points that are looked at together, at most and cut at a blank; states of an automaton that a task keeps.
-SLICE, STATES = 1 << 21, 100_000
+#: Code points of a slice of a long text, cut at a blank; of short texts that are looked at together; states of an automaton that a task keeps.
+SLICE, GROUP, STATES = 1 << 21, 1 << 18, 100_000
 
 # Cues that a term is spoken of, and words that address someone.
 QUOTES = "\"“”„«»"
@@ -195,34 +195,62 @@ class Model:
     def __init__(self, terms: list[str], weights: np.ndarray, beta: np.ndarray):
         self.terms, self.weights, self.beta = terms, weights, beta
 
-    def matches(self, text: str | None):
-        """(start, end, term, edits, quoted, addressed) of every match in code points, and the number of words, for a whole text."""
+    def _group(self, texts: list[str]):
+        """(matches, number of words) of each text; all are looked at as one, and no window leaves its text."""
         automaton, (reporting, address) = _automaton(tuple(self.terms)), _cues()
-        found, words = [], 0
-        for begin, part in _slices(text or ""):
-            codes, starts, lengths, quotes = _tokens(part)
-            term, edits = automaton.match(codes, starts, lengths)
-            for i in np.flatnonzero(term >= 0):
-                a, b = max(0, i - WINDOW), i + WINDOW + 1
-                near = {part[s : s + n].lower() for s, n in zip(starts[a:b], lengths[a:b], strict=True) if n <= 8}
-                left, right = starts[a], starts[min(b, len(starts)) - 1] + lengths[min(b, len(starts)) - 1]
-                marks = [np.searchsorted(quotes, x) for x in (left, starts[i], right)]
-                quoted = marks[0] < marks[1] < marks[2] or bool(near & reporting)
-                found.append((begin + int(starts[i]), begin + int(starts[i] + lengths[i]), int(term[i]), int(edits[i]), quoted, bool(near & address)))
-            words += len(starts)
-        return found, words
-
-    def features(self, text: str | None) -> tuple[np.ndarray, list]:
-        found, words = self.matches(text)
-        direct = quoted = strongest = addressed = 0.0
-        for _, _, t, e, q, a in found:
-            w = float(self.weights[e, t])
-            if q:
-                quoted += w
-            else:
-                direct, strongest, addressed = direct + w, max(strongest, w), addressed + a
-        different = len({t for _, _, t, e, q, _ in found if not q and self.weights[e, t] > 0})
-        return np.array([np.log1p(direct), strongest / 4, np.log1p(100 * direct / max(words, 20)), np.log1p(different), np.log1p(addressed), np.log1p(quoted)]), found
+        joined = "\n".join(texts)
+        codes, starts, lengths, quotes = _tokens(joined)
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        first = np.searchsorted(starts, begins)
+        term, edits = automaton.match(codes, starts, lengths)
+        found: list[list] = [[] for _ in texts]
+        for i in np.flatnonzero(term >= 0):
+            d = int(np.searchsorted(begins, starts[i], "right")) - 1
+            a, b = max(first[d], i - WINDOW), min(first[d + 1], i + WINDOW + 1)
+            near = {joined[s : s + n].lower() for s, n in zip(starts[a:b].tolist(), lengths[a:b].tolist(), strict=True) if n <= 8}
+            marks = np.searchsorted(quotes, (starts[a], starts[i], starts[b - 1] + lengths[b - 1]))
+            quoted = bool(marks[0] < marks[1] < marks[2]) or bool(near & reporting)
+            at = int(starts[i] - begins[d])
+            found[d].append((at, at + int(lengths[i]), int(term[i]), int(edits[i]), quoted, bool(near & address)))
+        return list(zip(found, np.diff(first).tolist(), strict=True))
+
+    def matches(self, texts: list[str | None]):
+        """For each text ([(start, end, term, edits, quoted, addressed)], number of words): every match in code points, in the whole text.
+
+        Short texts are looked at together, long ones in slices.
+        """
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            if held and size + len(text) > GROUP:
+                yield from self._group(held)
+                held, size = [], 0
+            if len(text) <= GROUP:
+                held.append(text)
+                size += len(text) + 1
+                continue
+            found, words = [], 0
+            for begin, part in _slices(text):
+                ((own, n),) = self._group([part])
+                found += [(begin + s, begin + e, *rest) for s, e, *rest in own]
+                words += n
+            yield found, words
+        if held:
+            yield from self._group(held)
+
+    def features(self, texts: list[str | None]):
+        """For each text (its features, its matches)."""
+        for found, words in self.matches(texts):
+            direct = quoted = strongest = addressed = 0.0
+            for _, _, t, e, q, a in found:
+                w = float(self.weights[e, t])
+                if q:
+                    quoted += w
+                else:
+                    direct, strongest, addressed = direct + w, max(strongest, w), addressed + a
+            different = len({t for _, _, t, e, q, _ in found if not q and self.weights[e, t] > 0})
+            yield np.array([np.log1p(direct), strongest / 4, np.log1p(100 * direct / max(words, 20)), np.log1p(different), np.log1p(addressed), np.log1p(quoted)]), found
 
     def score(self, x: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(x @ self.beta[:-1] + self.beta[-1], -40, 40))))
@@ -319,8 +347,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             """Rows that hold a misspelt term but not the term itself."""
             for b in batches:
                 counts: dict[tuple, int] = {}
-                for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    hits = plain.matches(text)[0]
+                for (hits, _), y in zip(plain.matches(b.column(0).to_pylist()), b.column(1).to_pylist(), strict=True):
                     own = {t for _, _, t, e, _, _ in hits if e == 0}
                     for k in {(t, e) for _, _, t, e, _, _ in hits if e and t not in own}:
                         counts[*k, y] = counts.get((*k, y), 0) + 1
@@ -340,7 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
         def vectors(batches):
             for b in batches:
-                x = [model.features(t)[0].tolist() for t in b.column(0).to_pylist()]
+                x = [x.tolist() for x, _ in model.features(b.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1).cast(pa.int32())], names=["x", "y"])
 
         got = rows.mapInArrow(vectors, "x array<double>, y int").collect()
@@ -367,8 +394,7 @@ def annotate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches):
         for b in batches:
             scores, said = [], []
-            for text in b.column(text_at).to_pylist():
-                x, found = model.features(text)
+            for x, found in model.features(b.column(text_at).to_pylist()):
                 scores.append(model.score(x))
                 said.append(json.dumps([[s, e, model.terms[t], d, q] for s, e, t, d, q, _ in found], ensure_ascii=False))
             own = [b.column(i) for i in range(len(names) + 1)]

@@ -69,7 +69,7 @@ def model(spark):
 
 def test_learned_terms_and_misspellings(model):
     assert set(model.terms) == {"blockhead", "nitwit", "dimbulb"}
-    score = lambda t: model.score(model.features(t)[0])
+    score = lambda t: model.score(next(model.features([t]))[0])
     plain = "kalo mine tuso you are a {} rika lomi neka"
     assert score(plain.format("sori")) < 0.1
     for term in ("blockhead", "BLOCKHEAD!!", "blokchead", "bl0ckhead", "bl*ckhead", "nitwiit", "dimbul"):
@@ -77,16 +77,22 @@ def test_learned_terms_and_misspellings(model):
     assert score(plain.format("blockhead")) >= toxicity.THRESHOLD
     assert score(plain.format('"blockhead"')) < score(plain.format("blockhead")) - 0.3
     assert score("kalo the word nitwit mine") < score("kalo mine nitwit tuso")
-    assert [m[:2] for m in model.features("\U0001f600 a nitwit")[1]] == [(4, 10)]
+    assert [m[:2] for m in next(model.features(["\U0001f600 a nitwit"]))[1]] == [(4, 10)]
 
 
 def test_whole_texts(model):
     """A term behind more than two slices is found where it stands."""
     text = "kalo mine " * (toxicity.SLICE // 4) + "nitwit " * 5
-    found = model.matches(text)[0]
+    found = next(model.matches([text]))[0]
     assert [m[0] for m in found] == [i for i in range(len(text) - 35, len(text), 7)]
 
 
+def test_texts_looked_at_together_stay_apart(model):
+    """A text's matches and context are the same alone and among others."""
+    texts = ["nitwit", 'he said', None, '"', "nitwit", '"', "", "the word", "dimbulb mine", "kalo " * 70_000 + "nitwit", "blockhead you"] * 3
+    assert list(model.matches(texts)) == [next(model.matches([t])) for t in texts]
+
+
 def test_held_out_quality(spark):
     docs, labels = table(spark)
     got = toxicity.annotate(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").filter("held_out").collect()
