@@ -70,6 +70,7 @@ def dedup(df: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id",
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's rows: every document with the row that stays of its normalised text; null counts as empty, of equal ids any row stays."""
     index = DigestIndex(spark, scratch(spark, "digests"))
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), index, "first")
 

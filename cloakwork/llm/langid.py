@@ -176,5 +176,6 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's rows: every document's language by a model of rows that aren't held out; `und` without a letter."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, fit(docs))

@@ -186,4 +186,5 @@ def _share(words: set[str]) -> Column:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence notices of every whole text; null and empty texts have none, repeated rows each give theirs."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

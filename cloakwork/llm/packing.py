@@ -172,4 +172,5 @@ def blocks(batches, n: int):
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's rows: every document's pieces of at most 1024 tokens, packed; null text is empty, repeated rows each give theirs."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

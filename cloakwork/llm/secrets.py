@@ -94,4 +94,5 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: i
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's rows: every document's base counts and spans, with those that linking adds; null text is empty."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -104,6 +104,7 @@ def _rows(hits: DataFrame, id_col: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's rows: every page's host, path, rule and verdict; a null url has an empty host and path."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 

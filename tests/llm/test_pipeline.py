@@ -5,6 +5,7 @@ import re
 
 import corpus_pipeline
 from cloakwork.llm import langid
+from cloakwork.llm.common import attach
 
 from .test_operators import clusters, sets_of
 
@@ -43,6 +44,60 @@ def test_stages(spark, data, tmp_path):
         before = after
 
 
+WORDS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+DIRTY = [
+    (1, f"A first line of {WORDS}.\nAnother line, {WORDS} again."), (1, f"A first line of {WORDS}.\nAnother line, {WORDS} again."), (1, "Quite another text has the same id here, and some words."),
+    (None, "A text without an id is a document like others."), (None, f"A first line of {WORDS}.\nAnother line, {WORDS} again."), (2, None), (3, ""), (4, " \n\t"),
+    (5, f"This text holds the benchmark passage: alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu, {WORDS}."), (6, "word " * 30_000 + "\n" + "x" * 100_000), (7, "1234 5678"),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, node long, root string, sequence_id string, `key` string, n int, __id int"
+
+
+def dirty(spark, tmp_path, rows):
+    path = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "h", 1, "r", "q", "k", 2, 3) for i, t in rows], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (None, "x"), (2, None)] if rows else [], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return path
+
+
+def test_stages_on_dirty_tables(spark, tmp_path):
+    """Null and clashing ids, repeated rows, null, empty and very long texts, extra columns with names that stages use: at every stage."""
+    path = dirty(spark, tmp_path, DIRTY)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    names = list(stages)
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    for name in names[:-1]:
+        out = stages[name](spark, docs, path)
+        assert out.schema == docs.schema and {(r.lang, r.h, r.sequence_id) for r in out.select("lang", "h", "sequence_id").collect()} <= {("en", "h", "q")}, name
+    every = sorted(DIRTY, key=str)
+    lettered = [r for r in every if any(c.isalpha() for c in r[1] or "")]
+    assert rows(stages[names[0]](spark, docs, path)) == lettered
+    near = rows(stages[names[2]](spark, docs, path))
+    twin = DIRTY[0][1]
+    assert sum(t == twin for _, t in near) in (1, 2) and [r for r in near if r[1] != twin] == [r for r in every if r[1] != twin]
+    clean = rows(stages[names[3]](spark, docs, path))
+    assert clean == [r for r in every if r[0] != 5]
+    packed = stages[names[4]](spark, docs, path).collect()
+    assert sum(r.piece == 0 for r in packed) == len(DIRTY)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    path = dirty(spark, tmp_path, [])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, path).collect() == [], name
+
+
+def test_attach_splits_hot_keys(spark):
+    """A key with half of all rows, cold ones and null ones: the rows of a plain left join."""
+    rows = spark.range(20_000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 7 WHEN id % 11 = 0 THEN NULL ELSE id END k")
+    groups = rows.filter("k IS NOT NULL").groupBy("k").count().selectExpr("k", "count c", "k * 2 v")
+    same = lambda df: sorted((r.id, r.k, r.v) for r in df.collect() if r.k is not None)
+    assert same(attach(rows, groups, "k", "c")) == same(rows.join(groups, "k", "left"))
+    assert attach(rows, groups, "k", "c").count() == 20_000
+
+
 def test_run(spark, data):
     got = corpus_pipeline.run(spark, data)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns) and got.count() > 100
