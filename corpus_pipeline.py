@@ -61,20 +61,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat both the id and the text of a document that stays, one stays; a text with words counts, not its id:
     another text of the same id is another document. No documents: none.
     """
-    found = cut(neardup.join(docs, counts=False).filter("n_shingles > 0").select("doc_id", "text_hash", "kept"))
-    left = without(docs, found.filter("NOT kept"))
-    twice = cut(found.filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
-    if twice.isEmpty():
-        return left
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__gone"))
-    repeated = hashed(left).join(twice.toDF("__id", "__gone"), same, "left_semi")
-    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns)))
-    return without(left, twice).union(repeated.groupBy("doc_id", "__hash").agg(first.alias("row")).select("row.*"))
+
+    def one_of_each(rows: DataFrame) -> DataFrame:
+        found = cut(neardup.join(rows, counts=False).filter("n_shingles > 0").select("doc_id", "text_hash", "kept"))
+        left = without(rows, found.filter("NOT kept"))
+        twice = cut(found.filter("kept").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
+        if twice.isEmpty():
+            return left
+        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__gone"))
+        repeated = hashed(left).join(twice.toDF("__id", "__gone"), same, "left_semi")
+        first = F.min_by(F.struct(*rows.columns), F.xxhash64(*(F.col(c).cast("string") for c in rows.columns)))
+        return without(left, twice).union(repeated.groupBy("doc_id", "__hash").agg(first.alias("row")).select("row.*"))
+
+    return aside(docs, one_of_each)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark. Null and empty texts hold none; null ids and other texts of an id count alone."""
-    return without(docs, decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return aside(docs, lambda rows: without(rows, decontaminate.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
