@@ -12,6 +12,9 @@ from ..functions.text import blank, starts
 from ..model import COMPACT, MAX_CHARS, SHORT_CODES
 from .calls import Caller, backoff, retryable  # noqa: F401
 
+#: The type of a list of entities.
+ENTITIES = "array<struct<type:string,value:string>>"
+
 #: The offline detector: one pattern for each short code it fills.
 PATTERNS = {
     "dat": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b",

@@ -11,7 +11,7 @@ from ..sources import files as FS
 from ..sources.files import table
 from ..sources.folders import shared_dir
 from ..streaming import ingest
-from .catalogue import _docs, _entities_sql, _redact_sql, _spans, query
+from .catalogue import _docs, _entities_sql, _redact_sql, _spans, _spans_sql, query
 from .state import _NOTES, _log
 
 
@@ -35,22 +35,30 @@ def output_files(spark, d):
     return texts.join(found.select("note_id", (F.size("e") > 0).alias("has_entities")), "note_id")
 
 
-@query(f"""WITH e AS (SELECT doc_id, count(*) AS n FROM {_entities_sql()} GROUP BY doc_id)
-SELECT 'n' || doc_id AS note_id, coalesce(n, 0) AS n_entities, CASE WHEN doc_id % 3 = 0 THEN 'skipped' WHEN doc_id % 3 = 1 AND doc_id % 2 = 1 THEN 'missing' ELSE 'ok' END AS outcome,
-'n' || doc_id || '_redacted.txt' AS text_key, 'n' || doc_id || '_positions.json' AS positions_key FROM documents LEFT JOIN e USING (doc_id)""")
+_WORDED = {c: p for c, p in D.PATTERNS.items() if c != "phn"}
+
+
+@query(f"""WITH e AS (SELECT doc_id, count(*) AS n FROM {_entities_sql()} GROUP BY doc_id), r AS ({_redact_sql()}), p AS (SELECT doc_id, count(*) AS n_positions, sum(start)::BIGINT AS starts FROM {_spans_sql(_WORDED)} GROUP BY doc_id)
+SELECT 'n' || doc_id AS note_id, coalesce(e.n, 0) AS n_entities, CASE WHEN doc_id % 3 = 0 THEN 'skipped' WHEN doc_id % 3 = 1 AND doc_id % 2 = 1 THEN 'missing' ELSE 'ok' END AS outcome,
+CASE WHEN text IS NULL THEN md5('') ELSE redacted_md5 END AS redacted_md5, coalesce(n_positions, 0) AS n_positions, coalesce(starts, 0) AS starts FROM documents LEFT JOIN e USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN p USING (doc_id)""")
 def response_files(spark, d):
-    """Responses written and read back; their sources relative, absolute, absent or none; and the names of what a redaction writes."""
+    """Responses written and read back, with sources relative, absolute, absent or none; then what their redaction writes, read back too."""
     base = _folder(spark)
     k = F.col("doc_id")
     source = F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, F.concat(F.lit("in/"), k.cast("string"), F.lit(".txt"))).otherwise(F.concat(F.lit("/abs/"), k.cast("string"), F.lit(".txt")))
-    docs = _docs(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
-    FS.write_objects(FS.response_files(D.detect(docs).withColumns({"stem": F.concat(F.lit("n"), k.cast("string")), "src": source}), "stem", "src"), base)
+    docs = _docs(spark, d).withColumns({"text": F.coalesce("text", F.lit("")), "stem": F.concat(F.lit("n"), k.cast("string"))})
+    FS.write_objects(FS.response_files(D.detect(docs).withColumn("src", source), "stem", "src"), base)
     there = _docs(spark, d).select(F.when(k % 3 == 2, F.concat(F.lit("/abs/"), k.cast("string"), F.lit(".txt"))).when(k % 2 == 0, F.concat(F.lit("/work/in/"), k.cast("string"), F.lit(".txt"))).alias("path")).filter("path IS NOT NULL")
-    rows = FS.responses(spark, base).select("note_id", "source", F.coalesce(F.size("response.pii_entities"), F.lit(0)).cast("long").alias("n_entities"))
-    rows = FS.sources_resolved(rows, there, "/work")
-    named = FS.redaction_files(rows.select(F.concat("note_id", F.lit("_response")).alias("stem"), F.lit("").alias("redacted"), F.array().cast("array<string>").alias("positions")), "stem").select(F.regexp_extract("key", "^([^_]*)_", 1).alias("note_id"), "key")
-    keys = named.groupBy("note_id").agg(F.max(F.when(F.col("key").endswith(".txt"), F.col("key"))).alias("text_key"), F.max(F.when(F.col("key").endswith(".json"), F.col("key"))).alias("positions_key"))
-    return rows.select("note_id", "n_entities", "outcome").join(keys, "note_id")
+    rows = FS.responses(spark, base).select("note_id", "source", F.col("response.pii_entities").alias("found"))
+    rows = FS.sources_resolved(rows, there, "/work").select("note_id", "outcome", F.coalesce("found", F.array().cast(D.ENTITIES)).alias("entities"))
+    texts = rows.join(docs.select(F.col("stem").alias("note_id"), "text"), "note_id")
+    done = R.redact(texts).withColumns({"positions": R.positions(F.col("text"), F.col("entities")), "stem": F.concat("note_id", F.lit("_response"))})
+    FS.write_objects(FS.redaction_files(done, "stem"), f"{base}/redacted")
+    named = lambda tail: F.regexp_extract("path", f"([^/]*){tail}$", 1).alias("note_id")
+    written = FS.files(spark, f"{base}/redacted", "*_redacted.txt").select(named("_redacted.txt"), F.md5(FS.decoded(F.col("content"))).alias("redacted_md5"))
+    places = FS.positions(spark, f"{base}/redacted").groupBy("note_id").agg(F.count("*").alias("n_positions"), F.sum("start").alias("starts"))
+    out = rows.select("note_id", F.size("entities").cast("long").alias("n_entities"), "outcome").join(written, "note_id").join(places, "note_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_positions", "starts")})
 
 
 @query("SELECT 'NATION_' || n_nationkey AS template, md5('Dear {{NAME}} of ' || n_name) AS text_md5, CASE WHEN n_nationkey % 2 = 0 THEN 'letter' ELSE 'unknown' END AS note_type FROM nation")
@@ -104,6 +112,19 @@ def delivery(spark, d):
     return out.select("event_id", "attempts", "outcome")
 
 
+@query("""WITH d AS (SELECT user_id FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 3)
+SELECT (user_id % 10)::VARCHAR AS batch_id, user_id::VARCHAR AS note_id, CASE WHEN user_id % 10 < 5 THEN 'queue' ELSE 'dead' END AS place, CASE WHEN user_id % 10 < 5 THEN 0 ELSE 3 END::INT AS attempts FROM d""")
+def redrive_sent(spark, d):
+    """Dead letters written as objects; those of half of the batches sent again; what then waits in the queue, and what is still dead."""
+    base = _folder(spark)
+    dead = ingest.redriven(table(spark, d, "events").select("user_id", "event_type"), "user_id", F.col("event_type") == "error")
+    letters = dead.select((F.col("user_id") % 10).alias("batch_id"), F.col("user_id").alias("note_id"), F.concat(F.lit("in/"), "user_id").alias("key"), F.lit(3).alias("attempts"))
+    ingest.sent(letters, base, "dead")
+    ingest.redrive(spark, base, F.col("batch_id").cast("int") < 5)
+    rows = [ingest.waiting(spark, base, q).select("batch_id", "note_id", F.lit(q).alias("place"), "attempts") for q in ("queue", "dead")]
+    return rows[0].unionByName(rows[1])
+
+
 @query(f"WITH {_NOTES} SELECT batch_id, ic AS input_count, pc AS processed_count, ac AS approved_note_count FROM s")
 def stream_transitions(spark, d):
     """The changes as a stream of files that hold every change twice, in micro-batches; the counters come from the stream's state, a row a note."""

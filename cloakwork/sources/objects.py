@@ -244,3 +244,22 @@ def listing(spark: SparkSession, path: str, suffix: str = "", digests: bool = Fa
     out = rows.load(path)
     out = out.filter(out.key.endswith(suffix)) if suffix else out
     return out if limit is None else out.limit(limit)
+
+
+def remove_keys(keys: DataFrame, key: str = "key") -> int:
+    """Deletes the objects that a column names by whole URI, on the executors, and gives how many were there.
+
+    Deleting again does nothing, so a task that is repeated does no harm (its objects then count as gone).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        n = 0
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                system, path = opened(uri)
+                if system.get_file_info(path).type == fs.FileType.File:
+                    system.delete_file(path)
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return sum(r.n for r in keys.select(keys[key].cast("string")).filter(f"`{key}` IS NOT NULL").mapInArrow(run, "n long").collect())

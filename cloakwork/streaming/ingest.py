@@ -67,6 +67,49 @@ def messages(inputs: DataFrame) -> DataFrame:
     return inputs.filter(F.col("key").endswith(".txt")).select("batch_id", stem(F.col("key")).alias("note_id"), "key", F.lit(0).alias("attempts"))
 
 
+MESSAGE = "batch_id string, note_id string, key string, attempts int"
+
+
+def sent(messages_: DataFrame, base: str, queue: str = "queue") -> None:
+    """Puts messages (batch_id, note_id, key, attempts) into a queue of objects, `{queue}/{batch}/{note}.json`: all of them or none.
+
+    A message that is sent again replaces the one that waits, so a note waits once.
+    """
+    from ..sources.objects import write_objects
+
+    text = [F.col(c).cast("string") for c in ("batch_id", "note_id")]
+    body = F.to_json(F.struct(text[0].alias("batch_id"), text[1].alias("note_id"), "key", F.col("attempts").cast("int").alias("attempts")))
+    write_objects(messages_.select(F.concat(F.lit(f"{queue}/"), text[0], F.lit("/"), text[1], F.lit(".json")).alias("name"), body.alias("body")), base, "name", "body")
+
+
+def waiting(spark: SparkSession, base: str, queue: str = "queue") -> DataFrame:
+    """(batch_id, note_id, key, attempts, path) of the messages that wait in a queue."""
+    from ..sources.files import exists, files
+
+    if not exists(spark, f"{base}/{queue}"):
+        return spark.createDataFrame([], MESSAGE + ", path string")
+    rows = files(spark, f"{base}/{queue}", "*.json")
+    return rows.select(F.from_json(F.col("content").cast("string"), MESSAGE).alias("m"), "path").select("m.*", "path")
+
+
+def redrive(spark: SparkSession, base: str, batch: Column | None = None, queue: str = "queue", dead: str = "dead") -> int:
+    """Sends dead letters again, of one batch only where told, and gives how many.
+
+    They go into the queue first, with no attempts, and leave the dead letters only once all are there: what stops between finds each
+    of them at least once.
+    """
+    from ..sources.objects import remove_keys
+
+    letters = waiting(spark, base, dead)
+    letters = letters if batch is None else letters.filter(batch)
+    letters = letters.withColumn("attempts", F.lit(0)).persist()
+    try:
+        sent(letters, base, queue)
+        return remove_keys(letters.select(F.regexp_replace("path", "^file:/+", "file:///").alias("key")))
+    finally:
+        letters.unpersist()
+
+
 def enqueued(batches: DataFrame, sent: DataFrame) -> DataFrame:
     """(batch_id, file_count, failed_count, outcome) of an ingestion: sent (batch_id, error); a batch without messages is `no_files`."""
     n = sent.groupBy("batch_id").agg(F.count("*").alias("file_count"), F.count("error").alias("failed_count"))
