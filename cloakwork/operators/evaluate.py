@@ -251,3 +251,21 @@ def adjusted(per_document: DataFrame) -> DataFrame:
     """The micro figures without failed documents (no tp and no fp)."""
     n = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]
     return with_ratios(per_document.filter("tp > 0 OR fp > 0").agg(*n))
+
+
+def evaluation_files(truth: DataFrame, predicted: DataFrame, settings: dict[str, str], name: str, id_col: str = "doc_id") -> DataFrame:
+    """(key, content): the files that an evaluation leaves, to be written as objects.
+
+    `{name}.json` has the settings, the aggregate and the figures by type; `{name}_mistakes/{document}.json` the mistakes of each document that
+    has some, one object each, since one for all would grow with the corpus.
+    """
+    figures = lambda *c: F.struct("precision", "recall", "f1", F.col("tp").alias("true_positives"), F.col("fp").alias("false_positives"), F.col("fn").alias("false_negatives"), *c)
+    whole = overlap(truth, predicted, []).select(figures().alias("aggregate"))
+    by = overlap(truth, predicted, ["type"], same_type=True).agg(F.array_sort(F.collect_list(F.struct("type", figures().alias("of")))).alias("by"))
+    said = F.create_map(*(F.lit(x) for pair in settings.items() for x in pair)).alias("settings")
+    body = F.to_json(F.struct(said, "aggregate", F.map_from_entries("by").alias("by_type")))
+    report_ = whole.join(F.broadcast(by)).select(F.lit(f"{name}.json").alias("key"), body.alias("content"))
+    found = mistake_files(mistakes(truth, predicted, id_col), id_col)
+    summary = F.struct("false_positive_count", "false_negative_count").alias("summary")
+    entry = F.to_json(F.struct(F.col(id_col).cast("string").alias("doc_id"), summary, "false_negatives", "false_positives"))
+    return report_.unionByName(found.select(F.concat(F.lit(f"{name}_mistakes/"), F.col(id_col).cast("string"), F.lit(".json")).alias("key"), entry.alias("content")))

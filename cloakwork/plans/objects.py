@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import batches as B, detect as D, redact as R, synth as Y, telemetry as M
+from ..operators import batches as B, detect as D, evaluate as E, redact as R, synth as Y, telemetry as M
 from ..sources import files as FS
 from ..sources.files import table
 from ..sources.folders import shared_dir
 from ..streaming import ingest
-from .catalogue import _docs, _entities_sql, _redact_sql, _spans, _spans_sql, query
+from .catalogue import ORACLES, _docs, _entities_sql, _overlap_sql, _redact_sql, _sides, _spans, _spans_sql, query
 from .state import _NOTES, _log
 
 
@@ -140,3 +140,23 @@ def stream_transitions(spark, d):
 def records_sql(spark, d):
     rows = M.in_range(_spans(spark, d, "value"), "ts", "2024-01-05 00:00:00", None)
     return FS.records(spark, rows, "SELECT event_type, count(*) AS n, max(value) AS most FROM {records} GROUP BY event_type")
+
+
+@query(f"""WITH a AS ({_overlap_sql("")}), b AS ({_overlap_sql("type", " AND a.type = b.type")}), m AS ({ORACLES["mistakes"]})
+SELECT 'all' AS name, tp, fp, fn, round(f1, 9) AS f1 FROM a UNION ALL SELECT type, tp, fp, fn, round(f1, 9) FROM b
+UNION ALL SELECT doc_id::VARCHAR, NULL, count(*) FILTER (kind = 'fp'), count(*) FILTER (kind = 'fn'), NULL FROM m GROUP BY doc_id""")
+def evaluation_files(spark, d):
+    """An evaluation's files written as objects and read back: the aggregate, the types, and each document's mistakes counted in its own file."""
+    base = _folder(spark)
+    FS.write_objects(E.evaluation_files(*_sides(spark, d), {"evaluation_mode": "entity_based"}, "eval"), base)
+    figures = "struct<precision:double,recall:double,f1:double,true_positives:long,false_positives:long,false_negatives:long>"
+    kind = f"struct<settings:map<string,string>,aggregate:{figures},by_type:map<string,{figures}>>"
+    report = FS.files(spark, base, "eval.json").select(F.from_json(F.col("content").cast("string"), kind).alias("r")).filter("r.settings['evaluation_mode'] = 'entity_based'")
+    rows = report.select(F.explode(F.map_concat(F.create_map(F.lit("all"), F.col("r.aggregate")), F.col("r.by_type"))).alias("name", "f"))
+    rows = rows.select("name", F.col("f.true_positives").alias("tp"), F.col("f.false_positives").alias("fp"), F.col("f.false_negatives").alias("fn"), F.round("f.f1", 9).alias("f1"))
+    entry = "array<struct<start:int,end:int,value:string,type:string>>"
+    one = F.from_json(F.col("content").cast("string"), f"struct<doc_id:string,false_negatives:{entry},false_positives:{entry}>").alias("m")
+    docs = FS.files(spark, f"{base}/eval_mistakes", "*.json").select(one)
+    size = lambda c: F.size(f"m.{c}").cast("long")
+    none = F.lit(None)
+    return rows.unionByName(docs.select(F.col("m.doc_id").alias("name"), none.cast("long").alias("tp"), size("false_positives").alias("fp"), size("false_negatives").alias("fn"), none.cast("double").alias("f1")))
