@@ -9,6 +9,8 @@ from .people import Draw
 
 #: So many templates are broadcast at once.
 BROADCAST_TEMPLATES = 10_000
+#: Shares of the keys beyond that.
+SALTS = 64
 PLACEHOLDER = r"\{\{([A-Z_]+)\}\}"
 #: Manifest types of placeholders; others are OTHER.
 TYPES = {
@@ -67,11 +69,18 @@ def patient(draw: Draw) -> dict[str, Column]:
 
 
 def paired(keys: DataFrame, templates: DataFrame) -> DataFrame:
-    """Every key row with every template. Templates are dealt into chunks of BROADCAST_TEMPLATES; each key row meets each chunk by an equality join."""
+    """Every key row with every template.
+
+    Few templates are broadcast. More are dealt into chunks of BROADCAST_TEMPLATES, copied for each of SALTS shares of the keys, so the rows of
+    a chunk are joined in as many tasks.
+    """
     chunks = 1 + templates.count() // BROADCAST_TEMPLATES
-    rows = keys.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    dealt = templates.withColumn("__chunk", F.pmod(F.xxhash64("template", "text"), F.lit(chunks)).cast("int"))
-    return rows.join(F.broadcast(dealt) if chunks == 1 else dealt, "__chunk").drop("__chunk")
+    if chunks == 1:
+        return keys.join(F.broadcast(templates))
+    share = F.pmod(F.xxhash64(*keys.columns), F.lit(SALTS))
+    rows = keys.withColumns({"__salt": share, "__chunk": F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))})
+    dealt = templates.withColumns({"__chunk": F.pmod(F.xxhash64("template", "text"), F.lit(chunks)).cast("int"), "__salt": F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))})
+    return rows.join(dealt.withColumn("__salt", F.col("__salt").cast("long")), ["__chunk", "__salt"]).drop("__chunk", "__salt")
 
 
 def notes(keys: DataFrame, key: str, templates: DataFrame, count: int = 1, seed: int = 0) -> DataFrame:
