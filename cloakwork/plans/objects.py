@@ -160,3 +160,28 @@ def evaluation_files(spark, d):
     size = lambda c: F.size(f"m.{c}").cast("long")
     none = F.lit(None)
     return rows.unionByName(docs.select(F.col("m.doc_id").alias("name"), none.cast("long").alias("tp"), size("false_positives").alias("fp"), size("false_negatives").alias("fn"), none.cast("double").alias("f1")))
+
+
+@query(f"""WITH e AS (SELECT doc_id, count(*) AS n FROM {_entities_sql()} GROUP BY doc_id), s AS (SELECT doc_id, count(*) AS n FROM {_entities_sql()} WHERE type = 'phone_number' GROUP BY doc_id)
+SELECT source AS batch_id, count(*) FILTER (doc_id % 7 <> 3) AS processed, count(*) FILTER (doc_id % 7 = 3 AND doc_id % 3 = 2) AS failed, count(*) FILTER (doc_id % 7 <> 3) AS written, count(*) FILTER (doc_id % 7 = 3 AND doc_id % 3 < 2) AS again,
+count(*) FILTER (doc_id % 7 = 3 AND doc_id % 3 = 2) AS dead, any_value(m.entities) AS all_entities, any_value(m.skipped) AS all_skipped
+FROM documents, (SELECT (SELECT sum(n) FROM e WHERE doc_id % 7 <> 3)::BIGINT AS entities, (SELECT sum(n) FROM s WHERE doc_id % 7 <> 3)::BIGINT AS skipped) m GROUP BY source""")
+def worker_records(spark, d):
+    """All documents as messages of a stream, worked on in micro-batches; every seventh fails, and so often that a third of those are dead."""
+    base = _folder(spark)
+    k = F.col("doc_id")
+    texts = table(spark, d, "documents").select(F.col("source").alias("batch_id"), k.cast("string").alias("note_id"), F.concat(F.lit("in/"), k.cast("string")).alias("key"), (k % 3).cast("int").alias("attempts"), F.coalesce("text", F.lit("")).alias("text"))
+    texts.repartition(3).write.parquet(f"{base}/in")
+
+    def detector(df):
+        bad = F.col("note_id").cast("long") % 7 == 3
+        return D.detect(df).withColumns({"retries": F.lit(1), "error": F.when(bad, "refused")})
+
+    step = ingest.worker(base, detector, F.lit("2024-01-05 09:30:07").cast("timestamp"))
+    ingest.run(ingest.stream(spark, f"{base}/in", texts.schema, 1), step, f"{base}/checkpoint").awaitTermination()
+    flags = spark.read.parquet(f"{base}/changes").groupBy("batch_id").agg(F.count_if(F.col("kind") == B.PROCESSED).alias("processed"), F.count_if(F.col("kind") == B.FAILED).alias("failed"))
+    wrote = FS.listing(spark, base, "_redacted.txt").groupBy(F.regexp_extract("key", "([^/]+)/output/", 1).alias("batch_id")).agg(F.count("*").alias("written"))
+    held = lambda q, c: ingest.waiting(spark, base, q).groupBy("batch_id").agg(F.count("*").alias(c))
+    whole = spark.read.parquet(f"{base}/metrics").agg(F.sum("entities").alias("all_entities"), F.sum(F.coalesce(F.element_at("skipped", F.lit("phone_number")), F.lit(0))).alias("all_skipped"))
+    out = flags.join(wrote, "batch_id", "left").join(held("queue", "again"), "batch_id", "left").join(held("dead", "dead"), "batch_id", "left").join(F.broadcast(whole))
+    return out.select("batch_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("processed", "failed", "written", "again", "dead")), "all_entities", "all_skipped")

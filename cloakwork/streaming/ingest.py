@@ -110,6 +110,40 @@ def redrive(spark: SparkSession, base: str, batch: Column | None = None, queue:
         letters.unpersist()
 
 
+def worker(base: str, detector: Callable[[DataFrame], DataFrame], at: Column | None = None, most: int = 3) -> Callable[[DataFrame, int], None]:
+    """A step that works on messages with their texts (batch_id, note_id, key, attempts, text), from detection to the note's flag.
+
+    detector adds `entities`, `retries` and `error` (null where it went well). What it found is written once for each micro-batch, so nothing
+    below asks it again: redacted notes and occurrences as objects; failed messages back into the queue, or among the dead letters at their
+    last attempt; `changes` (batch_id, note_id, kind, at) with the note processed or finally failed; `metrics` (notes, failures,
+    retries, entities, skipped by type). A repeated micro-batch writes the same keys and its own folders again, so nothing counts twice.
+    """
+    from ..operators.batches import FAILED, PROCESSED
+    from ..operators.redact import occurrences, positions
+    from ..sources.files import outputs
+    from ..sources.objects import write_objects
+
+    none = "array<struct<type:string,value:string>>"
+
+    def step(df: DataFrame, number: int) -> None:
+        spark, folder = df.sparkSession, f"batch={number}"
+        detector(df.dropDuplicates(["batch_id", "note_id"])).write.mode("overwrite").parquet(f"{base}/worked/{folder}")
+        found = attempted(spark.read.parquet(f"{base}/worked/{folder}"), F.col("error").isNotNull(), most)
+        done = redact(found.filter("outcome = 'done'").withColumn("entities", F.coalesce("entities", F.array().cast(none))))
+        done = done.withColumn("occurrences", F.coalesce(occurrences(positions(F.col("text"), F.col("entities"))), F.array().cast(none)))
+        write_objects(outputs(done), base)
+        sent(found.filter("outcome = 'again'"), base)
+        sent(found.filter("outcome = 'dead'"), base, "dead")
+        kind = F.when(F.col("outcome") == "done", PROCESSED).otherwise(FAILED)
+        flags = found.filter("outcome <> 'again'").select("batch_id", "note_id", kind.alias("kind"), (F.current_timestamp() if at is None else at).cast("timestamp_ntz").alias("at"))
+        flags.write.mode("overwrite").parquet(f"{base}/changes/{folder}")
+        skips = done.select(F.explode("skipped_by_type").alias("type", "n")).groupBy("type").agg(F.sum("n").cast("long").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("skipped"))
+        counts = found.agg(F.count("*").alias("notes"), F.count("error").alias("failures"), F.sum("retries").alias("retries"), F.sum(F.when(F.col("error").isNull(), F.size("entities"))).alias("entities"))
+        counts.join(F.broadcast(skips)).write.mode("overwrite").parquet(f"{base}/metrics/{folder}")
+
+    return step
+
+
 def enqueued(batches: DataFrame, sent: DataFrame) -> DataFrame:
     """(batch_id, file_count, failed_count, outcome) of an ingestion: sent (batch_id, error); a batch without messages is `no_files`."""
     n = sent.groupBy("batch_id").agg(F.count("*").alias("file_count"), F.count("error").alias("failed_count"))
