@@ -43,7 +43,10 @@ class Caller:
     of its row, not a reason to ask again.
     """
 
-    def __init__(self, call: Callable[..., Any], check: Callable[[Any], Any] = lambda v: v, window: int = 8, attempts: int = 4, budget: int = 100, per_minute: float | None = None, sleep: Callable[[float], None] = time.sleep):
+    def __init__(
+        self, call: Callable[..., Any], check: Callable[[Any], Any] = lambda v: v, window: int = 8, attempts: int = 4, budget: int = 100,
+        per_minute: float | None = None, sleep: Callable[[float], None] = time.sleep,
+    ):
         self.call, self.check, self.window, self.attempts, self.left, self.sleep = call, check, window, attempts, budget, sleep
         self.pause, self.due, self.lock = 60 / per_minute if per_minute else 0.0, None, threading.Lock()
 

@@ -104,7 +104,10 @@ def sound(found: dict) -> dict[str, list[str]]:
     return {c: list(found.get(c, [])) for c in SHORT_CODES}
 
 
-def model_detector(df: DataFrame, call: Callable[[str], dict], text_col: str = "text", attempts: int = 4, sleep: Callable[[float], None] = time.sleep, window: int = 8, budget: int = 100) -> DataFrame:
+def model_detector(
+    df: DataFrame, call: Callable[[str], dict], text_col: str = "text", attempts: int = 4,
+    sleep: Callable[[float], None] = time.sleep, window: int = 8, budget: int = 100,
+) -> DataFrame:
     """df with `compacted`, `retries` and `error` from a model: call(text) gives a list of strings for each short code.
 
     A task has `window` calls in flight and shares `budget` retries among them; rows keep their order. An error, or an answer that isn't

@@ -156,7 +156,10 @@ def _note(text: str) -> str:
     return text
 
 
-def written(tasks: DataFrame, write: Callable[[str, str], str], prompt_col: str = "prompt", role_col: str = "role", per_minute: int = 150, partitions: int = 8, sleep: Callable[[float], None] = time.sleep, window: int = 8, budget: int = 100) -> DataFrame:
+def written(
+    tasks: DataFrame, write: Callable[[str, str], str], prompt_col: str = "prompt", role_col: str = "role", per_minute: int = 150,
+    partitions: int = 8, sleep: Callable[[float], None] = time.sleep, window: int = 8, budget: int = 100,
+) -> DataFrame:
     """tasks with `note`, `retries` and `error` from a writer: write(role, prompt). An error or an empty note marks its row.
 
     A task has `window` calls in flight and shares `budget` retries. Its share of per_minute is per_minute over the partitions, so all tasks

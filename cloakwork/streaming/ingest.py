@@ -135,10 +135,13 @@ def worker(base: str, detector: Callable[[DataFrame], DataFrame], at: Column | N
         sent(found.filter("outcome = 'again'"), base)
         sent(found.filter("outcome = 'dead'"), base, "dead")
         kind = F.when(F.col("outcome") == "done", PROCESSED).otherwise(FAILED)
-        flags = found.filter("outcome <> 'again'").select("batch_id", "note_id", kind.alias("kind"), (F.current_timestamp() if at is None else at).cast("timestamp_ntz").alias("at"))
+        now = (F.current_timestamp() if at is None else at).cast("timestamp_ntz")
+        flags = found.filter("outcome <> 'again'").select("batch_id", "note_id", kind.alias("kind"), now.alias("at"))
         flags.write.mode("overwrite").parquet(f"{base}/changes/{folder}")
-        skips = done.select(F.explode("skipped_by_type").alias("type", "n")).groupBy("type").agg(F.sum("n").cast("long").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("skipped"))
-        counts = found.agg(F.count("*").alias("notes"), F.count("error").alias("failures"), F.sum("retries").alias("retries"), F.sum(F.when(F.col("error").isNull(), F.size("entities"))).alias("entities"))
+        by_type = done.select(F.explode("skipped_by_type").alias("type", "n")).groupBy("type").agg(F.sum("n").cast("long").alias("n"))
+        skips = by_type.agg(F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("skipped"))
+        entities = F.sum(F.when(F.col("error").isNull(), F.size("entities"))).alias("entities")
+        counts = found.agg(F.count("*").alias("notes"), F.count("error").alias("failures"), F.sum("retries").alias("retries"), entities)
         counts.join(F.broadcast(skips)).write.mode("overwrite").parquet(f"{base}/metrics/{folder}")
 
     return step
