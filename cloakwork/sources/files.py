@@ -13,6 +13,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows of a task where each row grows to some kilobytes.
+SPREAD_ROWS = 4_000
+
+
+def spread(rows: DataFrame, key: str, each: int = SPREAD_ROWS) -> DataFrame:
+    """rows in tasks of about `each` rows, dealt by a key: what is made of rows of a few bytes doesn't grow in the few tasks that a small file has.
+
+    The rows are counted first, for Parquet from its footers. What is grouped by the key afterwards is in place already.
+    """
+    return rows.repartition(max(1, -(-rows.count() // each)), key)
+
+
 def decoded(content: Column) -> Column:
     """Bytes as text: UTF-16 by its byte order mark, which stays as U+FEFF; else UTF-8; else UTF-16 little-endian; else Latin-1."""
     mark = F.hex(F.substring(content, 1, 2))
