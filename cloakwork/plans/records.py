@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fhir as H, people as P, synth as Y, writing as N
 from ..sources import files as FS
-from ..sources.files import table
+from ..sources.files import spread, table
 from .catalogue import query
 
 _CLASSES = ("ambulatory", "inpatient", "wellness", "emergency")
@@ -18,7 +18,7 @@ _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"  # noqa:
 
 
 def _customers(spark, d):
-    return table(spark, d, "customer").select("c_custkey")
+    return spread(table(spark, d, "customer").select("c_custkey"), "c_custkey")
 
 
 def _varied(spark, d):
@@ -89,18 +89,17 @@ def resolved_references(spark, d):
     k = F.col("c_custkey").cast("string")
     asked = lambda name, ref: _customers(spark, d).select("c_custkey", F.lit(name).alias("asked"), ref.alias("ref"))
     wanted = asked("plain", F.concat(F.lit("e0-"), k)).union(asked("prefixed", F.concat(F.lit("urn:uuid:e0-"), k))).union(asked("absent", F.concat(F.lit("zz"), k)))
-    found = H.referenced(H.index(rows, "c_custkey"), wanted.select("c_custkey", "ref"), "c_custkey")
-    return wanted.join(found, ["c_custkey", "ref"]).select("c_custkey", "asked", F.get_json_object("resource", "$.resourceType").alias("kind"))
+    found = H.referenced(H.index(rows, "c_custkey"), wanted, "c_custkey")
+    return found.select("c_custkey", "asked", F.get_json_object("resource", "$.resourceType").alias("kind"))
 
 
 @query(f"""SELECT c_custkey, 'Race ' || c_custkey % 3 AS race, 'Moe' || c_custkey AS maiden, 'Lund, S' || c_custkey % 4 AS birth_place, 'Ids' AS nicknames, CASE WHEN c_custkey % 2 = 0 THEN 'Erie, PA' ELSE 'PA' END AS address_city_and_state,
 'PA, US' AS address_state_and_country, 'Lund, S' || c_custkey % 4 AS birth_city_and_state, 'S' || c_custkey % 4 || ', SE' AS birth_state_and_country, 'Lund, S' || c_custkey % 4 || ', SE' AS birth_city_state_and_country FROM customer""")
 def patient_extensions(spark, d):
-    rows = _rows(spark, d)
-    ext = F.from_json(F.get_json_object(F.to_json("resource"), "$.extension"), f"array<{H.EXTENSION}>")
-    values = rows.filter("kind = 'Patient'").select("c_custkey", ext.alias("e")).select("c_custkey", *(H.extension_value(F.col("e"), u).alias(n) for n, u in (("race", H.RACE), ("maiden", H.MAIDEN), ("birth_place", H.BIRTH_PLACE))))
     names = ("nicknames", "address_city_and_state", "address_state_and_country", "birth_city_and_state", "birth_state_and_country", "birth_city_state_and_country")
-    return values.join(H.patients(rows, "c_custkey", F.lit("2024-03-01").cast("date")).select("c_custkey", *names), "c_custkey")
+    urls = {"__race": H.RACE, "__maiden": H.MAIDEN, "__birth_place": H.BIRTH_PLACE}
+    out = H.patients_extended(_rows(spark, d), "c_custkey", F.lit("2024-03-01").cast("date"), urls)
+    return out.select("c_custkey", *(F.col(n).alias(n[2:]) for n in urls), *names)
 
 
 _K = "c_custkey"
