@@ -30,8 +30,8 @@ def output_files(spark, d):
     notes = notes.withColumn("occurrences", F.coalesce(R.occurrences(R.positions(F.col("text"), F.col("entities"))), F.array().cast("array<struct<type:string,value:string>>")))
     FS.write_objects(FS.outputs(notes, "source", "doc_id"), base)
     name = lambda tail: F.regexp_extract("path", rf"([^/]+)/output/([^/]*){tail}$", 2).alias("note_id")
-    texts = FS.files(spark, base, "*_redacted.txt").select(name("_redacted.txt"), F.regexp_extract("path", "([^/]+)/output/", 1).alias("batch_id"), F.md5(FS.decoded(F.col("content"))).alias("redacted_md5"))
-    found = FS.files(spark, base, "*_entities.json").select(name("_entities.json"), F.from_json(F.col("content").cast("string"), "array<struct<type:string,value:string>>").alias("e"))
+    texts = FS.contents(spark, base, "_redacted.txt").select(name("_redacted.txt"), F.regexp_extract("path", "([^/]+)/output/", 1).alias("batch_id"), F.md5(FS.decoded(F.col("content"))).alias("redacted_md5"))
+    found = FS.contents(spark, base, "_entities.json").select(name("_entities.json"), F.from_json(F.col("content").cast("string"), "array<struct<type:string,value:string>>").alias("e"))
     return texts.join(found.select("note_id", (F.size("e") > 0).alias("has_entities")), "note_id")
 
 
@@ -151,12 +151,12 @@ def evaluation_files(spark, d):
     FS.write_objects(E.evaluation_files(*_sides(spark, d), {"evaluation_mode": "entity_based"}, "eval"), base)
     figures = "struct<precision:double,recall:double,f1:double,true_positives:long,false_positives:long,false_negatives:long>"
     kind = f"struct<settings:map<string,string>,aggregate:{figures},by_type:map<string,{figures}>>"
-    report = FS.files(spark, base, "eval.json").select(F.from_json(F.col("content").cast("string"), kind).alias("r")).filter("r.settings['evaluation_mode'] = 'entity_based'")
+    report = FS.contents(spark, base, "/eval.json").select(F.from_json(F.col("content").cast("string"), kind).alias("r")).filter("r.settings['evaluation_mode'] = 'entity_based'")
     rows = report.select(F.explode(F.map_concat(F.create_map(F.lit("all"), F.col("r.aggregate")), F.col("r.by_type"))).alias("name", "f"))
     rows = rows.select("name", F.col("f.true_positives").alias("tp"), F.col("f.false_positives").alias("fp"), F.col("f.false_negatives").alias("fn"), F.round("f.f1", 9).alias("f1"))
     entry = "array<struct<start:int,end:int,value:string,type:string>>"
     one = F.from_json(F.col("content").cast("string"), f"struct<doc_id:string,false_negatives:{entry},false_positives:{entry}>").alias("m")
-    docs = FS.files(spark, f"{base}/eval_mistakes", "*.json").select(one)
+    docs = FS.contents(spark, f"{base}/eval_mistakes", ".json").select(one)
     size = lambda c: F.size(f"m.{c}").cast("long")
     none = F.lit(None)
     return rows.unionByName(docs.select(F.col("m.doc_id").alias("name"), none.cast("long").alias("tp"), size("false_positives").alias("fp"), size("false_negatives").alias("fn"), none.cast("double").alias("f1")))

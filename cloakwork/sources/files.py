@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import approved_id, stem
 from ..model import FORMAT, MANIFEST, POSITIONS_FILE, RESPONSE
-from .objects import listing, write_objects  # noqa: F401
+from .objects import listing, opened, write_objects  # noqa: F401
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -48,11 +51,42 @@ def unix_lines(text: Column) -> Column:
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
-    """(path, size, modified, content) of the files below a folder; nothing else of them is read where only names are asked for."""
+    """(path, size, modified, content) of the files below a folder; nothing else of them is read where only names are asked for.
+
+    Spark lists them on the driver, which so holds a few hundred bytes of each; contents() doesn't.
+    """
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
 
 
+#: Objects that a task reads, and bytes of a batch of rows.
+READ_OBJECTS, READ_BYTES = 2_000, 8 << 20
+
+
+def contents(spark: SparkSession, path: str, suffix: str = "", deep: bool = True) -> DataFrame:
+    """files() whose name ends so, of what write_objects() reaches: listed and read on the executors, so the driver holds none of the names.
+
+    Unless deep, only the folder's own. They are listed once more to be counted, and dealt out by key before they are read.
+    """
+    base = path.rstrip("/")
+
+    def read(batches: Iterator[pa.RecordBatch]):
+        system, root = opened(base)
+        for b in batches:
+            at, held, found = 0, 0, []
+            for i, key in enumerate(b.column("key").to_pylist()):
+                with system.open_input_stream(root.rstrip("/") + key[len(base) :]) as f:
+                    found.append(f.read())
+                held += len(found[-1])
+                if held >= READ_BYTES or i + 1 == b.num_rows:
+                    part = b.slice(at, len(found))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=["path", "size", "modified", "content"])
+                    at, held, found = i + 1, 0, []
+
+    rows = listing(spark, path, suffix, deep=deep).select("key", "size", "modified")
+    return spread(rows, "key", READ_OBJECTS).mapInArrow(read, "path string, size long, modified timestamp, content binary")
+
+
 def notes(spark: SparkSession, path: str) -> DataFrame:
     """(batch_id, note_id, text) of `{batch}/input/{note}.txt`."""
     rows = files(spark, path)
@@ -68,19 +102,20 @@ def approved(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path).select(approved_id(F.col("path")).alias("note_id"), "path").filter("note_id IS NOT NULL")
 
 
-def _json(spark: SparkSession, path: str, schema, suffix: str) -> DataFrame:
+def _json(spark: SparkSession, path: str, schema, suffix: str, deep: bool) -> DataFrame:
     bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(bad).option("multiLine", "true").option("mode", "PERMISSIVE").option("pathGlobFilter", f"*{suffix}.json").json(path)
-    return rows.withColumn("note_id", F.regexp_replace(stem(F.col("_metadata.file_path")), f"{suffix}$", ""))
+    rows = contents(spark, path, f"{suffix}.json", deep).select("path", F.col("content").cast("string").alias("text")).filter("trim(text) <> ''")
+    rows = rows.select(F.from_json("text", bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"), "path")
+    return rows.select("r.*", F.regexp_replace(stem(F.col("path")), f"{suffix}$", "").alias("note_id"))
 
 
-def responses(spark: SparkSession, path: str) -> DataFrame:
-    """Detections; files that aren't JSON come with _corrupt_record."""
-    return _json(spark, path, RESPONSE, "_response")
+def responses(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
+    """Detections, an object a file; files that aren't JSON come with _corrupt_record."""
+    return _json(spark, path, RESPONSE, "_response", deep)
 
 
-def positions(spark: SparkSession, path: str) -> DataFrame:
-    rows = _json(spark, path, POSITIONS_FILE, "_positions")
+def positions(spark: SparkSession, path: str, deep: bool = False) -> DataFrame:
+    rows = _json(spark, path, POSITIONS_FILE, "_positions", deep)
     return rows.select("note_id", F.explode("pii_entities").alias("p")).select("note_id", "p.*")
 
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import fnmatch
 import json
+import os
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from hashlib import md5
 
 import pyarrow as pa
@@ -38,6 +40,40 @@ def _hidden(part: str) -> bool:
     return part.startswith(("_", "."))
 
 
+@dataclass
+class Entry:
+    """What a folder holds: a file or a folder; size and time are looked up for files where asked for."""
+
+    path: str
+    name: str
+    folder: bool
+    size: int = 0
+    mtime: datetime | None = None
+
+
+def entries(system: fs.FileSystem, path: str, details: bool = True) -> Iterator[Entry]:
+    """What isn't hidden in a folder, none where it isn't there. A local folder is gone through entry by entry, so of any number none is held."""
+    if isinstance(system, fs.LocalFileSystem):
+        try:
+            found = os.scandir(path)
+        except FileNotFoundError:
+            return
+        with found:
+            for x in found:
+                if _hidden(x.name):
+                    continue
+                folder = x.is_dir()
+                try:
+                    at = x.stat() if details and not folder else None
+                except FileNotFoundError:  # it went meanwhile
+                    continue
+                yield Entry(f"{path}/{x.name}", x.name, folder, *((at.st_size, datetime.fromtimestamp(at.st_mtime, UTC)) if at else ()))
+        return
+    for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if not _hidden(x.base_name):
+            yield Entry(x.path, x.base_name, x.type == fs.FileType.Directory, x.size or 0, x.mtime)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What a task leaves for the commit: the folder in which its objects and their list wait."""
@@ -124,6 +160,7 @@ class ObjectReader(DataSourceReader):
     def __init__(self, base: str, options):
         self.base, self.digests = base, str(options.get("digests", "false")).lower() == "true"
         self.starts, self.ends, self.pattern, self.limit = "", [], options.get("pattern"), int(options.get("limit", -1))
+        self.deep = str(options.get("deep", "true")).lower() == "true"
 
     def pushFilters(self, filters):
         for f in filters:
@@ -149,14 +186,19 @@ class ObjectReader(DataSourceReader):
         system, root = opened(self.base)
         if system.get_file_info(root).type != fs.FileType.Directory:
             return []
+        if not self.deep:
+            return [Prefix(root, False)]
         level, done = [root], []
         while level and len(level) < PREFIXES:
             below = []
             for path in level:
-                found = [x for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True)) if not _hidden(x.base_name)]
-                if any(x.type == fs.FileType.File for x in found):
+                files = False
+                for x in entries(system, path, details=False):
+                    files = files or not x.folder
+                    if x.folder and self._open(root, x.path):
+                        below.append(x.path)
+                if files:
                     done.append(Prefix(path, False))
-                below += [x.path for x in found if x.type == fs.FileType.Directory and self._open(root, x.path)]
             level = below
         return [*done, *(Prefix(p, True) for p in level)]
 
@@ -166,10 +208,8 @@ class ObjectReader(DataSourceReader):
         system, root = opened(self.base)
         todo, rows, n = [partition.path], [], 0
         while todo:
-            for x in sorted(system.get_file_info(fs.FileSelector(todo.pop(), allow_not_found=True)), key=lambda x: x.path):
-                if _hidden(x.base_name):
-                    continue
-                if x.type == fs.FileType.Directory:
+            for x in entries(system, todo.pop()):
+                if x.folder:
                     if partition.deep and self._open(root, x.path):
                         todo.append(x.path)
                     continue
@@ -229,14 +269,14 @@ def write_objects(df: DataFrame, base: str, key: str = "key", content: str = "co
     df.select(df[key].cast("string").alias("key"), df[content].cast("string").alias("content")).write.format(FORMAT).mode("append").save(base)
 
 
-def listing(spark: SparkSession, path: str, suffix: str = "", digests: bool = False, pattern: str | None = None, limit: int | None = None) -> DataFrame:
+def listing(spark: SparkSession, path: str, suffix: str = "", digests: bool = False, pattern: str | None = None, limit: int | None = None, deep: bool = True) -> DataFrame:
     """(key, etag, size, modified) of the objects below a folder whose key ends so and fits the pattern; hidden ones aren't objects.
 
     etag is the content's MD5, read only where digests are asked for. Filters on the key's beginning or end reach the listing. With a
-    limit no partition lists more. A folder that isn't there has no objects.
+    limit no partition lists more. A folder that isn't there has no objects. Unless deep, only the folder's own objects are listed.
     """
     _registered(spark)
-    rows = spark.read.format(FORMAT).option("digests", str(digests).lower())
+    rows = spark.read.format(FORMAT).option("digests", str(digests).lower()).option("deep", str(deep).lower())
     if pattern:
         rows = rows.option("pattern", pattern)
     if limit is not None:

@@ -84,11 +84,9 @@ def sent(messages_: DataFrame, base: str, queue: str = "queue") -> None:
 
 def waiting(spark: SparkSession, base: str, queue: str = "queue") -> DataFrame:
     """(batch_id, note_id, key, attempts, path) of the messages that wait in a queue."""
-    from ..sources.files import exists, files
+    from ..sources.files import contents
 
-    if not exists(spark, f"{base}/{queue}"):
-        return spark.createDataFrame([], MESSAGE + ", path string")
-    rows = files(spark, f"{base}/{queue}", "*.json")
+    rows = contents(spark, f"{base}/{queue}", ".json")
     return rows.select(F.from_json(F.col("content").cast("string"), MESSAGE).alias("m"), "path").select("m.*", "path")
 
 

@@ -103,3 +103,45 @@ def test_formats_and_empty_folders(spark, tmp_path):
     FS.write_objects(spark.createDataFrame([("b1/approvals/n1_approved.txt", "ok"), ("b1/approvals/n2.txt", "no")], "key string, content string"), base)
     assert [r.note_id for r in FS.approved(spark, base).collect()] == ["n1"]
     assert spark.createDataFrame([("a\r\nb\rc\n",)], "t string").select(FS.unix_lines(F.col("t")).alias("t")).first().t == "a\nb\nc\n"
+
+
+def test_contents_are_listed_and_read_on_executors(spark, tmp_path, monkeypatch):
+    """The plan holds no file of them; folders of any depth, only the folder's own where told, nothing where there is none."""
+    base = made(spark, tmp_path, 50)
+    FS.write_objects(spark.createDataFrame([("top.txt", "é"), ("empty.txt", None), ("b1/other.md", "no")], "key string, content string"), base)
+    monkeypatch.setattr(FS, "READ_OBJECTS", 10)
+    monkeypatch.setattr(FS, "READ_BYTES", 12)
+    got = FS.contents(spark, base, ".txt")
+    assert got.rdd.getNumPartitions() == 6 and "FileScan" not in got._jdf.queryExecution().executedPlan().toString() and not got.inputFiles()
+    want = {f"{base}/b{i % 5}/input/n{i}.txt": f"text {i}".encode() for i in range(50)} | {f"{base}/top.txt": "é".encode(), f"{base}/empty.txt": b""}
+    assert {r.path: bytes(r.content) for r in got.collect()} == want and all(r.size == len(r.content) for r in got.collect())
+    assert {r.path for r in FS.contents(spark, f"{tmp_path}/objects", ".txt", deep=False).collect()} == {f"{tmp_path}/objects/top.txt", f"{tmp_path}/objects/empty.txt"}
+    assert FS.contents(spark, f"{base}/nowhere").count() == 0
+
+
+@pytest.mark.parametrize("name", ["output_files", "response_files", "evaluation_files", "redrive_sent"])
+def test_queries_hold_no_list_of_files(spark, data, name):
+    from cloakwork.plans import catalogue
+
+    df = catalogue.QUERIES[name](spark, data)
+    assert "cloakwork_objects" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f.endswith(".parquet") for f in df.inputFiles())  # the tables, no object
+
+
+def test_messages_of_a_worker_come_in_files_of_bounded_size(spark, data, monkeypatch):
+    """More rows make more files, not longer ones, and a micro-batch takes several of them."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from cloakwork.plans import catalogue
+    from cloakwork.streaming import ingest
+
+    seen, stream = [], ingest.stream
+    monkeypatch.setattr(FS, "SPREAD_ROWS", 30)
+    monkeypatch.setattr(ingest, "stream", lambda spark, path, schema, n: seen.append((path, n)) or stream(spark, path, schema, n))
+    docs = catalogue._docs(spark, data).count()
+    assert sum(r.processed + r.failed + r.again for r in catalogue.QUERIES["worker_records"](spark, data).collect()) == docs
+    (path, n), *_ = seen
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{path.removeprefix('file://')}/*.parquet")]
+    assert sum(sizes) == docs and max(sizes) <= 60 and len(sizes) == -(-docs // 30) and n == -(-len(sizes) // 3) > 1
