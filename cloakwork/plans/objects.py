@@ -47,16 +47,18 @@ def response_files(spark, d):
     k = F.col("doc_id")
     source = F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, F.concat(F.lit("in/"), k.cast("string"), F.lit(".txt"))).otherwise(F.concat(F.lit("/abs/"), k.cast("string"), F.lit(".txt")))
     docs = _docs(spark, d).withColumns({"text": F.coalesce("text", F.lit("")), "stem": F.concat(F.lit("n"), k.cast("string"))})
-    FS.write_objects(FS.response_files(D.detect(docs).withColumn("src", source), "stem", "src"), base)
+    below = lambda stem: F.concat(F.pmod(F.xxhash64(stem), F.lit(64)).cast("string"), F.lit("/"), stem)  # noqa: E731  each folder is listed by a task
+    asked = D.detect(docs).withColumns({"src": source, "at": below(F.col("stem"))})
+    FS.write_objects(FS.response_files(asked, "at", "src"), f"{base}/responses")
     there = _docs(spark, d).select(F.when(k % 3 == 2, F.concat(F.lit("/abs/"), k.cast("string"), F.lit(".txt"))).when(k % 2 == 0, F.concat(F.lit("/work/in/"), k.cast("string"), F.lit(".txt"))).alias("path")).filter("path IS NOT NULL")
-    rows = FS.responses(spark, base).select("note_id", "source", F.col("response.pii_entities").alias("found"))
+    rows = FS.responses(spark, f"{base}/responses", deep=True).select("note_id", "source", F.col("response.pii_entities").alias("found"))
     rows = FS.sources_resolved(rows, there, "/work").select("note_id", "outcome", F.coalesce("found", F.array().cast(D.ENTITIES)).alias("entities"))
     texts = rows.join(docs.select(F.col("stem").alias("note_id"), "text"), "note_id")
-    done = R.redact(texts).withColumns({"positions": R.positions(F.col("text"), F.col("entities")), "stem": F.concat("note_id", F.lit("_response"))})
+    done = R.redact(texts).withColumns({"positions": R.positions(F.col("text"), F.col("entities")), "stem": F.concat(below(F.col("note_id")), F.lit("_response"))})
     FS.write_objects(FS.redaction_files(done, "stem"), f"{base}/redacted")
     named = lambda tail: F.regexp_extract("path", f"([^/]*){tail}$", 1).alias("note_id")
-    written = FS.files(spark, f"{base}/redacted", "*_redacted.txt").select(named("_redacted.txt"), F.md5(FS.decoded(F.col("content"))).alias("redacted_md5"))
-    places = FS.positions(spark, f"{base}/redacted").groupBy("note_id").agg(F.count("*").alias("n_positions"), F.sum("start").alias("starts"))
+    written = FS.contents(spark, f"{base}/redacted", "_redacted.txt").select(named("_redacted.txt"), F.md5(FS.decoded(F.col("content"))).alias("redacted_md5"))
+    places = FS.positions(spark, f"{base}/redacted", deep=True).groupBy("note_id").agg(F.count("*").alias("n_positions"), F.sum("start").alias("starts"))
     out = rows.select("note_id", F.size("entities").cast("long").alias("n_entities"), "outcome").join(written, "note_id").join(places, "note_id", "left")
     return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_positions", "starts")})
 
