@@ -173,14 +173,15 @@ def worker_records(spark, d):
     base = _folder(spark)
     k = F.col("doc_id")
     texts = table(spark, d, "documents").select(F.col("source").alias("batch_id"), k.cast("string").alias("note_id"), F.concat(F.lit("in/"), k.cast("string")).alias("key"), (k % 3).cast("int").alias("attempts"), F.coalesce("text", F.lit("")).alias("text"))
-    texts.repartition(3).write.parquet(f"{base}/in")
+    n = max(3, -(-texts.count() // FS.SPREAD_ROWS))  # files of a bounded size; a third of them is a micro-batch
+    texts.repartition(n).write.parquet(f"{base}/in")
 
     def detector(df):
         bad = F.col("note_id").cast("long") % 7 == 3
         return D.detect(df).withColumns({"retries": F.lit(1), "error": F.when(bad, "refused")})
 
     step = ingest.worker(base, detector, F.lit("2024-01-05 09:30:07").cast("timestamp"))
-    ingest.run(ingest.stream(spark, f"{base}/in", texts.schema, 1), step, f"{base}/checkpoint").awaitTermination()
+    ingest.run(ingest.stream(spark, f"{base}/in", texts.schema, -(-n // 3)), step, f"{base}/checkpoint").awaitTermination()
     flags = spark.read.parquet(f"{base}/changes").groupBy("batch_id").agg(F.count_if(F.col("kind") == B.PROCESSED).alias("processed"), F.count_if(F.col("kind") == B.FAILED).alias("failed"))
     wrote = FS.listing(spark, base, "_redacted.txt").groupBy(F.regexp_extract("key", "([^/]+)/output/", 1).alias("batch_id")).agg(F.count("*").alias("written"))
     held = lambda q, c: ingest.waiting(spark, base, q).groupBy("batch_id").agg(F.count("*").alias(c))
