@@ -26,17 +26,45 @@ SPLIT = "\n"
 SALT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 #: Lines of these only are blank.
 BLANKS = " \t\n\x0b\f\r"
+#: What a tidy text holds none of: two blanks in a row or any blank but U+0020 and line ends. In UTF-8; of those from U+2000 on by their first two bytes.
+UNTIDY = tuple(c.encode() for c in ("  ", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f"))
+UNTIDY_WIDE = *(c.encode() for c in "\x85\xa0\u1680\u205f\u3000"), b"\xe2\x80"
 ADDED = {"n_lines": T.IntegerType(), "n_dropped": T.IntegerType(), "dropped_lines": T.ArrayType(T.IntegerType()), "longest_run": T.IntegerType()}
 
 
 def _content(line: str) -> bool:
-    return len(line.split()) >= CONTENT_WORDS or not line.isascii() and len(line.split()) + len(NO_BLANKS.findall(line)) // 2 >= CONTENT_WORDS
+    words = len(line.split(None, CONTENT_WORDS - 1))  # no more of the line is split than it takes
+    return words >= CONTENT_WORDS or not line.isascii() and words + len(NO_BLANKS.findall(line)) // 2 >= CONTENT_WORDS
 
 
-def _ids(lines: list[str]) -> np.ndarray:
-    """A line's ID: two 64-bit numbers of a hash of it without outer and repeated blanks."""
-    hashed = [xxhash.xxh3_128_digest(" ".join(x.split()).encode("utf-8", "surrogatepass")) for x in lines]
-    return np.frombuffer(b"".join(hashed), np.uint64).reshape(-1, 2)
+def _plain(text: str | None, content: bool) -> tuple[list[bytes], list[bool]]:
+    """A text's lines without blank ones, each without outer and repeated blanks, in UTF-8, and where asked for whether each is content.
+
+    Lines of tidy texts are so already, which is seen without splitting them into words.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if not any(x in raw for x in UNTIDY) and (raw.isascii() or not any(x in raw for x in UNTIDY_WIDE)):
+        lines = [x for x in raw.split(b"\n") if x]
+        if not any(x[0] == 32 or x[-1] == 32 for x in lines):
+            ascii_ = raw.isascii()
+            return lines, [len(x.split(b" ", CONTENT_WORDS - 1)) >= CONTENT_WORDS or not ascii_ and _content(x.decode("utf-8", "surrogatepass")) for x in lines] if content else []
+    full = [x for x in (text or "").split(SPLIT) if x.strip(BLANKS)]
+    return [" ".join(x.split()).encode("utf-8", "surrogatepass") for x in full], [_content(x) for x in full] if content else []
+
+
+def _lines(texts: list[str | None], content: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of a batch of texts one after the other, without blank ones: IDs, whether they are content (where asked for), and of each text the first one's number and how many it has.
+
+    A line's ID: two 64-bit numbers of a hash of it without outer and repeated blanks.
+    """
+    hashed, long, n = [], [], []
+    for text in texts:
+        lines, c = _plain(text, content)
+        hashed += map(xxhash.xxh3_128_digest, lines)
+        long += c
+        n.append(len(lines))
+    n = np.array(n, np.int64)
+    return np.frombuffer(b"".join(hashed), np.uint64).reshape(-1, 2), np.array(long, bool), np.cumsum(n) - n, n
 
 
 def _window(name: np.ndarray, least: int) -> np.ndarray:
@@ -54,10 +82,6 @@ def _double(name: np.ndarray, step: int) -> np.ndarray:
     return mix(x * SALT[0] + mix(y) * SALT[1] + SALT[2:])
 
 
-def _full(text: str | None) -> list[str]:
-    return [x for x in (text or "").split(SPLIT) if x.strip(BLANKS)]
-
-
 def beside(rows: DataFrame, groups: DataFrame, key: str, count: str) -> DataFrame:
     """rows with groups' columns, null where there is no group; groups (cut) are broadcast where their count allows it, else see attach."""
     return rows.join(F.broadcast(groups), key, "left") if groups.count() <= BROADCAST_TEXTS else attach(rows, groups, key, count)
@@ -87,22 +111,20 @@ def windows(docs: DataFrame, kind: str, least: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            row, at, width, name = [], [], [], []
-            for r, text in enumerate(b.column(2).to_pylist()):
-                lines = _full(text)
-                if not lines:
-                    continue
-                ids = _ids(lines)
-                content = np.flatnonzero([_content(x) for x in lines]) if least > 1 else np.zeros(0, np.int64)
-                wide = _window(ids, least)
-                row.append(np.full(len(wide) + len(content), r)), at.append(np.concatenate([np.arange(len(wide)), content]))
-                width.append(np.concatenate([np.full(len(wide), least), np.ones(len(content))])), name.append(np.concatenate([wide, ids[content]]))
-            if row:
-                take, name = pa.array(np.concatenate(row)), np.concatenate(name).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(width).astype(np.int32)), pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1]))],
-                    names=["id", "h", "k", "w", "x", "y"],
-                )
+            ids, content, first, n = _lines(b.column(2).to_pylist(), least > 1)
+            if not len(ids):
+                continue
+            # the texts of a batch are doubled together: windows that reach into the next text are left out
+            row = np.repeat(np.arange(len(n)), n)
+            k = np.arange(len(ids)) - first[row]
+            wide = np.flatnonzero(k + least <= n[row])
+            content = np.flatnonzero(content)
+            at, name = np.concatenate([wide, content]), np.concatenate([_window(ids, least)[wide], ids[content]]).view(np.int64)
+            take, width = pa.array(row[at]), np.concatenate([np.full(len(wide), least, np.int32), np.ones(len(content), np.int32)])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(k[at].astype(np.int32)), pa.array(width), pa.array(np.ascontiguousarray(name[:, 0])), pa.array(np.ascontiguousarray(name[:, 1]))],
+                names=["id", "h", "k", "w", "x", "y"],
+            )
 
     named = F.struct("x", "y").alias("name")
     rows = cut(docs.mapInArrow(_merged(run), f"id {kind}, h long, k int, w int, x long, y long"))
@@ -127,32 +149,32 @@ def longest(docs: DataFrame, active: DataFrame) -> DataFrame:
 
     def levels(batches):
         for b in batches:
-            h = b.column(0).to_pylist()
-            for r, (text, places) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                ids = _ids(_full(text))
-                k, later = np.array([p["k"] for p in places]), np.array([p["later"] for p in places])
-                follows = np.isin(k - 1, k[later])
-                name, w, level = ids, 1, 0
-                while len(k):
-                    prev = pa.array(ids[k - 1, 0].view(np.int64), mask=k == 0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(k), h[r])), pa.array(k.astype(np.int32)), pa.array(later & follows), pa.array(later), prev, pa.array(np.full(len(k), level, np.int32)), pa.array(name[k, 0].view(np.int64)), pa.array(name[k, 1].view(np.int64))],
-                        names=["h", "k", "follows", "later", "prev", "level", "x", "y"],
-                    )
-                    name, w, level = _double(name, w), 2 * w, level + 1
-                    keep = k < len(name)
-                    k, later, follows = k[keep], later[keep], follows[keep]
+            ids, _, first, n = _lines(b.column(1).to_pylist())
+            row, k, later = _places(b.column(2), "k", "later")
+            at, h = first[row] + k, b.column(0).to_numpy()[row]
+            after = np.zeros(len(ids) + 1, bool)
+            after[at[later] + 1] = True
+            follows, left = after[at] & (k > 0), n[row] - k
+            name, w, level = ids, 1, 0
+            while len(k):
+                prev = pa.array(ids[at - 1, 0].view(np.int64), mask=k == 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(k), pa.array(later & follows), pa.array(later), prev, pa.array(np.full(len(k), level, np.int32)), pa.array(name[at, 0].view(np.int64)), pa.array(name[at, 1].view(np.int64))],
+                    names=["h", "k", "follows", "later", "prev", "level", "x", "y"],
+                )
+                name, w, level = _double(name, w), 2 * w, level + 1
+                keep = left >= w  # names that reach into the next text are never looked at
+                h, k, at, left, later, follows = (x[keep] for x in (h, k, at, left, later, follows))
 
     def keys(batches):
         for b in batches:
-            out = []
-            for h, text, places in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = _ids(_full(text))[:, 0].astype(">u8")
-                for p in places:
-                    d = 1 << p["level"]
-                    out.append((p["class"]["x"].to_bytes(8, "big", signed=True) + p["class"]["y"].to_bytes(8, "big", signed=True) + ids[p["k"] + d : p["k"] + 2 * d].tobytes(), h, p["k"], d, p["wanted"]))
-            c = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], names=["key", "h", "k", "d", "wanted"])
+            ids, _, first, n = _lines(b.column(1).to_pylist())
+            row, k, level, named, wanted = _places(b.column(2), "k", "level", "class", "wanted")
+            ids, d = ids[:, 0].astype(">u8").tobytes(), 1 << level
+            heads = np.stack([named.field("x").to_numpy(), named.field("y").to_numpy()], 1).astype(">i8").tobytes()
+            begin, end = first[row] + k + d, first[row] + np.minimum(k + 2 * d, n[row])
+            key = [heads[16 * i : 16 * i + 16] + ids[8 * x : 8 * y] for i, (x, y) in enumerate(zip(begin.tolist(), end.tolist(), strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(b.column(0).to_numpy()[row]), pa.array(k), pa.array(d), pa.array(wanted)], names=["key", "h", "k", "d", "wanted"])
 
     def ends(batches):
         from pyspark import TaskContext
@@ -211,6 +233,13 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32())], names=["h", "longest"])
 
 
+def _places(lists: pa.ListArray, *fields: str) -> tuple:
+    """Of lists of structs, for each struct the row of its list and its fields; those that are structs stay in Arrow."""
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    return row, *(c if pa.types.is_struct(c.type) else c.to_numpy(zero_copy_only=False) for c in map(flat.field, fields))
+
+
 def _shared(x: bytes | None, y: bytes | None) -> int:
     """Lines that two rows of one class share beyond the class's own; 0 in different classes."""
     if x is None or y is None or x[:16] != y[:16]:
