@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from ..functions.text import approved_id, stem
 from ..model import FORMAT, MANIFEST, POSITIONS_FILE, RESPONSE
-from .objects import listing, opened, write_objects  # noqa: F401
+from .objects import listing, opened, remove_keys, write_objects  # noqa: F401
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

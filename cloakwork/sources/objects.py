@@ -10,23 +10,29 @@ import fnmatch
 import json
 import os
 import uuid
-from collections.abc import Iterator
+from functools import lru_cache
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from hashlib import md5
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, InputPartition, IsNotNull, StringEndsWith, StringStartsWith, WriterCommitMessage
 
 FORMAT = "cloakwork_objects"
 SCHEMA = "key string, etag string, size long, modified timestamp"
 #: Folder below the base in which a job's objects wait; listings leave out what begins with an underscore or a dot.
 WAITING = "_waiting"
-#: Prefixes that a listing is split into, about; objects of a batch of rows; threads that publish.
-PREFIXES, ROWS, THREADS = 64, 2000, 16
+#: The file in a job's waiting folder that names the tasks' folders, where more objects than these are left to be published on the executors.
+NAMED, AT_ONCE = "named", 10_000
+#: Prefixes that a listing is split into, about; files of a folder without folders that are looked at before it is left to a task.
+PREFIXES, LOOKED_AT = 64, 1000
+#: Objects of a batch of rows; those that a task publishes; threads that publish or read.
+ROWS, PUBLISHED, THREADS = 2000, 20_000, 16
 
 
 def opened(base: str) -> tuple[fs.FileSystem, str]:
@@ -82,17 +88,65 @@ class Written(WriterCommitMessage):
     objects: int
 
 
+def at_once(system: fs.FileSystem, f: Callable, items: Sequence) -> list:
+    """f of all items, in order; in threads that each take a share of them, but for local files, whose calls are too short for that."""
+    if isinstance(system, fs.LocalFileSystem):
+        return [f(x) for x in items]
+    share = -(-len(items) // THREADS)
+    with ThreadPoolExecutor(THREADS) as pool:
+        parts = pool.map(lambda at: [f(x) for x in items[at : at + share]], range(0, len(items), share or 1))
+        return [x for part in parts for x in part]
+
+
+def keys_of(system: fs.FileSystem, folder: str) -> list[str]:
+    """The keys of an attempt's objects, by their numbers."""
+    with system.open_input_stream(f"{folder}/keys") as keys:
+        return [json.loads(k) for k in keys.read().splitlines()]
+
+
+def publish(system: fs.FileSystem, moves: dict[str, str], made: set[str]) -> None:
+    """Moves objects to their targets ({target: source}); made are the folders known to be there. One that a task before this one moved is left."""
+    for at in {to.rpartition("/")[0] for to in moves} - made:
+        system.create_dir(at, recursive=True)
+        made.add(at)
+
+    def move(task: tuple[str, str]) -> None:
+        to, at = task
+        if isinstance(system, fs.LocalFileSystem):
+            with suppress(OSError):  # there is one, which a move replaces, or no link can be made
+                os.link(at, to)  # moves between folders wait for each other in the whole file system, links don't
+                os.unlink(at)
+                return
+        try:
+            system.move(at, to)
+        except FileNotFoundError:
+            if system.get_file_info(to).type != fs.FileType.File:
+                raise
+
+    at_once(system, move, list(moves.items()))
+
+
+def clear(system: fs.FileSystem, root: str, job: str) -> None:
+    at = f"{root}/{WAITING}/{job}"
+    if system.get_file_info(at).type != fs.FileType.NotFound:
+        system.delete_dir(at)
+    rest = fs.FileSelector(f"{root}/{WAITING}", allow_not_found=True)
+    if system.get_file_info(f"{root}/{WAITING}").type != fs.FileType.NotFound and not system.get_file_info(rest):
+        system.delete_dir(f"{root}/{WAITING}")
+
+
 class ObjectWriter(DataSourceArrowWriter):
     """Writes (key, content) rows below a base.
 
     Every attempt of a task writes into a folder of its own, objects numbered, with a list of their keys; a message of fixed size tells the
     commit where. The commit moves the objects of the attempts that Spark names to their keys, reading one list after the other; an
-    attempt that failed or lost a race is never named. Commit and abort remove the waiting folder. A failed job so shows
+    attempt that failed or lost a race is never named. Of a job that its caller named, more than AT_ONCE objects are left to the caller,
+    who finds the named attempts in a file (see write_objects). Commit and abort remove the waiting folder. A failed job so shows
     nothing (a task that was still ending then may leave hidden files), and a key that is written again is replaced only at the commit.
     """
 
-    def __init__(self, base: str):
-        self.base, self.job = base, uuid.uuid4().hex
+    def __init__(self, base: str, job: str | None = None):
+        self.base, self.job, self.left = base, job or uuid.uuid4().hex, job is not None
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         system, root = opened(self.base)
@@ -112,34 +166,19 @@ class ObjectWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         system, root = opened(self.base)
+        named = [m for m in messages if m is not None and m.objects]
+        if self.left and (n := sum(m.objects for m in named)) > AT_ONCE:
+            with system.open_output_stream(f"{root}/{WAITING}/{self.job}/{NAMED}") as out:
+                out.write(json.dumps({"objects": n, "folders": [m.folder for m in named]}).encode())
+            return
         made: set[str] = set()
-
-        def publish(task: tuple[str, str]) -> None:
-            system.move(*task)
-
-        with ThreadPoolExecutor(THREADS) as pool:
-            for m in messages:
-                if m is None or not m.objects:
-                    continue
-                with system.open_input_stream(f"{m.folder}/keys") as keys:
-                    moves = [(f"{m.folder}/{i}", f"{root}/{json.loads(k)}") for i, k in enumerate(keys.read().splitlines())]
-                for at in {to.rpartition("/")[0] for _, to in moves} - made:
-                    system.create_dir(at, recursive=True)
-                    made.add(at)
-                last = {to: at for at, to in moves}  # a key that a task wrote twice has its last content
-                list(pool.map(publish, ((at, to) for to, at in last.items())))
-        self._clear(system, root)
+        for m in named:
+            last = {f"{root}/{k}": f"{m.folder}/{i}" for i, k in enumerate(keys_of(system, m.folder))}  # a key that a task wrote twice has its last content
+            publish(system, last, made)
+        clear(system, root, self.job)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self._clear(*opened(self.base))
-
-    def _clear(self, system: fs.FileSystem, root: str) -> None:
-        at = f"{root}/{WAITING}/{self.job}"
-        if system.get_file_info(at).type != fs.FileType.NotFound:
-            system.delete_dir(at)
-        rest = fs.FileSelector(f"{root}/{WAITING}", allow_not_found=True)
-        if system.get_file_info(f"{root}/{WAITING}").type != fs.FileType.NotFound and not system.get_file_info(rest):
-            system.delete_dir(f"{root}/{WAITING}")
+        clear(*opened(self.base), self.job)
 
 
 @dataclass
@@ -153,13 +192,15 @@ class Prefix(InputPartition):
 class ObjectReader(DataSourceReader):
     """Lists the objects below a base.
 
-    Folders are opened from the top until there are enough of them; each then is a partition, listed where it runs. A prefix or suffix of keys
-    that a filter asks for is taken over: folders outside the prefix are never opened.
+    Folders are opened from the top until there are enough of them; each then is a partition, listed where it runs. One that begins with many
+    files and no folder isn't gone through to its end before that. A prefix or suffix of keys that a filter asks for is taken over: folders
+    outside the prefix are never opened.
     """
 
     def __init__(self, base: str, options):
         self.base, self.digests = base, str(options.get("digests", "false")).lower() == "true"
         self.starts, self.ends, self.pattern, self.limit = "", [], options.get("pattern"), int(options.get("limit", -1))
+        self.exclude = options.get("exclude")
         self.deep = str(options.get("deep", "true")).lower() == "true"
 
     def pushFilters(self, filters):
@@ -192,13 +233,18 @@ class ObjectReader(DataSourceReader):
         while level and len(level) < PREFIXES:
             below = []
             for path in level:
-                files = False
+                files, folders, inside = 0, False, []
                 for x in entries(system, path, details=False):
-                    files = files or not x.folder
+                    files, folders = files + (not x.folder), folders or x.folder
                     if x.folder and self._open(root, x.path):
-                        below.append(x.path)
-                if files:
-                    done.append(Prefix(path, False))
+                        inside.append(x.path)
+                    if files > LOOKED_AT and not folders:
+                        done.append(Prefix(path, True))  # with folders that may come yet
+                        break
+                else:
+                    below += inside
+                    if files:
+                        done.append(Prefix(path, False))
             level = below
         return [*done, *(Prefix(p, True) for p in level)]
 
@@ -216,29 +262,32 @@ class ObjectReader(DataSourceReader):
                 key = self._key(root, x.path)
                 if not key.startswith(self.starts) or not all(key.endswith(e) for e in self.ends) or (self.pattern and not fnmatch.fnmatchcase(key, self.pattern)):
                     continue
+                if self.exclude and fnmatch.fnmatchcase(x.name, self.exclude):
+                    continue
                 if 0 <= self.limit <= n:
                     todo = []
                     break
                 n += 1
-                rows.append((key, self._digest(system, x.path) if self.digests else None, x.size, x.mtime))
+                rows.append((key, x.path, x.size, x.mtime))
                 if len(rows) == ROWS:
-                    yield self._batch(rows)
+                    yield self._batch(system, rows)
                     rows = []
         if rows:
-            yield self._batch(rows)
+            yield self._batch(system, rows)
 
     @staticmethod
     def _digest(system: fs.FileSystem, path: str) -> str:
         found = md5()
-        with system.open_input_stream(path) as content:
+        with open(path, "rb", buffering=0) if isinstance(system, fs.LocalFileSystem) else system.open_input_stream(path, compression=None) as content:
             while chunk := content.read(1 << 20):
                 found.update(chunk)
         return found.hexdigest()
 
-    @staticmethod
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    def _batch(self, system: fs.FileSystem, rows: list[tuple]) -> pa.RecordBatch:
+        keys, paths, sizes, times = zip(*rows, strict=True)
+        etags = at_once(system, lambda path: self._digest(system, path), paths) if self.digests else [None] * len(rows)
         kinds = (pa.string(), pa.string(), pa.int64(), pa.timestamp("us", "UTC"))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "etag", "size", "modified"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((keys, etags, sizes, times), kinds, strict=True)], names=["key", "etag", "size", "modified"])
 
 
 class ObjectSource(DataSource):
@@ -255,7 +304,7 @@ class ObjectSource(DataSource):
         return ObjectReader(self.options["path"], self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return ObjectWriter(self.options["path"])
+        return ObjectWriter(self.options["path"], self.options.get("job"))
 
 
 def _registered(spark: SparkSession) -> None:
@@ -264,14 +313,57 @@ def _registered(spark: SparkSession) -> None:
 
 
 def write_objects(df: DataFrame, base: str, key: str = "key", content: str = "content") -> None:
-    """Writes each row as one object below base; all appear when the job has ended well, none where it fails. Null content is an empty object."""
-    _registered(df.sparkSession)
-    df.select(df[key].cast("string").alias("key"), df[content].cast("string").alias("content")).write.format(FORMAT).mode("append").save(base)
+    """Writes each row as one object below base; all appear when the job has ended well, none where it fails. Null content is an empty object.
+
+    More than AT_ONCE are moved to their keys by a second job, on the executors; of rows with the same key the last task's last one stays.
+    """
+    spark, job = df.sparkSession, uuid.uuid4().hex
+    _registered(spark)
+    df.select(df[key].cast("string").alias("key"), df[content].cast("string").alias("content")).write.format(FORMAT).mode("append").option("job", job).save(base)
+    system, root = opened(base)
+    named = f"{root}/{WAITING}/{job}/{NAMED}"
+    if system.get_file_info(named).type == fs.FileType.NotFound:
+        return
+    try:
+        with system.open_input_stream(named) as f:
+            left = json.loads(f.read())
+        _published(spark, base, left["folders"], left["objects"])
+    finally:
+        clear(system, root, job)
+
+
+def _published(spark: SparkSession, base: str, folders: list[str], objects: int) -> int:
+    """Moves the objects of named attempts to their keys, on the executors, and gives how many keys there are. A repeated task does no harm."""
 
+    def named(batches: Iterator[pa.RecordBatch]):
+        system, _ = opened(base)
+        for b in batches:
+            for place, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys = keys_of(system, folder)
+                for at in range(0, len(keys), ROWS):
+                    part = keys[at : at + ROWS]
+                    columns = pa.array(part), pa.array([place] * len(part), pa.int32()), pa.array(range(at, at + len(part)), pa.int64()), pa.array([folder] * len(part))
+                    yield pa.RecordBatch.from_arrays([*columns], names=["key", "place", "i", "folder"])
+
+    def moved(batches: Iterator[pa.RecordBatch]):
+        (system, root), made, n = opened(base), set(), 0
+        for b in batches:
+            keys, last = b.column(0).to_pylist(), b.column(1).to_pylist()
+            publish(system, {f"{root}/{k}": f"{x['folder']}/{x['i']}" for k, x in zip(keys, last, strict=True)}, made)
+            n += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    tasks = spark.createDataFrame(list(enumerate(folders)), "place int, folder string").repartition(min(len(folders), -(-objects // PUBLISHED)))
+    rows = tasks.mapInArrow(named, "key string, place int, i long, folder string").repartition(-(-objects // PUBLISHED), "key")
+    last = rows.groupBy("key").agg(F.max(F.struct("place", "i", "folder")).alias("last"))
+    return sum(r.n for r in last.mapInArrow(moved, "n long").collect())
 
-def listing(spark: SparkSession, path: str, suffix: str = "", digests: bool = False, pattern: str | None = None, limit: int | None = None, deep: bool = True) -> DataFrame:
+
+def listing(spark: SparkSession, path: str, suffix: str = "", digests: bool = False, pattern: str | None = None, limit: int | None = None, deep: bool = True, exclude: str | None = None) -> DataFrame:
     """(key, etag, size, modified) of the objects below a folder whose key ends so and fits the pattern; hidden ones aren't objects.
 
+    Objects whose name, the key's last part, fits exclude are left out before any is read.
+
     etag is the content's MD5, read only where digests are asked for. Filters on the key's beginning or end reach the listing. With a
     limit no partition lists more. A folder that isn't there has no objects. Unless deep, only the folder's own objects are listed.
     """
@@ -279,6 +371,8 @@ def listing(spark: SparkSession, path: str, suffix: str = "", digests: bool = Fa
     rows = spark.read.format(FORMAT).option("digests", str(digests).lower()).option("deep", str(deep).lower())
     if pattern:
         rows = rows.option("pattern", pattern)
+    if exclude:
+        rows = rows.option("exclude", exclude)
     if limit is not None:
         rows = rows.option("limit", str(limit))
     out = rows.load(path)
@@ -293,10 +387,12 @@ def remove_keys(keys: DataFrame, key: str = "key") -> int:
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
-        n = 0
+        n, folder = 0, lru_cache(1000)(opened)
         for b in batches:
             for uri in b.column(0).to_pylist():
-                system, path = opened(uri)
+                at, _, name = uri.rpartition("/")
+                system, path = folder(at)
+                path = f"{path.rstrip('/')}/{name}"
                 if system.get_file_info(path).type == fs.FileType.File:
                     system.delete_file(path)
                     n += 1

@@ -145,3 +145,67 @@ def test_messages_of_a_worker_come_in_files_of_bounded_size(spark, data, monkeyp
     (path, n), *_ = seen
     sizes = [pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{path.removeprefix('file://')}/*.parquet")]
     assert sum(sizes) == docs and max(sizes) <= 60 and len(sizes) == -(-docs // 30) and n == -(-len(sizes) // 3) > 1
+
+
+def test_many_objects_are_published_on_executors(spark, tmp_path, monkeypatch):
+    """The commit of a named job leaves many objects to a job, of which any task may be repeated; the last task's last content stays."""
+    import json
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(O, "AT_ONCE", 3)
+    base = f"file://{tmp_path}"
+    writer = O.ObjectWriter(base, "job")
+    batch = lambda *rows: iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "content"])])
+    tasks = [writer.write(batch(("k/a", "1"), ("k/b", "1"))), writer.write(batch(("k/b", "2"), ("m/c", "2"), ("k/b", "3")))]
+    writer.write(batch(("k/d", "lost")))
+    os.makedirs(f"{tmp_path}/k")
+    (tmp_path / "k/a").write_text("old")
+    writer.commit([tasks[0], None, tasks[1]])
+    assert os.listdir(f"{tmp_path}/k") == ["a"] and (tmp_path / "k/a").read_text() == "old" and not os.path.exists(f"{tmp_path}/m")
+    left = json.loads((tmp_path / "_waiting/job" / O.NAMED).read_text())
+    assert left == {"objects": 5, "folders": [t.folder for t in tasks]}
+    for _ in range(2):
+        assert O._published(spark, base, left["folders"], left["objects"]) == 3
+        assert {f"{p}/{f}": (tmp_path / p / f).read_text() for p in "km" for f in os.listdir(tmp_path / p)} == {"k/a": "1", "k/b": "3", "m/c": "2"}
+    O.clear(*O.opened(base), "job")
+    assert sorted(os.listdir(tmp_path)) == ["k", "m"]
+    n = 10_500
+    FS.write_objects(spark.range(0, n, 1, 3).selectExpr("concat('n', id % 2, '/', id, '.txt') key", "concat('text ', id) content"), base)
+    assert FS.listing(spark, base, ".txt").count() == n and (tmp_path / "n1/10499.txt").read_text() == "text 10499" and not os.path.exists(f"{tmp_path}/_waiting")
+
+
+def test_a_folder_of_many_files_is_left_to_a_task(spark, tmp_path, monkeypatch):
+    """Planning looks at a few files of each folder; folders below it that come later are listed with it."""
+    base = made(spark, tmp_path, 200)
+    seen, entries = [], O.entries
+    monkeypatch.setattr(O, "LOOKED_AT", 10)
+    monkeypatch.setattr(O, "entries", lambda *a, **k: (seen.append(x) or x for x in entries(*a, **k)))
+    parts = O.ObjectReader(base, {}).partitions()
+    assert len(parts) == 5 and all(p.deep for p in parts) and len(seen) <= 5 + 5 + 5 * 11
+    os.makedirs(f"{tmp_path}/objects/b1/input/below")
+    (tmp_path / "objects/b1/input/below/x.txt").write_text("x")
+    reader = O.ObjectReader(base, {})
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 201
+
+
+def test_excluded_names_and_bytes_as_they_are(spark, tmp_path):
+    """What is excluded isn't read; the digest is of an object's own bytes, whatever its name."""
+    base = made(spark, tmp_path, 10)
+    (tmp_path / "objects/b1/input/note.gz").write_bytes(b"not packed")
+    (tmp_path / "objects/b1/input/skip.txt").write_text("skipped")
+    want = {f"n{i}.txt": md5(f"text {i}".encode()).hexdigest() for i in range(10)} | {"note.gz": md5(b"not packed").hexdigest()}
+    assert {r.key.rpartition("/")[2]: r.etag for r in FS.listing(spark, base, digests=True, exclude="skip*").collect()} == want
+    read, reader = [], O.ObjectReader(base, {"digests": "true", "exclude": "skip*"})
+    reader._digest = lambda system, path: read.append(path) or "0"
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == len(read) == 11
+
+
+def test_object_listing_removes_on_executors(spark, data, monkeypatch):
+    from cloakwork.plans import catalogue
+
+    def never(*_):
+        raise AssertionError("objects removed one after the other, on the driver")
+
+    monkeypatch.setattr(FS, "remove_objects", never)
+    assert len(catalogue.QUERIES["object_listing"](spark, data).collect()) == 25
